@@ -7,22 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.session import shared_dir
-
-# A code table of at most this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-
+from shelfcast.session import materialize
 
 def with_global_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
-    """0-based position of each row in the total order ``order``.
+    """0-based position of each row in the total order ``order``, which must be unique.
 
     The rows are range-partitioned and sorted, numbered inside their partition, and
     shifted by the sizes of the partitions before theirs. The numbered rows are
-    checkpointed, so that sizes and rows stem from the same sort even if an executor
+    written down, so that sizes and rows stem from the same sort even if an executor
     is lost. The only unpartitioned step sees one row per partition.
     """
-    shared_dir(df.sparkSession)
-    numbered = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    numbered = materialize(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "positions")
     parted = numbered.withColumns(
         {"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND((1 << 33) - 1)}
     )
@@ -38,20 +33,20 @@ def with_global_position(df: DataFrame, order: Sequence[str], name: str = "pos")
 
 def category_codes(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """Table ``(column, code)``: distinct non-null labels numbered from 0 in sorted order."""
+    name = name or f"{column}_code"
     labels = df.select(column).where(F.col(column).isNotNull()).distinct()
-    coded = with_global_position(labels, [column], name or f"{column}_code")
-    return coded.withColumn(name or f"{column}_code", F.col(name or f"{column}_code").cast("int"))
+    coded = with_global_position(labels, [column], name)
+    return coded.withColumn(name, F.col(name).cast("int"))
 
 
 def with_category_codes(df: DataFrame, columns: Sequence[str], labels_from: DataFrame | None = None) -> DataFrame:
     """Add ``<column>_code`` for each column; the labels are kept beside the codes.
 
     ``labels_from`` may name a cheaper frame that holds the same labels. A row without
-    a label has code -1.
+    a label has code -1. The code tables are stored, so Spark broadcasts one only when
+    its measured size allows, and otherwise joins by shuffle.
     """
     for column in columns:
         codes = category_codes(df if labels_from is None else labels_from, column)
-        if codes.count() <= BROADCAST_ROWS:
-            codes = F.broadcast(codes)
         df = df.join(codes, column, "left").fillna({f"{column}_code": -1})
     return df

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast import SERIES, SERIES_DAY
 from shelfcast.operators.features import with_position
-from shelfcast.operators.scoring import combine, join_actuals
+from shelfcast.operators.scoring import join_actuals
 
 # Longest forecast in days and season length in rows.
 LONGEST = 365
@@ -20,11 +20,11 @@ SEASON = 7
 SMOOTHING_GRID = tuple(itertools.product((0.1, 0.3, 0.6), (0.01, 0.1, 0.3), (0.05, 0.2, 0.4)))
 
 
-def future_days(series: DataFrame, steps: int = LONGEST, last: str | Column = "last_date") -> DataFrame:
-    """Each row once per future day: ``step`` 1..steps and ``date`` = last + step."""
-    last = F.col(last) if isinstance(last, str) else last
-    return series.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn(
-        "date", F.date_add(last, F.col("step"))
+def future_days(series: DataFrame, steps: int | Column = LONGEST) -> DataFrame:
+    """Each row once per future day: ``step`` 1..steps and ``date`` = ``last_date`` + step."""
+    steps = steps if isinstance(steps, Column) else F.lit(steps)
+    return series.withColumn("step", F.explode(F.sequence(F.lit(1), steps))).withColumn(
+        "date", F.date_add("last_date", F.col("step"))
     )
 
 
@@ -42,25 +42,26 @@ def persistence(predictions: DataFrame, last_date: Column, steps: int = LONGEST)
     return future_days(held, steps).select("model", *SERIES_DAY, "step", "yhat")
 
 
-def fit_trend(panel: DataFrame, value: str = "sales") -> DataFrame:
-    """Per series: least-squares line over the row position; ``n_rows`` and ``last_date``."""
-    return (
-        with_position(panel)
-        .groupBy(*SERIES)
-        .agg(
-            F.regr_slope(value, "t").alias("slope"),
-            F.regr_intercept(value, "t").alias("intercept"),
-            F.regr_r2(value, "t").alias("r_squared"),
-            F.count("*").alias("n_rows"),
-            F.max("date").alias("last_date"),
-        )
+def fit_line(placed: DataFrame, keys: Sequence[str] = SERIES, value: str = "sales") -> DataFrame:
+    """Per key: least-squares line over the position ``t``; ``n_rows`` and ``last_date``."""
+    return placed.groupBy(*keys).agg(
+        F.regr_slope(value, "t").alias("slope"),
+        F.regr_intercept(value, "t").alias("intercept"),
+        F.regr_r2(value, "t").alias("r_squared"),
+        F.count("*").alias("n_rows"),
+        F.max("date").alias("last_date"),
     )
 
 
-def trend_forecast(trend: DataFrame, steps: int = LONGEST) -> DataFrame:
+def fit_trend(panel: DataFrame, value: str = "sales") -> DataFrame:
+    """The line of each series. The aggregation keeps the partitioning of the window before it."""
+    return fit_line(with_position(panel), value=value)
+
+
+def trend_forecast(trend: DataFrame, steps: int | Column = LONGEST, keys: Sequence[str] = SERIES) -> DataFrame:
     """The fitted line, continued."""
     line = F.col("intercept") + F.col("slope") * (F.col("n_rows") - 1 + F.col("step"))
-    return future_days(trend, steps).select(F.lit("linear_trend").alias("model"), *SERIES_DAY, "step", line.alias("yhat"))
+    return future_days(trend, steps).select(F.lit("linear_trend").alias("model"), *keys, "date", "step", line.alias("yhat"))
 
 
 def trend_fitted(panel: DataFrame, value: str = "sales", fit_rows: Column | None = None) -> DataFrame:
@@ -207,34 +208,47 @@ def recursive_forecast(
     )
 
 
-def hold_out(panel: DataFrame, days: int) -> DataFrame:
-    """Rows up to ``days`` days before each series' last date: the history of a backtest."""
-    last = F.max("date").over(Window.partitionBy(*SERIES))
-    return panel.withColumn("_last", last).where(F.col("date") <= F.date_sub("_last", days)).drop("_last")
+# A backtest history is one series cut before one horizon.
+HISTORY = ("horizon", "days", *SERIES)
 
 
-def backtest(panel: DataFrame, horizons: Mapping[str, int], forecaster) -> DataFrame:
-    """Forecast each horizon from the history before it and join the actuals by date.
+def histories(panel: DataFrame, horizons: Mapping[str, int]) -> DataFrame:
+    """For each horizon, the rows up to its length before each series' last date, with ``t``.
 
-    ``forecaster(history, steps)`` returns ``model, store, item, date, step, yhat``.
-    A series without history before a horizon has no rows for it.
+    All horizons are cut in one pass: a row is repeated for every horizon whose history
+    it belongs to, inside the partitioning by series.
     """
-    def parts() -> Iterator[DataFrame]:
-        for name, days in horizons.items():
-            forecast = forecaster(hold_out(panel, days), days)
-            yield join_actuals(forecast, panel).withColumn("horizon", F.lit(name))
+    wanted = F.filter(
+        F.array(*(F.struct(F.lit(h).alias("horizon"), F.lit(d).alias("days")) for h, d in horizons.items())),
+        lambda h: F.col("date") <= F.date_sub("_last", h["days"]),
+    )
+    return (
+        with_position(panel)
+        .withColumn("_last", F.max("date").over(Window.partitionBy(*SERIES)))
+        .select(*SERIES_DAY, "sales", "t", F.inline(wanted))
+    )
 
-    return combine(*parts())
 
+def backtest(panel: DataFrame, horizons: Mapping[str, int], forecaster: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Forecast each horizon from the history before it and join the actuals by date.
 
-def hold_last(history: DataFrame, steps: int) -> DataFrame:
+    ``forecaster(history)`` gets rows keyed by :data:`HISTORY` and returns ``model``,
+    those keys, ``date, step, yhat``. A series without history before a horizon has
+    no rows for it.
+    """
+    return join_actuals(forecaster(histories(panel, horizons)), panel).drop("days")
+
+
+def hold_last(history: DataFrame) -> DataFrame:
     """Forecaster for :func:`backtest`: the last value, repeated."""
-    held = history.groupBy(*SERIES).agg(
+    held = history.groupBy(*HISTORY).agg(
         F.max_by(F.col("sales").cast("double"), "date").alias("yhat"), F.max("date").alias("last_date")
     )
-    return future_days(held, steps).select(F.lit("persistence").alias("model"), *SERIES_DAY, "step", "yhat")
+    return future_days(held, F.col("days")).select(
+        F.lit("persistence").alias("model"), *HISTORY, "date", "step", "yhat"
+    )
 
 
-def extend_trend(history: DataFrame, steps: int) -> DataFrame:
+def extend_trend(history: DataFrame) -> DataFrame:
     """Forecaster for :func:`backtest`: the linear trend, continued."""
-    return trend_forecast(fit_trend(history), steps)
+    return trend_forecast(fit_line(history, HISTORY), F.col("days"), HISTORY)

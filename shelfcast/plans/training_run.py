@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 
-from shelfcast import SERIES, SERIES_DAY
+from shelfcast import SERIES
 from shelfcast.operators import regressors
 from shelfcast.operators.codes import with_category_codes
-from shelfcast.operators.features import FEATURES, complete_rows, feature_frame, lookback_sequences
+from shelfcast.operators.features import FEATURES, complete_rows, feature_frame, lookback_sequences, with_lags
 from shelfcast.operators.scoring import combine, long_predictions, rank_models, score
 from shelfcast.operators.splits import VAL_DAYS, with_time_split
+from shelfcast.session import materialize
 from shelfcast.sources import results
 
 SEQUENCE_MODEL = "SequenceBoosting"
@@ -30,8 +31,14 @@ NAIVE_MODELS = {
 
 def training_frame(panel: DataFrame) -> DataFrame:
     """All features of the complete rows. Codes are assigned after incomplete rows are
-    dropped, and the original keys stay."""
-    return with_category_codes(complete_rows(feature_frame(panel)), SERIES)
+    dropped, and the original keys stay.
+
+    The labels come from the series that keep a row. That list is partitioned like the
+    lag windows, so finding it takes no further shuffle, and it is written down once
+    for both code tables.
+    """
+    kept = materialize(complete_rows(with_lags(panel)).select(*SERIES).distinct(), "kept-series")
+    return with_category_codes(complete_rows(feature_frame(panel)), SERIES, labels_from=kept)
 
 
 def naive_predictions(panel: DataFrame, val_days: int = VAL_DAYS, models: Mapping[str, str] = NAIVE_MODELS) -> DataFrame:
@@ -52,15 +59,16 @@ class Study:
 
 
 def stored_frame(panel: DataFrame, root: str, val_days: int) -> DataFrame:
-    """Write the split training frame once, clustered by series, and read it back.
+    """Write the split training frame once and read it back.
 
     Every fit, scaler and scoring pass then reads only its columns from Parquet rather
-    than repeating the windows, and a lost executor costs a re-read.
+    than repeating the windows, and a lost executor costs a re-read. The rows are
+    written in the partitioning that the windows left, without another shuffle.
     """
     path = f"{root}/training_frame"
     frame = with_time_split(training_frame(panel), val_days)
-    frame.repartition(*SERIES).sortWithinPartitions(*SERIES_DAY).write.mode("overwrite").parquet(path)
-    return panel.sparkSession.read.parquet(path)
+    frame.write.mode("overwrite").parquet(path)
+    return panel.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def run(

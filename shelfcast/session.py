@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # A broadcast happens only when Spark's own size estimate, or the size measured
 # at run time by adaptive execution, is below the session's threshold.
@@ -18,9 +19,20 @@ DEFAULTS = {
 }
 
 
-def build_session(app: str = "shelfcast", **settings: str) -> SparkSession:
+# Shuffle partitions of about this size; adaptive execution merges those that turn out small.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def shuffle_partitions_for(input_bytes: int) -> int:
+    """Partition count for a shuffle of this many bytes, never below Spark's default of 200."""
+    return max(200, math.ceil(input_bytes / PARTITION_BYTES))
+
+
+def build_session(app: str = "shelfcast", input_bytes: int | None = None, **settings: str) -> SparkSession:
+    """A session with adaptive execution; ``input_bytes`` sizes the shuffles of a large run."""
+    sized = {} if input_bytes is None else {"spark.sql.shuffle.partitions": str(shuffle_partitions_for(input_bytes))}
     builder = SparkSession.builder.appName(app)
-    for key, value in {**DEFAULTS, **settings}.items():
+    for key, value in {**DEFAULTS, **sized, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -45,3 +57,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back.
+
+    This cuts the lineage: the rows do not change if an executor is lost, and Spark
+    knows the table's size when it decides about a broadcast.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

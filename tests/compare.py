@@ -27,7 +27,7 @@ def connect(folder: str):
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 5) + 0.0
+        return "nan" if math.isnan(value) else value
     if isinstance(value, datetime.datetime) and value.time() == datetime.time():
         return value.date()
     return value
@@ -44,7 +44,7 @@ def close(a, b) -> bool:
     return type(a) is type(b) and a == b
 
 
-def differences(spark_df, cursor) -> str | None:
+def differences(spark_df, cursor, strict: bool = False) -> str | None:
     """None when both results agree in names, types of values, and rows."""
     names = [d[0] for d in cursor.description]
     if sorted(names) != sorted(spark_df.columns):
@@ -59,6 +59,9 @@ def differences(spark_df, cursor) -> str | None:
     for a, b in zip(left, right):
         if not all(close(x, y) for x, y in zip(a, b)):
             return f"first difference {a} vs {b}"
+    if strict:
+        unequal = [(a, b) for a, b in zip(left, right) if a != b]
+        return f"last digit differs in {len(unequal)} of {len(left)} rows, such as {unequal[0]}"
     return None
 
 
@@ -84,7 +87,7 @@ def main(folder: str, wanted: list[str]) -> int:
                 spark_seconds = time.time() - started
                 started = time.time()
                 cursor = connection.execute(statements[name])
-                problem = differences(rows, cursor)
+                problem = differences(rows, cursor, strict=True)
                 print(f"{name:32s} {'ok' if problem is None else 'DIFF ' + problem[:600]}  {spark_seconds:.1f}s / {time.time() - started:.1f}s", flush=True)
                 rows.unpersist()
                 failed += problem is not None
