@@ -11,48 +11,50 @@ METRICS = ("rmse", "mae", "r2", "mape", "smape")
 SMOOTHING = 1e-10
 
 
-def _error(y: str, yhat: str) -> Column:
-    return F.col(y).cast("double") - F.col(yhat).cast("double")
+def _sides(y: str, yhat: str) -> tuple[str, str, str]:
+    """Both sides as doubles, and their difference, as SQL text."""
+    actual, guess = f"CAST({y} AS DOUBLE)", f"CAST({yhat} AS DOUBLE)"
+    return actual, guess, f"({actual} - {guess})"
 
 
 def rmse(y: str = "y", yhat: str = "yhat") -> Column:
-    e = _error(y, yhat)
-    return F.sqrt(F.avg(e * e))
+    _, _, e = _sides(y, yhat)
+    return F.expr(f"sqrt(avg({e} * {e}))")
 
 
 def mae(y: str = "y", yhat: str = "yhat") -> Column:
-    return F.avg(F.abs(_error(y, yhat)))
+    _, _, e = _sides(y, yhat)
+    return F.expr(f"avg(abs({e}))")
 
 
 def r2(y: str = "y", yhat: str = "yhat") -> Column:
     """NULL below two rows. For a constant ``y``: 1 when every error is 0, else 0."""
-    e = _error(y, yhat)
-    residual = F.sum(e * e)
-    rows = F.count(e)
-    total = F.var_pop(F.when(e.isNotNull(), F.col(y).cast("double"))) * rows
-    return (
-        F.when(rows < 2, None)
-        .when(total == 0, F.when(residual == 0, 1.0).otherwise(0.0))
-        .otherwise(1 - residual / F.nullif(total, F.lit(0.0)))
+    actual, _, e = _sides(y, yhat)
+    residual = f"sum({e} * {e})"
+    total = f"(var_pop({actual}) FILTER (WHERE {e} IS NOT NULL) * count({e}))"
+    return F.expr(
+        f"""CASE WHEN count({e}) < 2 THEN NULL
+                 WHEN {total} = 0 THEN if({residual} = 0, 1.0D, 0.0D)
+                 ELSE 1 - try_divide({residual}, {total}) END"""
     )
 
 
 def mape(y: str = "y", yhat: str = "yhat", smoothing: float | None = None) -> Column:
     """Percent. Rows with ``y = 0`` are left out, 0 if none remain; with ``smoothing``
     no row is left out and the denominator is ``|y| + smoothing``."""
-    e, size = _error(y, yhat), F.abs(F.col(y).cast("double"))
+    actual, _, e = _sides(y, yhat)
     if smoothing is not None:
-        return F.avg(F.abs(e / (size + smoothing))) * 100
-    return F.coalesce(F.avg(F.abs(e / F.nullif(size, F.lit(0.0)))), F.lit(0.0)) * 100
+        return F.expr(f"avg(abs({e}) / (abs({actual}) + {smoothing}D)) * 100")
+    return F.expr(f"coalesce(avg(abs(try_divide({e}, {actual}))), 0.0D) * 100")
 
 
 def smape(y: str = "y", yhat: str = "yhat", smoothing: float | None = None) -> Column:
     """Percent, 0 to 200. Rows where both sides are 0 are left out, 0 if none remain."""
-    half = (F.abs(F.col(y).cast("double")) + F.abs(F.col(yhat).cast("double"))) / 2
-    e = F.abs(_error(y, yhat))
+    actual, guess, e = _sides(y, yhat)
+    half = f"((abs({actual}) + abs({guess})) / 2)"
     if smoothing is not None:
-        return F.avg(e / (half + smoothing)) * 100
-    return F.coalesce(F.avg(e / F.nullif(half, F.lit(0.0))), F.lit(0.0)) * 100
+        return F.expr(f"avg(abs({e}) / ({half} + {smoothing}D)) * 100")
+    return F.expr(f"coalesce(avg(try_divide(abs({e}), {half})), 0.0D) * 100")
 
 
 def all_metrics(y: str = "y", yhat: str = "yhat") -> list[Column]:

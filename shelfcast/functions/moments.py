@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 
 def skewness_corrected(column: str) -> Column:
     """NULL below three rows, 0 for a constant column."""
-    n, g = F.count(column).cast("double"), F.skewness(column)
-    value = g * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
-    return F.when(n < 3, None).when(F.var_pop(column) == 0, 0.0).otherwise(value)
+    n = f"CAST(count({column}) AS DOUBLE)"
+    return F.expr(
+        f"""CASE WHEN {n} < 3 THEN NULL WHEN var_pop({column}) = 0 THEN 0.0D
+            ELSE skewness({column}) * sqrt({n} * ({n} - 1)) / nullif({n} - 2, 0.0D) END"""
+    )
 
 
 def kurtosis_corrected(column: str) -> Column:
     """Excess kurtosis. NULL below four rows, 0 for a constant column."""
-    n, g = F.count(column).cast("double"), F.kurtosis(column)
-    value = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * g + 6)
-    return F.when(n < 4, None).when(F.var_pop(column) == 0, 0.0).otherwise(value)
+    n = f"CAST(count({column}) AS DOUBLE)"
+    return F.expr(
+        f"""CASE WHEN {n} < 4 THEN NULL WHEN var_pop({column}) = 0 THEN 0.0D
+            ELSE ({n} - 1) / nullif(({n} - 2) * ({n} - 3), 0.0D) * (({n} + 1) * kurtosis({column}) + 6) END"""
+    )

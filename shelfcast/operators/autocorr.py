@@ -17,21 +17,21 @@ Z95 = 1.96
 BLOCK_ROWS = 100_000
 
 
-def _deviation_sums(centred: DataFrame, keys: Sequence[str], order: Sequence[str], max_lag: int, counted: Column) -> DataFrame:
-    """Per key: ``n`` and the array ``r`` of autocorrelations 0..max_lag of column ``d``."""
-    ordered = Window.partitionBy(*keys).orderBy(*order)
-    ahead = {f"_d{k}": F.lead("d", k).over(ordered) for k in range(1, max_lag + 1)}
-    products = centred.withColumns(ahead)
-    return products.where(counted).groupBy(*keys).agg(
+def _deviation_sums(centred: DataFrame, keys: Sequence[str], order: str, max_lag: int, counted: str = "true") -> DataFrame:
+    """Per key: row count ``n`` and the lagged product sums ``c0 .. c<max_lag>`` of column ``d``."""
+    window = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {order})"
+    lags = range(1, max_lag + 1)
+    products = centred.withColumns({f"_d{k}": F.expr(f"lead(d, {k}) {window}") for k in lags}).where(counted)
+    return products.groupBy(*keys).agg(
         F.count("d").alias("n"),
-        F.sum(F.col("d") * F.col("d")).alias("c0"),
-        *(F.coalesce(F.sum(F.col("d") * F.col(f"_d{k}")), F.lit(0.0)).alias(f"c{k}") for k in range(1, max_lag + 1)),
+        F.expr("sum(d * d)").alias("c0"),
+        *(F.expr(f"coalesce(sum(d * _d{k}), 0.0D)").alias(f"c{k}") for k in lags),
     )
 
 
 def _as_correlations(sums: DataFrame, max_lag: int, keep: Sequence[str]) -> DataFrame:
-    ratios = F.array(*(F.try_divide(F.col(f"c{k}"), F.col("c0")) for k in range(max_lag + 1)))
-    return sums.select(*keep, "n", ratios.alias("r"))
+    ratios = ", ".join(f"try_divide(c{k}, c0)" for k in range(max_lag + 1))
+    return sums.select(*keep, "n", F.expr(f"array({ratios})").alias("r"))
 
 
 def correlation_arrays(df: DataFrame, max_lag: int = MAX_LAG, value: str = "sales") -> DataFrame:
@@ -42,7 +42,7 @@ def correlation_arrays(df: DataFrame, max_lag: int = MAX_LAG, value: str = "sale
     """
     mean = F.avg(value).over(Window.partitionBy(*SERIES))
     centred = df.select(*SERIES, "date", (F.col(value) - mean).alias("d"))
-    return _as_correlations(_deviation_sums(centred, SERIES, ["date"], max_lag, F.lit(True)), max_lag, SERIES)
+    return _as_correlations(_deviation_sums(centred, SERIES, "date", max_lag), max_lag, SERIES)
 
 
 def panel_correlation_array(df: DataFrame, max_lag: int = MAX_LAG, value: str = "sales") -> DataFrame:
@@ -52,15 +52,15 @@ def panel_correlation_array(df: DataFrame, max_lag: int = MAX_LAG, value: str =
     ``max_lag`` rows that follow it, which only serve as lagged partners, so blocks
     are independent and no task sees the whole sequence.
     """
-    mean = df.agg(F.avg(value)).scalar()
     placed = with_global_position(df.select("date", *SERIES, value), ["date", *SERIES])
+    mean = placed.agg(F.avg(value)).scalar()
     block = F.floor(F.col("pos") / BLOCK_ROWS)
     reaches_back = (F.col("pos") % BLOCK_ROWS < max_lag) & (F.col("pos") >= BLOCK_ROWS)
     homes = F.when(reaches_back, F.array(block, block - 1)).otherwise(F.array(block))
     centred = placed.withColumn("mean", mean).select(
         "pos", (F.col(value) - F.col("mean")).alias("d"), block.alias("home"), F.explode(homes).alias("block")
     )
-    sums = _deviation_sums(centred, ["block"], ["pos"], max_lag, F.col("home") == F.col("block"))
+    sums = _deviation_sums(centred, ["block"], "pos", max_lag, "home = block")
     totals = sums.agg(F.sum("n").alias("n"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(max_lag + 1)))
     return _as_correlations(totals, max_lag, [])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +28,14 @@ def by_date(keys: Sequence[str] = SERIES) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("date")
 
 
+# The same order as SQL text. Wide feature sets are written as SQL, which Spark parses
+# faster than the equivalent chain of Column calls is built.
+BY_DATE = f"PARTITION BY {', '.join(SERIES)} ORDER BY date"
+
+
 def with_lags(df: DataFrame, lags: Sequence[int] = LAGS, value: str = "sales") -> DataFrame:
     """``lag_L``: the value L rows (not days) earlier in the series."""
-    return df.withColumns({f"lag_{n}": F.lag(value, n).over(by_date()) for n in lags})
+    return df.withColumns({f"lag_{n}": F.expr(f"lag({value}, {n}) OVER ({BY_DATE})") for n in lags})
 
 
 def with_rolls(df: DataFrame, widths: Sequence[int] = ROLL_WIDTHS, value: str = "sales") -> DataFrame:
@@ -43,31 +48,30 @@ def with_rolls(df: DataFrame, widths: Sequence[int] = ROLL_WIDTHS, value: str =
     """
     if isinstance(df.schema[value].dataType, T.IntegralType):
         return _rolls_from_running_sums(df, widths, value)
-    columns = {}
-    for width in widths:
-        frame = by_date().rowsBetween(-width, -1)
-        columns[f"roll_mean_{width}"] = F.avg(value).over(frame)
-        columns[f"roll_std_{width}"] = F.stddev_samp(value).over(frame)
-    return df.withColumns(columns)
+    frame = f"OVER ({BY_DATE} ROWS BETWEEN {{}} PRECEDING AND 1 PRECEDING)".format
+    means = {f"roll_mean_{w}": F.expr(f"avg({value}) {frame(w)}") for w in widths}
+    spreads = {f"roll_std_{w}": F.expr(f"stddev_samp({value}) {frame(w)}") for w in widths}
+    return df.withColumns(means | spreads)
 
 
 def _rolls_from_running_sums(df: DataFrame, widths: Sequence[int], value: str) -> DataFrame:
-    before = by_date().rowsBetween(Window.unboundedPreceding, -1)
-    x = F.col(value).cast("bigint")
-    running = {"_n": F.count(x), "_s": F.sum(x), "_q": F.sum(x * x)}
-    sums = df.withColumns({name: F.coalesce(total.over(before), F.lit(0)) for name, total in running.items()})
-
-    def within(name: str, width: int) -> Column:
-        return F.col(name) - F.coalesce(F.lag(name, width).over(by_date()), F.lit(0))
-
-    frames = sums.withColumns({f"{name}{w}": within(name, w) for name in running for w in widths})
-    columns = {}
-    for w in widths:
-        n, s, q = (F.col(f"{name}{w}") for name in running)
-        columns[f"roll_mean_{w}"] = F.try_divide(s, n)
-        columns[f"roll_std_{w}"] = F.sqrt(F.try_divide(n * q - s * s, n * (n - 1)))
+    x = f"CAST({value} AS BIGINT)"
+    before = f"OVER ({BY_DATE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    running = {"_n": f"count({x})", "_s": f"sum({x})", "_q": f"sum({x} * {x})"}
+    sums = df.withColumns({name: F.expr(f"coalesce({total} {before}, 0)") for name, total in running.items()})
+    frames = sums.withColumns(
+        {
+            f"{name}{w}": F.expr(f"{name} - coalesce(lag({name}, {w}) OVER ({BY_DATE}), 0)")
+            for name in running
+            for w in widths
+        }
+    )
+    means = {f"roll_mean_{w}": F.expr(f"try_divide(_s{w}, _n{w})") for w in widths}
+    spreads = {
+        f"roll_std_{w}": F.expr(f"sqrt(try_divide(_n{w} * _q{w} - _s{w} * _s{w}, _n{w} * (_n{w} - 1)))") for w in widths
+    }
     temporary = [*running, *(f"{name}{w}" for name in running for w in widths)]
-    return frames.withColumns(columns).drop(*temporary)
+    return frames.withColumns(means | spreads).drop(*temporary)
 
 
 def feature_frame(panel: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from shelfcast import SERIES
 from shelfcast.functions.calendar import day_name, month_name
 from shelfcast.functions.moments import kurtosis_corrected, skewness_corrected
 from shelfcast.operators.quantiles import histogram, percentiles, value_counts
+from shelfcast.session import materialize
 
 # Percentile points and histogram sizes of the profile.
 PERCENTILE_POINTS = (0, 25, 50, 75, 90, 95, 99, 100)
@@ -52,9 +53,15 @@ def null_counts(df: DataFrame, columns: Sequence[str] = ("sales", "date", "store
     return df.agg(*(F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns))
 
 
+def stored_counts(df: DataFrame, column: str) -> DataFrame:
+    """Value counts, written down once: quantiles, histograms and box plots pass over
+    them several times, and they are much smaller than the panel."""
+    return materialize(value_counts(df, column), f"{column}-counts")
+
+
 def moments(panel: DataFrame, column: str = "sales") -> DataFrame:
     """One row: mean, median, std, min, max, skewness, kurtosis."""
-    median = percentiles(value_counts(panel, column), (50,)).select("value").scalar()
+    median = percentiles(stored_counts(panel, column), (50,)).select("value").scalar()
     return panel.agg(
         F.avg(column).alias("mean"),
         F.stddev_samp(column).alias("std"),
@@ -66,12 +73,12 @@ def moments(panel: DataFrame, column: str = "sales") -> DataFrame:
 
 
 def sales_percentiles(panel: DataFrame, points: Sequence[float] = PERCENTILE_POINTS) -> DataFrame:
-    return percentiles(value_counts(panel, "sales"), points)
+    return percentiles(stored_counts(panel, "sales"), points)
 
 
 def sales_histogram(panel: DataFrame, bins: int = SALES_BINS, log: bool = False) -> DataFrame:
     value = F.log1p("value") if log else None
-    return histogram(value_counts(panel, "sales"), bins, value)
+    return histogram(stored_counts(panel, "sales"), bins, value)
 
 
 def _mean_std(df: DataFrame, key: Column, name: str) -> DataFrame:
@@ -135,7 +142,7 @@ def sorted_counts(panel: DataFrame, key: str) -> DataFrame:
 def key_count_histogram(panel: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
     """Histogram of the number of rows per key."""
     sizes = panel.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    return histogram(value_counts(sizes, "n_rows"), bins)
+    return histogram(stored_counts(sizes, "n_rows"), bins)
 
 
 def item_store_totals(panel: DataFrame, item) -> DataFrame:

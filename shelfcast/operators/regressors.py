@@ -175,16 +175,15 @@ def fit_sequence_model(
     train = samples.where(F.col("split") == "train")
     columns = [*features, "y"]
     scaler = fit_standard(train, columns)
-    # Written down once, as both the fit and the predictions use it.
-    scaler = samples.sparkSession.createDataFrame([scaler.first()], scaler.schema)
+    parameters = scaler.first()
 
     def prepared(part: DataFrame) -> DataFrame:
-        scaled = scale_standard(part.withColumn("actual", F.col("y").cast("double")), scaler, columns)
+        scaled = scale_standard(part.withColumn("actual", F.col("y").cast("double")), parameters, columns)
         return scaled.withColumn("sequence", array_to_vector(F.transform("seq", lambda v: v.cast("double"))))
 
     assembler = VectorAssembler(inputCols=["sequence", *features], outputCol="features")
     sized = VectorSizeHint(inputCol="sequence", size=lookback)
     model = Pipeline(stages=[sized, assembler, estimator]).fit(prepared(train).select("sequence", *features, "y"))
     held_out = prepared(samples.where(F.col("split") == "val"))
-    scored = unscale_standard(model.transform(held_out), scaler, "yhat", "y")
-    return scored.select(F.lit(name).alias("model"), *SERIES_DAY, F.col("actual").alias("y"), "yhat"), model, scaler
+    scored = unscale_standard(model.transform(held_out), parameters, "yhat", "y")
+    return scored.select(F.lit(name).alias("model"), *SERIES_DAY, F.col("actual").alias("y"), "yhat"), model, samples.sparkSession.createDataFrame([parameters], scaler.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from shelfcast import SERIES
@@ -12,28 +12,21 @@ from shelfcast import SERIES
 
 def fit_standard(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: ``<c>_mean`` and ``<c>_std`` (population; 1 for a constant column)."""
-    spread = lambda c: F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0))
-    return train.agg(
-        *(F.avg(c).alias(f"{c}_mean") for c in columns), *(spread(c).alias(f"{c}_std") for c in columns)
-    )
-
-
-def _parameters(fitted: DataFrame) -> Column:
-    return fitted.select(F.struct(*fitted.columns).alias("p")).scalar()
+    means = [F.expr(f"avg({c})").alias(f"{c}_mean") for c in columns]
+    spreads = [F.expr(f"coalesce(nullif(stddev_pop({c}), 0.0D), 1.0D)").alias(f"{c}_std") for c in columns]
+    return train.agg(*means, *spreads)
 
 
-def scale_standard(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace each column by its z-score. The parameters arrive as a scalar subquery."""
-    p = F.col("_p")
-    scaled = {c: (F.col(c) - p[f"{c}_mean"]) / p[f"{c}_std"] for c in columns}
-    return df.withColumn("_p", _parameters(fitted)).withColumns(scaled).drop("_p")
+def scale_standard(df: DataFrame, fitted: DataFrame | Row, columns: Sequence[str]) -> DataFrame:
+    """Replace each column by its z-score. The one fitted row becomes constants of the plan."""
+    p = fitted.first() if isinstance(fitted, DataFrame) else fitted
+    return df.withColumns({c: (F.col(c) - p[f"{c}_mean"]) / p[f"{c}_std"] for c in columns})
 
 
-def unscale_standard(df: DataFrame, fitted: DataFrame, column: str, like: str) -> DataFrame:
+def unscale_standard(df: DataFrame, fitted: DataFrame | Row, column: str, like: str) -> DataFrame:
     """Bring ``column`` from z-scores back to the units of the fitted column ``like``."""
-    p = F.col("_p")
-    restored = F.col(column) * p[f"{like}_std"] + p[f"{like}_mean"]
-    return df.withColumn("_p", _parameters(fitted)).withColumn(column, restored).drop("_p")
+    p = fitted.first() if isinstance(fitted, DataFrame) else fitted
+    return df.withColumn(column, F.col(column) * p[f"{like}_std"] + p[f"{like}_mean"])
 
 
 def scale_minmax(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SERIES, keep_range: bool = False) -> DataFrame:

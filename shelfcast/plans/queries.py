@@ -28,7 +28,7 @@ from shelfcast.operators.features import (
 )
 from shelfcast.operators.series_models import per_series_ridge
 from shelfcast.plans import horizon_study, training_run
-from shelfcast.session import scratch_path
+from shelfcast.session import materialize, scratch_path
 from shelfcast.sources import results
 from shelfcast.sources.panel import as_panel, densify, read_panel_tables, scan_csv, write_panel
 
@@ -53,6 +53,17 @@ def query(build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Data
     return build
 
 
+def query_on_stored_panel(build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Register a function that passes over the panel several times: the panel is
+    written to the shared folder first, so the raw tables are read once."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return tidy(build(materialize(read_panel_tables(spark, folder), "panel")))
+
+    _REGISTRY[build.__name__] = run
+    return build
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Round doubles to six digits; adding zero turns -0.0 into 0.0."""
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
@@ -117,7 +128,7 @@ def training_frame(p):
     return training_run.training_frame(p).select("date", *SERIES, "sales", *FEATURES)
 
 
-@query
+@query_on_stored_panel
 def category_code_table(p):
     complete = complete_rows(with_lags(p))
     items = category_codes(complete, "item", "code").select(F.lit("item").alias("kind"), F.col("item").alias("label"), "code")
@@ -173,7 +184,7 @@ def long_enough_series(p):
     return profile.series_sizes(splits.min_length(p, 395))
 
 
-@query
+@query_on_stored_panel
 def first_ten_series(p):
     return profile.series_sizes(splits.first_series(p, 10))
 
@@ -207,7 +218,7 @@ def chosen_pair_rows(p):
 SCALED = ["sales", "lag_1", "lag_7", "roll_mean_7", "roll_std_28"]
 
 
-@query
+@query_on_stored_panel
 def standard_scale(p):
     split = splits.with_time_split(complete_rows(feature_frame(p)), VAL_DAYS)
     fitted = scaling.fit_standard(split.where("split = 'train'"), SCALED)
@@ -245,7 +256,7 @@ def null_counts(p):
     return profile.null_counts(p)
 
 
-@query
+@query_on_stored_panel
 def sales_moments(p):
     return profile.moments(p)
 
@@ -267,7 +278,7 @@ def log_sales_histogram(p):
 
 @query
 def boxplot_stats(p):
-    return quantiles.box_plot(quantiles.value_counts(p, "sales"))
+    return quantiles.box_plot(profile.stored_counts(p, "sales"))
 
 
 @query
@@ -343,7 +354,7 @@ def pacf(p):
     return autocorr.pacf(autocorr.correlation_arrays(p))
 
 
-@query
+@query_on_stored_panel
 def acf_of_largest_pairs(p):
     chosen = splits.rows_of(p, splits.largest_pairs(p, 3).orderBy(F.desc("n_rows"), *SERIES).limit(2))
     return autocorr.acf(autocorr.correlation_arrays(chosen))
@@ -397,7 +408,7 @@ def best_per_metric(p):
     return scoring.best_per_metric(scoring.score(training_run.naive_predictions(p, VAL_DAYS)))
 
 
-@query
+@query_on_stored_panel
 def common_key_ranking(p):
     """Models that cover different rows are compared on the rows they share."""
     split = splits.with_time_split(complete_rows(with_lags(p)), VAL_DAYS)
@@ -408,7 +419,7 @@ def common_key_ranking(p):
     return scoring.rank_models(scoring.score(scoring.on_common_keys(scoring.combine(full, fewer), 2)))
 
 
-@query
+@query_on_stored_panel
 def horizon_matrix(p):
     matrix = horizon_study.backtest_matrix(p)
     names = dict(zip(scoring.MATRIX_HORIZONS, ("historical", "month_1", "months_3", "year_1")))
@@ -435,7 +446,7 @@ def _last_date(p: DataFrame):
     return p.agg(F.max("date")).scalar()
 
 
-@query
+@query_on_stored_panel
 def persistence_forecast(p):
     return forecast.persistence(training_run.naive_predictions(p, VAL_DAYS, {"row_7_back": "lag_7"}), _last_date(p))
 
@@ -460,7 +471,7 @@ def holt_winters(p):
     return forecast.seasonal_smoothing(p)
 
 
-@query
+@query_on_stored_panel
 def recursive_mean_forecast(p):
     """Sales regressed on the mean of the seven rows before; the forecast feeds on itself."""
     fit = complete_rows(feature_frame(p)).agg(
@@ -540,7 +551,7 @@ for _query_name, _model in {
     query(_build)
 
 
-@query
+@query_on_stored_panel
 def linear_regression_on_one_lag(p):
     """One input only, so that the fitted line has a closed form to compare with."""
     split = splits.with_time_split(complete_rows(with_lags(p)), VAL_DAYS)
@@ -572,7 +583,7 @@ def early_stopping_boosting(p):
     return regressors.fit_with_early_stop(_split_frame(p), estimator, "EarlyStoppingBoosting")[0]
 
 
-@query
+@query_on_stored_panel
 def recursive_linear_forecast(p):
     """A linear model on the last 28 rows, fitted by Spark ML and rolled forward."""
     samples = regressors.with_label(lookback_sequences(splits.with_time_split(complete_rows(with_lags(p)), VAL_DAYS)))

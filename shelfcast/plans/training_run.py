@@ -33,10 +33,12 @@ def training_frame(panel: DataFrame) -> DataFrame:
     """All features of the complete rows. Codes are assigned after incomplete rows are
     dropped, and the original keys stay.
 
-    The labels come from the series that keep a row. That list is partitioned like the
-    lag windows, so finding it takes no further shuffle, and it is written down once
-    for both code tables.
+    The panel is written down first, so that its joins over the raw rows run once. The
+    labels come from the series that keep a row; that list is partitioned like the lag
+    windows, so finding it takes no further shuffle, and it is stored for both code
+    tables.
     """
+    panel = materialize(panel, "panel")
     kept = materialize(complete_rows(with_lags(panel)).select(*SERIES).distinct(), "kept-series")
     return with_category_codes(complete_rows(feature_frame(panel)), SERIES, labels_from=kept)
 
