@@ -14,10 +14,11 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast import SERIES_DAY
-from shelfcast.operators.features import FEATURES, LOOKBACK
+from shelfcast import SERIES, SERIES_DAY
+from shelfcast.operators.features import BY_DATE, FEATURES, LOOKBACK
 from shelfcast.operators.scaling import fit_standard, scale_standard, unscale_standard
 from shelfcast.operators.scoring import combine
+from shelfcast.session import materialize
 from shelfcast.sources.results import load_model, save_model
 
 # Seed, and size and depth of the models.
@@ -151,6 +152,50 @@ def fit_with_early_stop(
     return predict(model, labelled.where(F.col("split") == "val"), name), model
 
 
+def with_direct_targets(split: DataFrame, horizons: Mapping[str, int]) -> DataFrame:
+    """A row per horizon: ``y`` and ``target_date`` of the row h rows later in the series,
+    and ``part``: 'train' when the target lies before the cutoff, else 'val'.
+
+    A row whose target is in the training part is the only kind a model may learn
+    from, whatever side of the cutoff the row itself is on.
+    """
+    targets = ", ".join(
+        f"struct('{name}' AS horizon, lead(sales, {h}) OVER ({BY_DATE}) AS target, lead(date, {h}) OVER ({BY_DATE}) AS target_date)"
+        for name, h in horizons.items()
+    )
+    return (
+        split.withColumn("targets", F.expr(f"array({targets})"))
+        .select(*split.columns, F.inline("targets"))
+        .where(F.col("target").isNotNull())
+        .withColumn("y", F.col("target").cast("double"))
+        .withColumn("part", F.when(F.col("target_date") <= F.col("cutoff"), "train").otherwise("val"))
+    )
+
+
+def fit_direct(
+    targeted: DataFrame, estimator: Estimator, horizons: Mapping[str, int], name: str, features: Sequence[str] = (*FEATURES, "sales")
+) -> DataFrame:
+    """One model per horizon, straight from today's features to the value h rows ahead.
+
+    For tree models, whose forecasts cannot be fed back in closed form. ``date`` in the
+    result is the date that was forecast. The rows are written once, apart by horizon,
+    so each fit reads only its own.
+    """
+    columns = list(dict.fromkeys((*SERIES, "target_date", *features, "y", "part", "horizon")))
+    stored = materialize(targeted.select(*columns), "direct-targets", ["horizon"])
+    parts = []
+    for horizon in horizons:
+        rows = stored.where(F.col("horizon") == horizon)
+        model = as_pipeline(estimator, features).fit(rows.where("part = 'train'").select(*features, "y"))
+        held_out = rows.where("part = 'val'")
+        parts.append(
+            model.transform(held_out).select(
+                F.lit(name).alias("model"), "horizon", *SERIES, F.col("target_date").alias("date"), "y", "yhat"
+            )
+        )
+    return combine(*parts)
+
+
 def huber_regression() -> LinearRegression:
     """Linear model with the robust loss; Spark needs a threshold above 1."""
     return LinearRegression(**_COLUMNS, loss="huber", epsilon=1.35, maxIter=100, regParam=0.0)

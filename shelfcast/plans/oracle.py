@@ -283,6 +283,37 @@ step(
 )
 
 
+step(
+    "chosen_pair",
+    f"""SELECT v.store, v.item FROM {SPLIT} v JOIN coded c USING (store, item, date) WHERE v.split = 'val'
+        GROUP BY v.store, v.item, c.store_code, c.item_code
+        ORDER BY (c.store_code = 1 AND c.item_code = 1) DESC, (c.store_code = 0 AND c.item_code = 0) DESC,
+        COUNT(*) DESC, c.store_code, c.item_code LIMIT 1""",
+    SPLIT, "coded",
+)
+step(
+    "direct_rows",
+    " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT store, item, sales, cutoff, '{name}' AS horizon, LEAD(sales, {h}) OVER ({ORDERED}) AS y,
+            LEAD(date, {h}) OVER ({ORDERED}) AS date FROM {SPLIT}) WHERE y IS NOT NULL"""
+        for name, h in HORIZONS.items()
+    ),
+    SPLIT,
+)
+step(
+    "family_rows",
+    f"""SELECT 'last_row' AS model, CAST(sales AS DOUBLE) AS y, CAST(lag_1 AS DOUBLE) AS yhat FROM {SPLIT} WHERE split = 'val'
+        UNION ALL SELECT 'row_60_back', sales, lag_60 FROM {SPLIT} WHERE split = 'val'
+        UNION ALL SELECT 'linear_trend', v.sales, f.yhat FROM (
+            SELECT store, item, date, regr_intercept(CASE WHEN date <= cutoff THEN sales END, CASE WHEN date <= cutoff THEN t END) OVER ({SERIES})
+            + t * regr_slope(CASE WHEN date <= cutoff THEN sales END, CASE WHEN date <= cutoff THEN t END) OVER ({SERIES}) AS yhat
+            FROM placed, (SELECT MAX(cutoff) AS cutoff FROM {SPLIT})) f
+        JOIN {SPLIT} v USING (store, item, date) WHERE v.split = 'val'""",
+    SPLIT, "placed",
+)
+step("family_scores", f"SELECT model, {PLAIN_METRICS} FROM family_rows GROUP BY model", "family_rows")
+
+
 def _histogram(source: str, value: str, bins: int, *needs: str) -> str:
     edge = lambda i: f"CASE WHEN {i} = {bins} THEN hi ELSE ({i}) * ((hi - lo) / {bins}) + lo END"
     return sql(
@@ -407,6 +438,12 @@ def all_sql() -> dict[str, str]:
             (PARTITION BY model, store, item ORDER BY date DESC) AS rn FROM naive) WHERE rn <= {n} GROUP BY model"""
         for w, n in (("1 Month", 30), ("3 Months", 90), ("1 Year", 365))
     )
+    pair_scores = " UNION ALL ".join(
+        f"""SELECT model, store, item, '{w}' AS "window", {METRICS} FROM (SELECT *, ROW_NUMBER() OVER
+            (PARTITION BY model, store, item ORDER BY date DESC) AS rn FROM naive JOIN chosen_pair USING (store, item))
+            WHERE rn <= {n} GROUP BY model, store, item"""
+        for w, n in (("1 Month", 30), ("3 Months", 90), ("1 Year", 365))
+    )
     common = f"""seq AS (SELECT store, item, date, sales, list_avg(s) AS m FROM (SELECT *, LIST(sales) OVER (PARTITION BY store, item, split
             ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS s FROM {SPLIT}) WHERE len(s) = 28 AND split = 'val'),
         shared AS (SELECT v.store, v.item, v.date, v.sales, v.lag_7, q.m FROM {SPLIT} v JOIN seq q USING (store, item, date)),
@@ -451,7 +488,7 @@ def all_sql() -> dict[str, str]:
         "lookback_sequence_samples": _sequences(VAL_DAYS, False),
         "lookback_across_split": _sequences(60, True),
         "direct_horizon_windows": sql(
-            "SELECT store, item, anchor_date, horizon, i, n, y, split, x FROM split_windows", "split_windows"
+            "SELECT store, item, anchor_date, horizon, CAST(i AS INTEGER) AS i, n, y, split, x FROM split_windows", "split_windows"
         ),
         "time_split_counts": sql(
             """SELECT split, cutoff, COUNT(*) AS n_rows, MIN(date) AS first_date, MAX(date) AS last_date
@@ -470,13 +507,9 @@ def all_sql() -> dict[str, str]:
         "chosen_pair_rows": sql(
             f"""SELECT v.date, v.store, v.item, c.store_code, c.item_code, v.sales FROM {SPLIT} v
                 JOIN coded c ON c.store = v.store AND c.item = v.item AND c.date = v.date
-                JOIN (SELECT v.store, v.item FROM {SPLIT} v JOIN coded c USING (store, item, date) WHERE v.split = 'val'
-                      GROUP BY v.store, v.item, c.store_code, c.item_code
-                      ORDER BY (c.store_code = 1 AND c.item_code = 1) DESC, (c.store_code = 0 AND c.item_code = 0) DESC,
-                      COUNT(*) DESC, c.store_code, c.item_code LIMIT 1) k ON k.store = v.store AND k.item = v.item
+                JOIN chosen_pair k ON k.store = v.store AND k.item = v.item
                 WHERE v.split = 'val'""",
-            SPLIT,
-            "coded",
+            "chosen_pair",
         ),
         "standard_scale": sql(
             f"""SELECT store, item, date, split, {', '.join(r(f'({c} - {c}_mean) / {c}_std', c) for c in SCALED)}
@@ -488,6 +521,7 @@ def all_sql() -> dict[str, str]:
                 FROM (SELECT {scaler} FROM {SPLIT} WHERE split = 'train')""",
             SPLIT,
         ),
+        "standard_scale_round_trip": sql(f"SELECT store, item, date, split, CAST(sales AS DOUBLE) AS sales FROM {SPLIT}", SPLIT),
         "minmax_scale_per_series": sql(f"SELECT date, store, item, {minmax} FROM study", "study"),
         "minmax_round_trip": sql("SELECT date, store, item, CAST(sales AS DOUBLE) AS sales FROM panel", "panel"),
         "dataset_overview": sql(
@@ -592,6 +626,14 @@ def all_sql() -> dict[str, str]:
         "metric_ranking": sql(f"{ranking} FROM naive_scores", "naive_scores"),
         "best_per_metric": sql(best, "naive_scores"),
         "common_key_ranking": sql(f", {common} {ranking} FROM common_scores", SPLIT),
+        "combined_results": sql(f"{ranking} FROM family_scores", "family_scores"),
+        "chosen_pair_scores": sql(pair_scores, "naive", "chosen_pair"),
+        "direct_linear_by_horizon": sql(
+            f"""SELECT 'direct_linear' AS model, horizon, store, item, date, CAST(y AS DOUBLE) AS y, {r('a + b * sales', 'yhat')}
+                FROM direct_rows JOIN (SELECT horizon, regr_slope(y, sales) AS b, regr_intercept(y, sales) AS a FROM direct_rows
+                WHERE date <= cutoff GROUP BY horizon) f USING (horizon) WHERE date > cutoff""",
+            "direct_rows",
+        ),
         "horizon_matrix": sql(matrix, "matrix_scores"),
         "macro_metrics": sql(f"SELECT model, horizon, n_series, {macro_columns} FROM macro", "macro"),
         "results_matrix": sql(f"SELECT model, {macro_matrix} FROM macro GROUP BY model", "macro"),

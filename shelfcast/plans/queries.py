@@ -231,6 +231,14 @@ def standard_scaler_parameters(p):
     return scaling.fit_standard(split.where("split = 'train'"), SCALED)
 
 
+@query_on_stored_panel
+def standard_scale_round_trip(p):
+    split = splits.with_time_split(complete_rows(with_lags(p)), VAL_DAYS)
+    fitted = scaling.fit_standard(split.where("split = 'train'"), ["sales"]).first()
+    scaled = scaling.scale_standard(split, fitted, ["sales"])
+    return scaling.unscale_standard(scaled, fitted, "sales", "sales").select(*SERIES_DAY, "split", "sales")
+
+
 @query
 def minmax_scale_per_series(p):
     frame = horizon_study.study_frame(p, HOLIDAYS)
@@ -419,6 +427,27 @@ def common_key_ranking(p):
     return scoring.rank_models(scoring.score(scoring.on_common_keys(scoring.combine(full, fewer), 2)))
 
 
+@query_on_stored_panel
+def combined_results(p):
+    """Two result tables, from different model families, joined into one ranking."""
+    split = splits.with_time_split(complete_rows(with_lags(p)), VAL_DAYS)
+    rows = scoring.long_predictions(split.where("split = 'val'"), {"last_row": "lag_1", "row_60_back": "lag_60"})
+    trend = forecast.trend_fitted(
+        p.withColumn("cutoff", splits.cutoff_date(complete_rows(with_lags(p)), VAL_DAYS)),
+        fit_rows=F.col("date") <= F.col("cutoff"),
+    )
+    later = trend.join(split.where("split = 'val'").select(*SERIES_DAY), list(SERIES_DAY), "left_semi")
+    return scoring.rank_models(scoring.combine(scoring.score(rows), scoring.score(later)))
+
+
+@query_on_stored_panel
+def chosen_pair_scores(p):
+    """Trailing scores of one series: the wanted pair of codes, or its fallback."""
+    split = splits.with_time_split(training_run.training_frame(p), VAL_DAYS).where("split = 'val'")
+    chosen = splits.rows_of(split, splits.choose_pair(split))
+    return scoring.score_trailing(scoring.long_predictions(chosen, training_run.NAIVE_MODELS), by=("model", *SERIES))
+
+
 @query_on_stored_panel
 def horizon_matrix(p):
     matrix = horizon_study.backtest_matrix(p)
@@ -559,6 +588,20 @@ def linear_regression_on_one_lag(p):
     return predictions
 
 
+@query_on_stored_panel
+def direct_linear_by_horizon(p):
+    """A line from today's sales to the sales 30, 90 and 365 rows ahead."""
+    split = splits.with_time_split(complete_rows(with_lags(p)), VAL_DAYS)
+    targeted = regressors.with_direct_targets(split, HORIZONS)
+    return regressors.fit_direct(targeted, regressors.linear_regression(), HORIZONS, "direct_linear", ["sales"])
+
+
+@query
+def direct_boosting_by_horizon(p):
+    targeted = regressors.with_direct_targets(_split_frame(p), HORIZONS)
+    return regressors.fit_direct(targeted, regressors.gradient_boosting(QUERY_ROUNDS), HORIZONS, "direct_boosting")
+
+
 @query
 def regressor_ranking(p):
     predictions, _ = regressors.fit_all(_split_frame(p), _query_regressors())

@@ -85,6 +85,19 @@ def test_sequence_models_return_units_sold(split):
         assert predictions.agg(F.min("y")).first()[0] > 30
 
 
+def test_direct_models_learn_only_from_past_targets(split):
+    horizons = {"near": 7, "far": 30}
+    targeted = regressors.with_direct_targets(split, horizons)
+    cutoff = split.first().cutoff
+    assert targeted.where("part = 'train'").agg(F.max("target_date")).first()[0] <= cutoff
+    by_day = {(r.store, r.item, r.date): r.sales for r in split.collect()}
+    predictions = regressors.fit_direct(targeted, regressors.gradient_boosting(20), horizons, "direct")
+    rows = predictions.collect()
+    assert {r.horizon for r in rows} == set(horizons) and all(r.date > cutoff for r in rows)
+    assert all(by_day[r.store, r.item, r.date] == r.y for r in rows)
+    assert all(r.r2 > 0.3 for r in score(predictions, ("horizon",)).collect())
+
+
 def test_early_stopping_uses_the_end_of_training(split):
     train = split.where("split = 'train'")
     marked = regressors.with_early_stop_rows(train, 30)
