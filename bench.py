@@ -62,6 +62,8 @@ def main() -> None:
             "spark.master": f"local[{cpus}]",
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "12g",
+            # The tables are tiny here: without this, shuffles shrink to fewer tasks than cores.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

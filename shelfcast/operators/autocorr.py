@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast import SERIES
 from shelfcast.operators.codes import with_global_position
+from shelfcast.operators.features import whole_series
 
 # Number of lags and the normal quantile of the 95 % bands.
 MAX_LAG = 30
@@ -40,7 +41,7 @@ def correlation_arrays(df: DataFrame, max_lag: int = MAX_LAG, value: str = "sale
     One shuffle and one sort by series: the mean is a window over the whole series and
     the lagged products are summed as they are produced. NULL for a constant series.
     """
-    mean = F.avg(value).over(Window.partitionBy(*SERIES))
+    mean = F.avg(value).over(whole_series())
     centred = df.select(*SERIES, "date", (F.col(value) - mean).alias("d"))
     return _as_correlations(_deviation_sums(centred, SERIES, "date", max_lag), max_lag, SERIES)
 

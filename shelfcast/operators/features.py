@@ -28,6 +28,11 @@ def by_date(keys: Sequence[str] = SERIES) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("date")
 
 
+def whole_series(keys: Sequence[str] = SERIES) -> WindowSpec:
+    """All rows of the series. Ordered like the other windows, so both share one sort."""
+    return by_date(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 # The same order as SQL text. Wide feature sets are written as SQL, which Spark parses
 # faster than the equivalent chain of Column calls is built.
 BY_DATE = f"PARTITION BY {', '.join(SERIES)} ORDER BY date"
@@ -99,10 +104,9 @@ def lookback_sequences(
     the training part. A part is contiguous in time, so it is enough to know a row's
     position in its part; no second sort by part is needed.
     """
-    series = Window.partitionBy(*SERIES)
     seq = F.collect_list(value).over(by_date().rowsBetween(-lookback, -1))
     position = F.row_number().over(by_date()) - 1
-    train_rows = F.count_if(F.col("split") == "train").over(series)
+    train_rows = F.count_if(F.col("split") == "train").over(whole_series())
     in_part = F.when(F.col("split") == "train", F.col("_t")).otherwise(F.col("_t") - F.col("_train_rows"))
     usable = F.col("_t") if across_split else in_part
     return (
@@ -127,7 +131,7 @@ def direct_windows(
     than window + longest horizon are skipped, as are horizons with no more than
     ``min_windows`` windows.
     """
-    length = F.count("*").over(Window.partitionBy(*SERIES))
+    length = F.count("*").over(whole_series())
     x = F.collect_list(F.struct(*inputs)).over(by_date().rowsBetween(1 - window, 0))
     targets = F.array(
         *(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast import SERIES, SERIES_DAY
-from shelfcast.operators.features import with_position
+from shelfcast.operators.features import whole_series, with_position
 from shelfcast.operators.scoring import join_actuals
 
 # Longest forecast in days and season length in rows.
@@ -69,12 +69,11 @@ def trend_fitted(panel: DataFrame, value: str = "sales", fit_rows: Column | None
 
     The line is computed with windows, so there is no join.
     """
-    series = Window.partitionBy(*SERIES)
     x, t = F.col(value), F.col("t")
     if fit_rows is not None:
         x, t = F.when(fit_rows, x), F.when(fit_rows, t)
     placed = with_position(panel).withColumns(
-        {"slope": F.regr_slope(x, t).over(series), "intercept": F.regr_intercept(x, t).over(series)}
+        {"slope": F.regr_slope(x, t).over(whole_series()), "intercept": F.regr_intercept(x, t).over(whole_series())}
     )
     line = F.col("intercept") + F.col("slope") * F.col("t")
     return placed.select(F.lit("linear_trend").alias("model"), *SERIES_DAY, F.col(value).cast("double").alias("y"), line.alias("yhat"))
@@ -224,7 +223,7 @@ def histories(panel: DataFrame, horizons: Mapping[str, int]) -> DataFrame:
     )
     return (
         with_position(panel)
-        .withColumn("_last", F.max("date").over(Window.partitionBy(*SERIES)))
+        .withColumn("_last", F.max("date").over(whole_series()))
         .select(*SERIES_DAY, "sales", "t", F.inline(wanted))
     )
 

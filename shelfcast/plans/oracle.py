@@ -129,21 +129,24 @@ step(
     "panel",
 )
 _LEADS = ", ".join(f"LEAD(sales, {h}) OVER ({ORDERED}) AS y{h}" for h in HORIZONS.values())
+_INPUTS = ("sales", "day_of_week", "month", "holiday")
+_TEXTS = ", ".join(
+    f"STRING_AGG(CAST({c} AS VARCHAR), ',') OVER ({ORDERED} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS x_{c}" for c in _INPUTS
+)
+_TEXT_COLUMNS = ", ".join(f"x_{c}" for c in _INPUTS)
 step(
     "anchored",
     f"""SELECT store, item, date AS anchor_date, ROW_NUMBER() OVER ({ORDERED}) - 1 AS t,
         COUNT(*) OVER ({SERIES}) AS length, {_LEADS},
         LIST(sales) OVER ({ORDERED} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS values,
-        STRING_AGG(sales || ':' || day_of_week || ':' || month || ':' || holiday, '|')
-            OVER ({ORDERED} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS x
-        FROM study""",
+        {_TEXTS} FROM study""",
     "study",
 )
 step(
     "windows",
     " UNION ALL ".join(
         f"""SELECT store, item, anchor_date, '{name}' AS name, CAST({h} AS INTEGER) AS horizon, t - 29 AS i,
-            length - 30 - {h} + 1 AS n, y{h} AS y, values, x FROM anchored
+            length - 30 - {h} + 1 AS n, y{h} AS y, values, {_TEXT_COLUMNS} FROM anchored
             WHERE length >= {30 + max(HORIZONS.values())} AND t >= 29 AND t - 29 < length - 30 - {h} + 1
             AND length - 30 - {h} + 1 > 100"""
         for name, h in HORIZONS.items()
@@ -488,7 +491,7 @@ def all_sql() -> dict[str, str]:
         "lookback_sequence_samples": _sequences(VAL_DAYS, False),
         "lookback_across_split": _sequences(60, True),
         "direct_horizon_windows": sql(
-            "SELECT store, item, anchor_date, horizon, CAST(i AS INTEGER) AS i, n, y, split, x FROM split_windows", "split_windows"
+            f"SELECT store, item, anchor_date, horizon, CAST(i AS INTEGER) AS i, n, y, split, {_TEXT_COLUMNS} FROM split_windows", "split_windows"
         ),
         "time_split_counts": sql(
             """SELECT split, cutoff, COUNT(*) AS n_rows, MIN(date) AS first_date, MAX(date) AS last_date

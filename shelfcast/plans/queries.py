@@ -71,7 +71,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def _text(array: str):
-    return F.array_join(F.transform(array, lambda v: v.cast("string")), ",")
+    return F.array_join(F.col(array).cast("array<string>"), ",")
 
 
 # Panel and features
@@ -157,10 +157,8 @@ def lookback_across_split(p):
 
 @query
 def direct_horizon_windows(p):
-    rows = F.transform("x", lambda r: F.concat_ws(":", r["sales"], r["day_of_week"], r["month"], r["holiday"]))
-    return horizon_study.windows(p, HOLIDAYS).select(
-        *SERIES, "anchor_date", "horizon", "i", "n", "y", "split", F.array_join(rows, "|").alias("x")
-    )
+    inputs = [_text(f"x.{name}").alias(f"x_{name}") for name in horizon_study.INPUTS]
+    return horizon_study.windows(p, HOLIDAYS).select(*SERIES, "anchor_date", "horizon", "i", "n", "y", "split", *inputs)
 
 
 # Splits, selections and scalers

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfcast.operators import autocorr
 from shelfcast.operators.features import complete_rows, feature_frame, lookback_sequences
 from shelfcast.operators.splits import with_time_split
-from shelfcast.plans import training_run
+from shelfcast.plans import horizon_study, training_run
 from shelfcast.sources.panel import panel_from_tables, read_panel_tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -46,8 +46,14 @@ def test_sequences_add_no_shuffle(panel):
     assert main(lookback_sequences(split)).count("Exchange hash") <= 2
 
 
-def test_acf_shuffles_each_row_once_more(panel):
-    assert shuffles(autocorr.correlation_arrays(panel)) == shuffles(panel) + 1
+def test_acf_shuffles_and_sorts_each_row_once(panel):
+    arrays = autocorr.correlation_arrays(panel)
+    assert shuffles(arrays) == shuffles(panel) + 1
+    assert len(re.findall(r"\bSort \[", plan_of(arrays))) == 1
+
+
+def test_direct_windows_sort_once(panel):
+    assert len(re.findall(r"\bSort \[", plan_of(horizon_study.windows(panel)))) == 1
 
 
 def test_series_filter_reaches_the_scan(spark):
