@@ -43,13 +43,17 @@ def with_lags(df: DataFrame, lags: Sequence[int] = LAGS, value: str = "sales") -
     return df.withColumns({f"lag_{n}": F.expr(f"lag({value}, {n}) OVER ({BY_DATE})") for n in lags})
 
 
+# Squares are split into multiples of this and remainders.
+SQUARE_PART = 1 << 31
+
+
 def with_rolls(df: DataFrame, widths: Sequence[int] = ROLL_WIDTHS, value: str = "sales") -> DataFrame:
     """``roll_mean_W`` and ``roll_std_W`` over the W rows before the current one.
 
-    Whole-number values take differences of running sums: exact, and the cost per row
-    does not grow with W. (The running sum of squares is a BIGINT; under ANSI mode an
-    overflow raises rather than wraps. It needs values beyond ten million a day kept
-    up for a century.) Fractional values use plain frames, as running sums would lose digits.
+    Whole-number values take differences of running sums: they are exact, and the cost
+    per row does not grow with W. Squares are summed in two parts so that the sums
+    cannot overflow while a series varies by less than 3 billion units; beyond that,
+    cast the value to double. Fractional values use plain frames, as running sums would lose digits.
     """
     if isinstance(df.schema[value].dataType, T.IntegralType):
         return _rolls_from_running_sums(df, widths, value)
@@ -60,9 +64,17 @@ def with_rolls(df: DataFrame, widths: Sequence[int] = ROLL_WIDTHS, value: str =
 
 
 def _rolls_from_running_sums(df: DataFrame, widths: Sequence[int], value: str) -> DataFrame:
-    x = f"CAST({value} AS BIGINT)"
+    # Values are taken relative to the series' first one, which keeps squares small.
+    first = f"first_value({value}) IGNORE NULLS OVER ({BY_DATE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    df = df.withColumn("_first", F.expr(f"CAST({first} AS BIGINT)"))
+    x = f"({value} - _first)"
     before = f"OVER ({BY_DATE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    running = {"_n": f"count({x})", "_s": f"sum({x})", "_q": f"sum({x} * {x})"}
+    running = {
+        "_n": f"count({x})",
+        "_s": f"sum({x})",
+        "_high": f"sum({x} * {x} div {SQUARE_PART})",
+        "_low": f"sum({x} * {x} % {SQUARE_PART})",
+    }
     sums = df.withColumns({name: F.expr(f"coalesce({total} {before}, 0)") for name, total in running.items()})
     frames = sums.withColumns(
         {
@@ -71,12 +83,14 @@ def _rolls_from_running_sums(df: DataFrame, widths: Sequence[int], value: str) -
             for w in widths
         }
     )
-    means = {f"roll_mean_{w}": F.expr(f"try_divide(_s{w}, _n{w})") for w in widths}
-    spreads = {
-        f"roll_std_{w}": F.expr(f"sqrt(try_divide(_n{w} * _q{w} - _s{w} * _s{w}, _n{w} * (_n{w} - 1)))") for w in widths
+    means = {f"roll_mean_{w}": F.expr(f"try_divide(_s{w} + _n{w} * _first, _n{w})") for w in widths}
+    squares = {f"_q{w}": F.expr(f"CAST(_high{w} AS DOUBLE) * {SQUARE_PART} + _low{w}") for w in widths}
+    variances = {
+        f"_v{w}": F.expr(f"try_divide(_n{w} * _q{w} - CAST(_s{w} AS DOUBLE) * _s{w}, _n{w} * (_n{w} - 1))") for w in widths
     }
-    temporary = [*running, *(f"{name}{w}" for name in running for w in widths)]
-    return frames.withColumns(means | spreads).drop(*temporary)
+    spreads = {f"roll_std_{w}": F.expr(f"sqrt(if(_v{w} < 0, 0.0D, _v{w}))") for w in widths}
+    temporary = ["_first", *running, *(f"{name}{w}" for name in (*running, "_q", "_v") for w in widths)]
+    return frames.withColumns(squares).withColumns(variances).withColumns(means | spreads).drop(*temporary)
 
 
 def feature_frame(panel: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import statistics
 
 import pytest
 
@@ -40,6 +41,16 @@ def test_rolling_sums_equal_plain_frames(make_panel):
             assert a[name] == pytest.approx(b[name], rel=1e-9, abs=1e-6) if b[name] is not None else a[name] is None
 
 
+def test_rolling_sums_of_very_large_values(make_panel):
+    values = [2_900_000_000 - (t * 7919) % 1_000_003 for t in range(70)]
+    rows = ordered(with_rolls(make_panel({(1, 1): values, (2, 2): [3_000_000_000] * 70})))
+    for t in (5, 40, 69):
+        window = values[max(0, t - 28) : t]
+        assert rows[t].roll_mean_28 == pytest.approx(statistics.mean(window), rel=1e-12)
+        assert rows[t].roll_std_28 == pytest.approx(statistics.stdev(window), rel=1e-6)
+    assert rows[-1].roll_std_60 == 0 and rows[-1].roll_mean_60 == 3_000_000_000
+
+
 def test_features_do_not_see_the_present_or_future(make_panel):
     past = list(range(1, 81))
     a = ordered(feature_frame(make_panel({(1, 1): past + [5] * 10})))
