@@ -179,12 +179,17 @@ def fit_direct(
 
     For tree models, whose forecasts cannot be fed back in closed form. ``date`` in the
     result is the date that was forecast. The rows are written once, apart by horizon,
-    so each fit reads only its own.
+    so each fit reads only its own. A horizon longer than every series has no row to
+    learn from and no forecast.
     """
     columns = list(dict.fromkeys((*SERIES, "target_date", *features, "y", "part", "horizon")))
     stored = materialize(targeted.select(*columns), "direct-targets", ["horizon"])
-    parts = []
-    for horizon in horizons:
+    trainable = {r.horizon for r in stored.where("part = 'train'").select("horizon").distinct().collect()}
+    empty = stored.where(F.lit(False)).select(
+        F.lit(name).alias("model"), "horizon", *SERIES, F.col("target_date").alias("date"), "y", F.col("y").alias("yhat")
+    )
+    parts = [empty]
+    for horizon in (h for h in horizons if h in trainable):
         rows = stored.where(F.col("horizon") == horizon)
         model = as_pipeline(estimator, features).fit(rows.where("part = 'train'").select(*features, "y"))
         held_out = rows.where("part = 'val'")
