@@ -7,20 +7,35 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import bpe
+from shelfcast.llm import bpe, simhash_dedup, token_files
 from shelfcast.llm.text import table
+from shelfcast.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Write the ids of every text to compressed files and read them back."""
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), path)
+    return token_files.read_token_files(spark, path, with_ids=False)
+
+
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Encode and decode every text."""
     return bpe.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op9_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash_dedup.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_token_files": op6_token_files,
         "op8_bpe_round_trip": op8_bpe_round_trip,
+        "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
     }
 
 
