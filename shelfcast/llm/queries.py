@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import bpe, simhash_dedup, token_files
+from shelfcast.llm import bpe, decontamination, line_dedup, simhash_dedup, token_files
 from shelfcast.llm.text import table
 from shelfcast.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op2_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold benchmark items, with the best window for each item."""
+    return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Write the ids of every text to compressed files and read them back."""
     path = scratch_path(spark, "token-files")
@@ -21,6 +26,11 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts without lines covered by repeated windows."""
+    return line_dedup.dedup_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Encode and decode every text."""
     return bpe.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
@@ -33,11 +43,15 @@ def op9_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_benchmark_leaks": op2_benchmark_leaks,
         "op6_token_files": op6_token_files,
+        "op7_line_dedup": op7_line_dedup,
         "op8_bpe_round_trip": op8_bpe_round_trip,
         "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
     }
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_line_dedup": line_dedup.SQL,
+    }
