@@ -28,11 +28,11 @@ def _words(text: Column) -> Column:
 
 
 def _shingled(df: DataFrame, key: list[str], width: int) -> DataFrame:
-    """key, n_words and shingles: the hash of each run of `width` words. Texts with fewer words are left out."""
-    hashes = df.select(*key, F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") >= width)
+    """key, n_words and shingles: the hash of each run of `width` words; none in a text of fewer."""
+    hashes = df.select(*key, F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
     run = ", ".join(f"get(words, i + {k})" for k in range(width))
-    # A filter above may be evaluated first, so the expression itself holds for fewer words.
-    return hashes.select(*key, F.size("words").alias("n_words"), F.expr(f"transform(sequence(0, greatest(size(words) - {width}, 0)), i -> xxhash64({run}))").alias("shingles"))
+    runs = f"CASE WHEN size(words) >= {width} THEN transform(sequence(0, size(words) - {width}), i -> xxhash64({run})) ELSE array() END"
+    return hashes.select(*key, F.size("words").alias("n_words"), F.expr(runs).alias("shingles"))
 
 
 def _simhash(shingles: str) -> Column:
@@ -58,6 +58,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
     size = BITS // blocks
     items, _ = stored(
         _shingled(benchmark.select("item_id", "text").distinct(), ["item_id"], width)
+        .where(F.size("shingles") > 0)
         .withColumn("item_print", _simhash("shingles"))
         .withColumn("item", F.monotonically_increasing_id()),
         "items",
@@ -69,7 +70,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
     key = ["doc_id", "text_hash"]
     texts = docs.select("doc_id", "text", F.expr("xxhash64(coalesce(text, ''))").alias("text_hash"))
     shingled = _shingled(texts, key, width)
-    hits = shingled.select(*key, "n_words", F.posexplode("shingles").alias("at", "shingle")).join(known, "shingle", "left_semi")
+    # The outer form: the other one puts a filter below, which computes all shingles a second time.
+    hits = shingled.select(*key, "n_words", F.posexplode_outer("shingles").alias("at", "shingle")).join(known, "shingle", "left_semi")
     hits = hits.select(*key, "n_words", "at", "shingle").join(places, "shingle")
     begin = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n_words") - F.col("size")))
     windows, _ = stored(hits.select(*key, begin.alias("start"), "size").distinct(), "windows")

@@ -23,10 +23,11 @@ def covered_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     h, g = "xxhash64(x)", "xxhash64(x, length(x))"
     pick = ", ".join(f"get(%s, i + {k})" for k in range(window))
     filled = " OR ".join(f"get(blank, i + {k}) = false" for k in range(window))
-    hashed = docs.select("doc_id", F.expr("xxhash64(coalesce(text, ''))").alias("text_hash"), _lines(F.col("text")).alias("lines")).where(F.size("lines") >= window)
+    hashed = docs.select("doc_id", F.expr("xxhash64(coalesce(text, ''))").alias("text_hash"), _lines(F.col("text")).alias("lines"))
     hashed = hashed.select("doc_id", "text_hash", F.expr(f"transform(lines, x -> {h})").alias("h"), F.expr(f"transform(lines, x -> {g})").alias("g"), F.expr("transform(lines, x -> trim(x) = '')").alias("blank"))
-    spans = f"transform(sequence(0, greatest(size(h) - {window}, 0)), i -> struct(i AS place, xxhash64({pick.replace('%s', 'h')}) AS a, xxhash64({pick.replace('%s', 'g')}) AS b, {filled} AS filled))"
-    windows = hashed.select("doc_id", "text_hash", F.explode(F.expr(spans)).alias("w")).where("w.filled").select("doc_id", "text_hash", "w.place", "w.a", "w.b")
+    spans = f"CASE WHEN size(h) >= {window} THEN transform(sequence(0, size(h) - {window}), i -> struct(i AS place, xxhash64({pick.replace('%s', 'h')}) AS a, xxhash64({pick.replace('%s', 'g')}) AS b, {filled} AS filled)) END"
+    # The outer form: the other one puts a filter below, which builds all windows a second time.
+    windows = hashed.select("doc_id", "text_hash", F.explode_outer(F.expr(spans)).alias("w")).where("w.filled").select("doc_id", "text_hash", "w.place", "w.a", "w.b")
     first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
     later = windows.join(first, ["a", "b"]).where("NOT (doc_id <=> first.doc_id AND place = first.place)")
     merged = F.array_distinct(F.flatten(F.transform(F.collect_set("place"), lambda p: F.sequence(p, p + F.lit(window - 1)))))
