@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfcast.llm import bpe, decontamination, line_dedup, simhash_dedup, token_files
-from shelfcast.llm.text import table
+from shelfcast.llm import backoff_lm, bpe, decontamination, ego_join, line_dedup, quality, simhash_dedup, token_files
+from shelfcast.llm.text import remainder, table
 from shelfcast.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,6 +20,20 @@ def op2_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
 
+def op3_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every text under a bigram automaton."""
+    return backoff_lm.score_texts(table(spark, folder, "documents"), order=2)
+
+
+def op5_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every text, learned from four of five labelled ones."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    fold = remainder(F.col("doc_id"), 5)
+    model = quality.fit(docs, labels.where(fold != 0).select("doc_id", F.col("quality").alias("label")))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Write the ids of every text to compressed files and read them back."""
     path = scratch_path(spark, "token-files")
@@ -41,13 +56,21 @@ def op9_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
 
 
+def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    return ego_join.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_benchmark_leaks": op2_benchmark_leaks,
+        "op3_backoff_scores": op3_backoff_scores,
+        "op5_quality_scores": op5_quality_scores,
         "op6_token_files": op6_token_files,
         "op7_line_dedup": op7_line_dedup,
         "op8_bpe_round_trip": op8_bpe_round_trip,
         "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
+        "op10_near_vectors": op10_near_vectors,
     }
 
 
