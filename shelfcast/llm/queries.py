@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import backoff_lm, bpe, decontamination, ego_join, line_dedup, quality, simhash_dedup, token_files
+from shelfcast.llm import backoff_lm, bpe, decontamination, ego_join, line_dedup, quality, simhash_dedup, suffix_dedup, token_files
 from shelfcast.llm.text import remainder, table
 from shelfcast.session import scratch_path
 
@@ -25,6 +25,11 @@ def op3_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
     return backoff_lm.score_texts(table(spark, folder, "documents"), order=2)
 
 
+def op4_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text without its bytes that a string of 100 bytes covers which also starts earlier."""
+    return suffix_dedup.find_repeats(table(spark, folder, "documents"), digests=True)
+
+
 def op5_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every text, learned from four of five labelled ones."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -65,6 +70,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_benchmark_leaks": op2_benchmark_leaks,
         "op3_backoff_scores": op3_backoff_scores,
+        "op4_repeated_strings": op4_repeated_strings,
         "op5_quality_scores": op5_quality_scores,
         "op6_token_files": op6_token_files,
         "op7_line_dedup": op7_line_dedup,
