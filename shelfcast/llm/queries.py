@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import backoff_lm, bpe, decontamination, ego_join, line_dedup, quality, simhash_dedup, suffix_dedup, token_files
+from shelfcast.llm import backoff_lm, bpe, chat, decontamination, ego_join, line_dedup, quality, simhash_dedup, suffix_dedup, token_files
 from shelfcast.llm.text import remainder, table
 from shelfcast.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_chat_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Roles and rendered turns of all conversations."""
+    return chat.format_turns(table(spark, folder, "conversations"))
+
+
 def op2_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold benchmark items, with the best window for each item."""
     return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
@@ -68,6 +73,7 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_turns": op1_chat_turns,
         "op2_benchmark_leaks": op2_benchmark_leaks,
         "op3_backoff_scores": op3_backoff_scores,
         "op4_repeated_strings": op4_repeated_strings,
