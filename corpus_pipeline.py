@@ -28,8 +28,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts without lines that repeated windows cover; n_chars follows the text."""
-    found = line_dedup.dedup_lines(docs)
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    found = line_dedup.dedup_lines(docs, counts=False)
+    return found.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else found
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.tables import stored
+from shelfcast.llm.text import unused
 
 BITS = 64
 #: Shingles of the benchmark that may be sent to every executor, 16 bytes each; a larger set is joined by shuffle.
@@ -100,6 +101,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of docs in which find_leaks finds nothing, with all their columns."""
-    found, _ = stored(find_leaks(docs, benchmark, **settings).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.expr("xxhash64(coalesce(text, ''))") == F.col("_hash"))
+    of_doc, of_text = unused(docs.columns, "of_doc", "of_text")
+    found, _ = stored(find_leaks(docs, benchmark, **settings).select(F.col("doc_id").alias(of_doc), F.col("text_hash").alias(of_text)).distinct(), "leaks")
+    same = F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.expr("xxhash64(coalesce(text, ''))") == F.col(of_text))
     return docs.join(found, same, "left_anti")

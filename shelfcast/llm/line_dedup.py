@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.tables import stored
+from shelfcast.llm.text import unused
 
 
 def _lines(text: Column) -> Column:
@@ -34,29 +35,28 @@ def covered_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     return later.groupBy("doc_id", "text_hash").agg(merged.alias("covered"))
 
 
-def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
-    """docs with its texts freed of repeated lines, and two more columns: n_lines and n_removed.
+def dedup_lines(docs: DataFrame, window: int = 3, counts: bool = True) -> DataFrame:
+    """docs with its texts freed of repeated lines, and on request two more columns: n_lines and n_removed.
 
     A window of three consecutive lines that also begins earlier, in a text with a smaller doc_id or further up
     in the same one, is a later occurrence, and all lines that later occurrences cover are removed. Windows are
     compared as they stand in the input. Windows whose lines are all blank don't count. A null or empty text has
     no lines and stays; a text of fewer than three lines stays; a text may become empty. A null doc_id is before
     all others; rows that share a doc_id count as one document, so the same window at the same place in
-    them is no repetition. All columns are kept; n_lines and n_removed replace columns of these names.
+    them is no repetition, and equal rows get equal results. An empty table stays empty. All columns are kept, but
+    n_lines and n_removed, when asked for, replace columns of these names.
     """
+    of_doc, of_text, covered, text_hash = unused(docs.columns, "of_doc", "of_text", "covered", "text_hash")
     found, _ = stored(covered_lines(docs, window), "covered-lines")
-    found = found.select(F.col("doc_id").alias("_of_doc"), F.col("text_hash").alias("_of_text"), F.col("covered").alias("_covered"))
-    marked = docs.withColumn("_text_hash", F.expr("xxhash64(coalesce(text, ''))"))
-    joined = marked.join(found, F.col("doc_id").eqNullSafe(F.col("_of_doc")) & (F.col("_text_hash") == F.col("_of_text")), "left")
+    found = found.select(F.col("doc_id").alias(of_doc), F.col("text_hash").alias(of_text), F.col("covered").alias(covered))
+    marked = docs.withColumn(text_hash, F.expr("xxhash64(coalesce(text, ''))"))
+    joined = marked.join(found, F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.col(text_hash) == F.col(of_text)), "left")
     lines = _lines(F.col("text"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_covered")), lambda i: F.get(lines, i))
-    out = {
-        "text": F.when(F.col("_covered").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.size(lines).cast("long"),
-        "n_removed": F.coalesce(F.size("_covered"), F.lit(0)).cast("long"),
-    }
-    others = [c for c in docs.columns if c not in out]
-    return joined.select(*[F.col(c) for c in others], *[v.alias(k) for k, v in out.items()]).select([c for c in docs.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"])
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(covered)), lambda i: F.get(lines, i))
+    text = F.when(F.col(covered).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    more = [F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    names = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_removed")]
+    return joined.select(*(text if c == "text" else F.col(f"`{c}`") for c in names), *more)
 
 
 SQL = """

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfcast.llm.tables import stored
-from shelfcast.llm.text import dictionary, mixed, rows_of, words
+from shelfcast.llm.text import dictionary, mixed, rows_of, unused, words
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 4000
@@ -195,5 +195,5 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of docs whose score, by a model fitted on them and the labels, is at least `least`; their columns."""
-    name = "_quality_score"
-    return score(docs, fit(docs, labels), name).where(F.col(name) >= least).select(docs.columns)
+    (name,) = unused(docs.columns, "score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm.components import components
 from shelfcast.llm.tables import stored
-from shelfcast.llm.text import rows_of
+from shelfcast.llm.text import rows_of, unused
 
 BITS = 64
 # Fixed value: the seed of the shingle hash.
@@ -171,17 +171,13 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFra
     Ties on doc_id (repeated rows, null) go to the smallest hash of the text; of rows that agree in both, one stays.
     All columns are kept.
     """
+    of_doc, of_text, text_hash = unused(docs.columns, "of_doc", "of_text", "text_hash")
     found = near_duplicates(docs, shingle, distance)
     stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")).alias("row"))
     # Components without any doc_id have no name of their own: their rows are told apart by fingerprint.
-    nameless = found.where("component_id IS NULL").groupBy("fingerprint").agg(F.min("text_hash").alias("text_hash")).select(F.lit(None).cast("long").alias("_id"), F.col("text_hash").alias("_hash"))
-    stays = stays.where("component_id IS NOT NULL").select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash")).unionByName(nameless)
+    nameless = found.where("component_id IS NULL").groupBy("fingerprint").agg(F.min("text_hash").alias("text_hash")).select(F.lit(None).cast("long").alias(of_doc), F.col("text_hash").alias(of_text))
+    stays = stays.where("component_id IS NOT NULL").select(F.col("row.doc_id").alias(of_doc), F.col("row.text_hash").alias(of_text)).unionByName(nameless)
     stays, _ = stored(stays, "kept")
-    marked = docs.withColumn("_hash_of_text", _text_hash(docs))
-    kept = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash_of_text") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash_of_text"]).select(docs.columns)
-
-
-def _text_hash(docs: DataFrame):
-    """The hash of fingerprints(), computed without Python."""
-    return F.expr("xxhash64(coalesce(text, ''))")
+    marked = docs.withColumn(text_hash, F.expr("xxhash64(coalesce(text, ''))"))
+    kept = marked.join(stays, F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.col(text_hash) == F.col(of_text)), "left_semi")
+    return kept.dropDuplicates(["doc_id", text_hash]).select(*(F.col(f"`{c}`") for c in docs.columns))
