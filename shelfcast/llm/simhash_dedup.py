@@ -88,10 +88,12 @@ def links(prints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFra
     while True:
         rows = rows.withColumn("shared", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "shared").agg(F.count("*").alias("size"))
-        small = rows.join(sizes.where(F.col("size").between(2, bucket)).drop("size"), ["mask", "shared"])
+        # So few free bits that a bucket can't be large, or can't be cut.
+        last = F.col("mask").isin([m for m, used in masks.items() if BITS - len(used) <= max(distance, bucket.bit_length() - 1)])
+        small = rows.join(sizes.where((F.col("size") > 1) & ((F.col("size") <= bucket) | last)).drop("size"), ["mask", "shared"])
         pairs = _forests(small, distance)
         found = pairs if found is None else found.unionByName(pairs)
-        large, _ = stored(sizes.where(F.col("size") > bucket).drop("size"), "buckets")
+        large, _ = stored(sizes.where((F.col("size") > bucket) & ~last).drop("size"), "buckets")
         if large.isEmpty():
             return found
         finer = {m: [used + part for part in cut([b for b in range(BITS) if b not in set(used)], distance + 1) if part] for m, used in masks.items()}
