@@ -39,8 +39,8 @@ STATES = 2 * len(ROLES)
 BLOCK = 512
 FORMS = 6 * 2 * 3
 #: That the label or marker of a line that begins a turn names its role, and each other one; else it names none. The same inside a turn.
-NAMED, MISNAMED = 0.56, 0.02
-NAMED_INSIDE = 0.01
+NAMED, MISNAMED = 0.596, 0.002
+NAMED_INSIDE = 0.001
 #: That a line that begins a turn is the first of its row, and that one inside a turn is.
 FIRST, FIRST_INSIDE = 0.95, 0.01
 #: That a turn goes on for another line.

@@ -79,7 +79,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
     # Only texts with a window are cut into words again.
     held = windows.groupBy(*key).agg(F.collect_set(F.struct("start", "size")).alias("windows"))
     held = held.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "windows")
-    again = texts.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select(*key, "text", "windows").dropDuplicates(key)
+    # Joins with texts are the same at every size.
+    again = texts.join(held.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select(*key, "text", "windows").dropDuplicates(key)
     cut = _shingled(again, [*key, "windows"], width).select(*key, "shingles", F.explode("windows").alias("w"))
     cut = cut.select(*key, F.col("w.start").alias("start"), F.col("w.size").alias("size"), F.slice("shingles", F.col("w.start") + 1, F.col("w.size") - (width - 1)).alias("shingles"))
     printed, _ = stored(cut.withColumn("window_print", _simhash("shingles")).withColumn("window", F.monotonically_increasing_id()), "prints")
@@ -104,4 +105,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFram
     of_doc, of_text = unused(docs.columns, "of_doc", "of_text")
     found, _ = stored(find_leaks(docs, benchmark, **settings).select(F.col("doc_id").alias(of_doc), F.col("text_hash").alias(of_text)).distinct(), "leaks")
     same = F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.expr("xxhash64(coalesce(text, ''))") == F.col(of_text))
-    return docs.join(found, same, "left_anti")
+    return docs.join(found.hint("merge"), same, "left_anti")

@@ -181,5 +181,5 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFra
     stays = stays.where("component_id IS NOT NULL").select(F.col("row.doc_id").alias(of_doc), F.col("row.text_hash").alias(of_text)).unionByName(nameless)
     stays, _ = stored(stays, "kept")
     marked = docs.withColumn(text_hash, F.expr("xxhash64(coalesce(text, ''))"))
-    kept = marked.join(stays, F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.col(text_hash) == F.col(of_text)), "left_semi")
+    kept = marked.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.col(text_hash) == F.col(of_text)), "left_semi")
     return kept.dropDuplicates(["doc_id", text_hash]).select(*(F.col(f"`{c}`") for c in docs.columns))
