@@ -117,17 +117,22 @@ def lookback_sequences(
     both parts have none; ``across_split=True`` lets validation rows look back into
     the training part. A part is contiguous in time, so it is enough to know a row's
     position in its part; no second sort by part is needed.
+
+    A sequence stands for rows, so a row whose value is NULL keeps its place; sequences that hold
+    a NULL, and rows whose own value is NULL, are left out, as a model can use neither.
     """
-    seq = F.collect_list(value).over(by_date().rowsBetween(-lookback, -1))
+    rows = F.collect_list(F.struct(F.col(value).alias("v"))).over(by_date().rowsBetween(-lookback, -1))
     position = F.row_number().over(by_date()) - 1
     train_rows = F.count_if(F.col("split") == "train").over(whole_series())
     in_part = F.when(F.col("split") == "train", F.col("_t")).otherwise(F.col("_t") - F.col("_train_rows"))
     usable = F.col("_t") if across_split else in_part
     return (
-        split.withColumns({"seq": seq, "_t": position, "_train_rows": train_rows})
+        split.withColumns({"_rows": rows, "_t": position, "_train_rows": train_rows})
         .where(usable >= lookback)
+        .withColumn("seq", F.transform("_rows", lambda r: r["v"]))
+        .where(F.forall("seq", lambda v: v.isNotNull()) & F.col(value).isNotNull())
         .withColumn("y", F.col(value))
-        .drop("_t", "_train_rows")
+        .drop("_rows", "_t", "_train_rows")
     )
 
 

@@ -11,15 +11,15 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from shelfcast import SERIES, SERIES_DAY
 from shelfcast.operators.features import BY_DATE, FEATURES, LOOKBACK
 from shelfcast.operators.scaling import fit_standard, scale_standard, unscale_standard
 from shelfcast.operators.scoring import combine
-from shelfcast.session import materialize
-from shelfcast.sources.results import load_model, save_model
+from shelfcast.session import materialize, shared_dir
+from shelfcast.sources.results import estimator_fingerprint, feature_digest, load_model, save_model
 
 # Seed, and size and depth of the models.
 SEED = 42
@@ -32,7 +32,11 @@ BOOST_DEPTH = 3
 BOOST_RATE = 0.05
 BOOST_SUBSAMPLE = 0.9
 HIST_BOOST_DEPTH = 12
-HIST_BOOST_BINS = 255
+HIST_BOOST_ROWS = 20
+# Candidate thresholds of every tree model; the most that fit one byte.
+BINS = 256
+# Boosting rounds between checkpoints, which cut the lineage of the running residuals.
+CHECKPOINT_ROUNDS = 10
 
 _COLUMNS = {"featuresCol": "features", "labelCol": "y", "predictionCol": "yhat"}
 
@@ -42,12 +46,12 @@ def linear_regression(**extra) -> LinearRegression:
 
 
 def decision_tree(depth: int = TREE_DEPTH) -> DecisionTreeRegressor:
-    return DecisionTreeRegressor(**_COLUMNS, maxDepth=depth, maxBins=256, seed=SEED)
+    return DecisionTreeRegressor(**_COLUMNS, maxDepth=depth, maxBins=BINS, seed=SEED)
 
 
 def random_forest(trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> RandomForestRegressor:
     return RandomForestRegressor(
-        **_COLUMNS, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", maxBins=64, maxMemoryInMB=1024, seed=SEED
+        **_COLUMNS, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", maxBins=BINS, maxMemoryInMB=1024, seed=SEED
     )
 
 
@@ -56,22 +60,23 @@ def extra_trees_approx(trees: int = EXTRA_TREES, depth: int = FOREST_DEPTH) -> R
     random, as Spark has no such forest, so this only approximates extra trees."""
     return RandomForestRegressor(
         **_COLUMNS, numTrees=trees, maxDepth=depth, bootstrap=False, featureSubsetStrategy="onethird",
-        maxBins=64, maxMemoryInMB=1024, seed=SEED,
+        maxBins=BINS, maxMemoryInMB=1024, seed=SEED,
     )
 
 
 def gradient_boosting(rounds: int = BOOST_ROUNDS, depth: int = BOOST_DEPTH) -> GBTRegressor:
     return GBTRegressor(
-        **_COLUMNS, maxIter=rounds, maxDepth=depth, stepSize=BOOST_RATE, subsamplingRate=BOOST_SUBSAMPLE, seed=SEED
-    )
+        **_COLUMNS, maxIter=rounds, maxDepth=depth, stepSize=BOOST_RATE, subsamplingRate=BOOST_SUBSAMPLE, maxBins=BINS,
+        checkpointInterval=CHECKPOINT_ROUNDS, maxMemoryInMB=1024, seed=SEED,
+    )
 
 
 def hist_gradient_boosting(rounds: int = BOOST_ROUNDS, depth: int = HIST_BOOST_DEPTH) -> GBTRegressor:
     """Boosting on binned features, as every Spark tree. There is no L2 penalty on leaves,
     so this only approximates the regularised original."""
     return GBTRegressor(
-        **_COLUMNS, maxIter=rounds, maxDepth=depth, stepSize=BOOST_RATE, maxBins=HIST_BOOST_BINS,
-        maxMemoryInMB=1024, seed=SEED,
+        **_COLUMNS, maxIter=rounds, maxDepth=depth, stepSize=BOOST_RATE, maxBins=BINS, minInstancesPerNode=HIST_BOOST_ROWS,
+        checkpointInterval=CHECKPOINT_ROUNDS, maxMemoryInMB=1024, seed=SEED,
     )
 
 
@@ -97,6 +102,11 @@ def predict(fitted: PipelineModel, frame: DataFrame, name: str) -> DataFrame:
     return fitted.transform(frame).select(F.lit(name).alias("model"), *SERIES_DAY, "y", "yhat")
 
 
+def stored_name(name: str, estimator: Estimator, features: Sequence[str] = FEATURES) -> str:
+    """Name under which a fitted model is kept: other parameters or inputs make another model."""
+    return f"{name}-{estimator_fingerprint(estimator)}-{feature_digest(features)}"
+
+
 def fit_all(
     split: DataFrame,
     estimators: Mapping[str, Estimator],
@@ -106,19 +116,20 @@ def fit_all(
 ) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Fit (or reload from ``root``) each estimator on the training part.
 
-    Returns the validation predictions of all models in one long table, and the models.
-    The training part is kept in executor memory and on disk while the loop runs.
+    ``root`` must stand for the training rows, as ``training_run.study_root`` does. Returns the validation
+    predictions of all models in one long table, and the models. The training part is kept in executor memory and on disk while the loop runs.
     """
+    shared_dir(split.sparkSession)  # where boosting checkpoints its residuals
     labelled = with_label(split)
     train = labelled.where(F.col("split") == "train").select(*features, "y").persist()
     fitted = {}
     try:
         for name, estimator in estimators.items():
-            model = None if retrain or root is None else load_model(split.sparkSession, root, name)
+            model = None if retrain or root is None else load_model(split.sparkSession, root, stored_name(name, estimator, features))
             if model is None:
                 model = as_pipeline(estimator, features).fit(train)
                 if root is not None:
-                    save_model(model, root, name)
+                    save_model(model, root, stored_name(name, estimator, features))
             fitted[name] = model
     finally:
         train.unpersist()
@@ -139,7 +150,8 @@ def early_stopping_boosting(rounds: int = BOOST_ROUNDS, tolerance: float = 0.001
     """Boosting that ends once the marked rows stop improving by ``tolerance``."""
     return GBTRegressor(
         **_COLUMNS, maxIter=rounds, maxDepth=depth, stepSize=BOOST_RATE, subsamplingRate=BOOST_SUBSAMPLE,
-        validationIndicatorCol="stop_row", validationTol=tolerance, seed=SEED,
+        validationIndicatorCol="stop_row", validationTol=tolerance, maxBins=BINS, checkpointInterval=CHECKPOINT_ROUNDS,
+        maxMemoryInMB=1024, seed=SEED,
     )
 
 
@@ -210,6 +222,17 @@ def sequence_boosting(rounds: int = BOOST_ROUNDS) -> GBTRegressor:
     return gradient_boosting(rounds)
 
 
+def _sequence_inputs(part: DataFrame, parameters: Row, features: Sequence[str]) -> DataFrame:
+    scaled = scale_standard(part.withColumn("actual", F.col("y").cast("double")), parameters, [*features, "y"])
+    return scaled.withColumn("sequence", array_to_vector(F.transform("seq", lambda v: v.cast("double"))))
+
+
+def predict_sequences(model: PipelineModel, parameters: Row, held_out: DataFrame, name: str, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Predictions in units sold from a fitted sequence model and its scaler's parameters."""
+    scored = unscale_standard(model.transform(_sequence_inputs(held_out, parameters, features)), parameters, "yhat", "y")
+    return scored.select(F.lit(name).alias("model"), *SERIES_DAY, F.col("actual").alias("y"), "yhat")
+
+
 def fit_sequence_model(
     samples: DataFrame,
     estimator: Estimator,
@@ -219,21 +242,16 @@ def fit_sequence_model(
 ) -> tuple[DataFrame, PipelineModel, DataFrame]:
     """Regress on the lookback sequence plus the scaled features, with a scaled target.
 
-    ``samples`` comes from ``lookback_sequences``. Scalers see training rows only.
-    Returns predictions in units sold, the model and the scaler parameters.
+    ``samples`` comes from ``lookback_sequences``; they are written once, for the scaler, the fit and the scoring. Scalers
+    see training rows only. Returns predictions in units sold, the model and the scaler parameters.
     """
+    columns = list(dict.fromkeys((*SERIES_DAY, "split", "seq", *features, "y")))
+    samples = materialize(samples.select(*columns), "samples")
     train = samples.where(F.col("split") == "train")
-    columns = [*features, "y"]
-    scaler = fit_standard(train, columns)
+    scaler = fit_standard(train, [*features, "y"])
     parameters = scaler.first()
-
-    def prepared(part: DataFrame) -> DataFrame:
-        scaled = scale_standard(part.withColumn("actual", F.col("y").cast("double")), parameters, columns)
-        return scaled.withColumn("sequence", array_to_vector(F.transform("seq", lambda v: v.cast("double"))))
-
     assembler = VectorAssembler(inputCols=["sequence", *features], outputCol="features")
     sized = VectorSizeHint(inputCol="sequence", size=lookback)
-    model = Pipeline(stages=[sized, assembler, estimator]).fit(prepared(train).select("sequence", *features, "y"))
-    held_out = prepared(samples.where(F.col("split") == "val"))
-    scored = unscale_standard(model.transform(held_out), parameters, "yhat", "y")
-    return scored.select(F.lit(name).alias("model"), *SERIES_DAY, F.col("actual").alias("y"), "yhat"), model, samples.sparkSession.createDataFrame([parameters], scaler.schema)
+    model = Pipeline(stages=[sized, assembler, estimator]).fit(_sequence_inputs(train, parameters, features).select("sequence", *features, "y"))
+    predictions = predict_sequences(model, parameters, samples.where(F.col("split") == "val"), name, features)
+    return predictions, model, samples.sparkSession.createDataFrame([parameters], scaler.schema)

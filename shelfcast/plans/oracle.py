@@ -6,6 +6,7 @@ from shelfcast.operators.features import FEATURES, HORIZONS, LAGS, ROLL_WIDTHS
 from shelfcast.operators.forecast import LONGEST, SMOOTHING_GRID
 from shelfcast.plans.queries import HOLIDAYS, SLICE_ITEM, VAL_DAYS
 from shelfcast.plans.training_run import NAIVE_MODELS
+from shelfcast.sources.results import RESULT_TABLES
 
 SERIES = "PARTITION BY store, item"
 ORDERED = f"{SERIES} ORDER BY date"
@@ -390,6 +391,27 @@ def _smoothing() -> str:
 SCALED = ["sales", "lag_1", "lag_7", "roll_mean_7", "roll_std_28"]
 
 
+step("weekday_levels", f"SELECT dow, AVG(sales) AS level FROM {SPLIT} WHERE split = 'train' GROUP BY dow", SPLIT)
+step(
+    "one_input_scores",
+    f"""SELECT model, {PLAIN_METRICS} FROM (
+        SELECT 'DecisionTree' AS model, CAST(sales AS DOUBLE) AS y, level AS yhat FROM {SPLIT} JOIN weekday_levels USING (dow) WHERE split = 'val'
+        UNION ALL SELECT 'LinearRegression', CAST(sales AS DOUBLE), a + b * dow FROM {SPLIT},
+            (SELECT regr_slope(sales, dow) AS b, regr_intercept(sales, dow) AS a FROM {SPLIT} WHERE split = 'train') WHERE split = 'val')
+        GROUP BY model""",
+    "weekday_levels",
+)
+# Model, and whether its target is the weekday's mean itself.
+WEEKDAY_ORACLES = {
+    "decision_tree_on_weekday": ("DecisionTree", False),
+    "extra_trees_on_weekday": ("ExtraTreesApprox", False),
+    "hist_gradient_boosting_on_weekday": ("HistGradientBoosting", False),
+    "random_forest_on_weekday_levels": ("RandomForest", True),
+    "gradient_boosting_on_weekday_levels": ("GradientBoosting", True),
+    "early_stopping_on_weekday_levels": ("EarlyStoppingBoosting", True),
+}
+
+
 def all_sql() -> dict[str, str]:
     scaler = ", ".join(
         f"AVG({c}) AS {c}_mean, COALESCE(NULLIF(STDDEV_POP({c}), 0), 1) AS {c}_std" for c in SCALED
@@ -671,11 +693,56 @@ def all_sql() -> dict[str, str]:
             """SELECT date, store, CAST(DENSE_RANK() OVER (ORDER BY item) - 1 AS INTEGER) AS item, sales FROM panel""", "panel"
         ),
         "parquet_panel_scan": sql("SELECT * FROM panel", "panel"),
-        "metrics_written_and_read": sql(f"SELECT model, {METRIC_COLUMNS} FROM naive_scores", "naive_scores"),
+        "metrics_written_and_read": sql(
+            " UNION ALL ".join(
+                f"SELECT model, {METRIC_COLUMNS}, '{name}' AS stored_as FROM naive_scores WHERE {part}"
+                for name, part in zip(RESULT_TABLES, ("model LIKE 'row%'", "true", "model LIKE 'mean%'"))
+            ),
+            "naive_scores",
+        ),
+        "undated_rows": sql(
+            "SELECT COUNT(*) FILTER (WHERE day(date) <> 13) AS n_dated, COUNT(*) FILTER (WHERE day(date) = 13) AS n_undated FROM panel", "panel"
+        ),
         "linear_regression_on_one_lag": sql(
             f"""SELECT 'LinearRegression' AS model, store, item, date, CAST(sales AS DOUBLE) AS y, {r('a + b * lag_7', 'yhat')}
                 FROM {SPLIT}, (SELECT regr_slope(sales, lag_7) AS b, regr_intercept(sales, lag_7) AS a FROM {SPLIT} WHERE split = 'train')
                 WHERE split = 'val'""",
             SPLIT,
         ),
+        "saved_model_predictions": sql(
+            f"""SELECT 'LinearRegression' AS model, store, item, date, CAST(sales AS DOUBLE) AS y, {r('a + b * lag_7', 'yhat')}
+                FROM {SPLIT}, (SELECT regr_slope(sales, lag_7) AS b, regr_intercept(sales, lag_7) AS a FROM {SPLIT} WHERE split = 'train')
+                WHERE split = 'val'""",
+            SPLIT,
+        ),
+        **{
+            name: sql(
+                f"""SELECT '{model}' AS model, store, item, date, {r('level' if levels else 'sales', 'y')}, {r('level', 'yhat')}
+                    FROM {SPLIT} JOIN weekday_levels USING (dow) WHERE split = 'val'""",
+                "weekday_levels",
+            )
+            for name, (model, levels) in WEEKDAY_ORACLES.items()
+        },
+        "regressor_ranking_on_one_input": sql(f"{ranking} FROM one_input_scores", "one_input_scores"),
+        "sequence_of_exact_line": sql(
+            f"""SELECT 'SequenceLinear' AS model, store, item, date, CAST(2 * lag_1 + 3 * dow + 5 AS DOUBLE) AS y,
+                CAST(2 * lag_1 + 3 * dow + 5 AS DOUBLE) AS yhat FROM (SELECT *, ROW_NUMBER() OVER ({SERIES}, split ORDER BY date) AS place
+                FROM {SPLIT}) WHERE split = 'val' AND place > 28""",
+            SPLIT,
+        ),
+        "sequences_over_null_sales": sql(
+            f"""SELECT store, item, date, split, list_aggregate(seq, 'string_agg', ',') AS seq, sales AS y FROM (
+                SELECT store, item, date, split, sales, LIST(sales) OVER w AS seq, COUNT(*) OVER w AS n, COUNT(sales) OVER w AS known FROM (
+                    SELECT * REPLACE (CASE WHEN dayofyear(date) % 97 = 0 THEN NULL ELSE sales END AS sales) FROM {SPLIT})
+                WINDOW w AS ({SERIES}, split ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING))
+                WHERE n = 28 AND known = 28 AND sales IS NOT NULL""",
+            SPLIT,
+        ),
+        "recursive_line_on_one_lag": sql(
+            f"""SELECT 'recursive_linear' AS model, store, item, last_date + d.step AS date, d.step,
+                ROUND(POW(b, d.step) * newest + a * (1 - POW(b, d.step)) / (1 - b), 4) + 0.0 AS yhat
+                FROM (SELECT store, item, MAX(date) AS last_date, CAST(arg_max(sales, date) AS DOUBLE) AS newest FROM panel GROUP BY store, item),
+                (SELECT regr_slope(sales, lag_1) AS b, regr_intercept(sales, lag_1) AS a FROM {SPLIT} WHERE split = 'train'), {_DAYS} d""",
+            SPLIT,
+        ),
     }

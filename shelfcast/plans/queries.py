@@ -28,9 +28,10 @@ from shelfcast.operators.features import (
 )
 from shelfcast.operators.series_models import per_series_ridge
 from shelfcast.plans import horizon_study, training_run
-from shelfcast.session import materialize, scratch_path
+from shelfcast.session import materialize, scratch_path, shared_dir
 from shelfcast.sources import results
 from shelfcast.sources.panel import as_panel, densify, read_panel_tables, scan_csv, write_panel
+from shelfcast.sources.panel import undated_rows as count_undated
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -527,18 +528,29 @@ def parquet_panel_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def metrics_written_and_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Three different tables, so that none may be taken for another."""
     root = scratch_path(spark, "metrics")
-    metrics = scoring.score(training_run.naive_predictions(read_panel_tables(spark, folder), VAL_DAYS))
-    for name in results.RESULT_TABLES:
-        results.write_metrics(metrics, root, name)
-    return tidy(results.read_all_metrics(spark, root)[results.RESULT_TABLES[1]])
+    metrics = materialize(scoring.score(training_run.naive_predictions(read_panel_tables(spark, folder), VAL_DAYS)), "scores")
+    for name, part in zip(results.RESULT_TABLES, ("model LIKE 'row%'", "true", "model LIKE 'mean%'")):
+        results.write_metrics(metrics.where(part), root, name)
+    tables = results.read_all_metrics(spark, root)
+    found = [tables[name].withColumn("stored_as", F.lit(name)) for name in results.RESULT_TABLES]
+    return tidy(found[0].unionByName(found[1]).unionByName(found[2]))
 
 
-# Regressors. Tree counts are smaller than the library's defaults to keep a run short;
-# every row of the tables is used.
-QUERY_TREES = 20
-QUERY_ROUNDS = 20
-QUERY_HIST_DEPTH = 6
+def undated_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A CSV in which a rule spoils dates: rows with and without one."""
+    p = read_panel_tables(spark, folder)
+    path = scratch_path(spark, "spoilt-csv")
+    spoilt = F.when(F.dayofmonth("date") == 13, F.concat(F.year("date").cast("string"), F.lit("-13-40"))).otherwise(F.col("date").cast("string"))
+    p.select(spoilt.alias("date"), "store", F.length("item").alias("item"), "sales").write.option("header", True).csv(path)
+    return count_undated(scan_csv(spark, path))
+
+
+# Regressors, all at full size.
+
+# Whether a model fitted in this session on the same rows may be loaded by another query.
+REUSE_MODELS = True
 
 
 def _split_frame(p: DataFrame) -> DataFrame:
@@ -546,21 +558,16 @@ def _split_frame(p: DataFrame) -> DataFrame:
     return training_run.stored_frame(p, scratch_path(p.sparkSession, "study"), VAL_DAYS)
 
 
-def _query_regressors() -> dict:
-    return {
-        "LinearRegression": regressors.linear_regression(),
-        "DecisionTree": regressors.decision_tree(),
-        "RandomForest": regressors.random_forest(QUERY_TREES),
-        "ExtraTreesApprox": regressors.extra_trees_approx(QUERY_TREES),
-        "GradientBoosting": regressors.gradient_boosting(QUERY_ROUNDS),
-        "HistGradientBoosting": regressors.hist_gradient_boosting(QUERY_ROUNDS, QUERY_HIST_DEPTH),
-    }
+def _fit(p: DataFrame, names) -> DataFrame:
+    """Predictions of full-size models. Each is fitted once in a session for the same panel and hold-out."""
+    root = training_run.study_root(p, f"{shared_dir(p.sparkSession)}/models-{p.sparkSession.sparkContext.applicationId}", VAL_DAYS)
+    estimators = {name: regressors.REGRESSORS[name]() for name in names}
+    return regressors.fit_all(_split_frame(p), estimators, root=root if REUSE_MODELS else None)[0]
 
 
 def _regressor(name: str) -> Callable[[DataFrame], DataFrame]:
     def build(p: DataFrame) -> DataFrame:
-        predictions, _ = regressors.fit_all(_split_frame(p), {name: _query_regressors()[name]})
-        return predictions
+        return _fit(p, [name])
 
     return build
 
@@ -575,7 +582,7 @@ for _query_name, _model in {
 }.items():
     _build = _regressor(_model)
     _build.__name__ = _query_name
-    query(_build)
+    query_on_stored_panel(_build)
 
 
 @query_on_stored_panel
@@ -597,13 +604,100 @@ def direct_linear_by_horizon(p):
 @query
 def direct_boosting_by_horizon(p):
     targeted = regressors.with_direct_targets(_split_frame(p), HORIZONS)
-    return regressors.fit_direct(targeted, regressors.gradient_boosting(QUERY_ROUNDS), HORIZONS, "direct_boosting")
+    return regressors.fit_direct(targeted, regressors.gradient_boosting(), HORIZONS, "direct_boosting")
 
 
-@query
+@query_on_stored_panel
 def regressor_ranking(p):
-    predictions, _ = regressors.fit_all(_split_frame(p), _query_regressors())
-    return scoring.rank_models(scoring.score(predictions))
+    return scoring.rank_models(scoring.score(_fit(p, regressors.REGRESSORS)))
+
+
+# Models whose answer has a closed form, beside the full ones: they show that rows, labels and keys go where they belong.
+
+
+def _lagged_split(p: DataFrame) -> DataFrame:
+    return materialize(splits.with_time_split(complete_rows(feature_frame(p)), VAL_DAYS), "lagged")
+
+
+def _weekday_levels(split: DataFrame) -> DataFrame:
+    """Sales replaced by the training mean of their weekday, which is then a function of the one input."""
+    means = split.where("split = 'train'").groupBy("dow").agg(F.avg("sales").alias("level"))
+    return split.join(means, "dow").withColumn("sales", F.col("level")).drop("level")
+
+
+def _on_weekday(name: str, estimator, levels: bool) -> Callable[[DataFrame], DataFrame]:
+    def build(p: DataFrame) -> DataFrame:
+        split = _lagged_split(p)
+        return regressors.fit_all(_weekday_levels(split) if levels else split, {name: estimator()}, ["dow"])[0]
+
+    return build
+
+
+# A tree that splits on the weekday alone gives the weekday's mean. Where rows are drawn at random, the target is that mean itself.
+WEEKDAY_MODELS = {
+    "decision_tree_on_weekday": ("DecisionTree", regressors.decision_tree, False),
+    "extra_trees_on_weekday": ("ExtraTreesApprox", regressors.extra_trees_approx, False),
+    "hist_gradient_boosting_on_weekday": ("HistGradientBoosting", lambda: regressors.hist_gradient_boosting(100), False),
+    "random_forest_on_weekday_levels": ("RandomForest", regressors.random_forest, True),
+    "gradient_boosting_on_weekday_levels": ("GradientBoosting", lambda: regressors.gradient_boosting(100, 6), True),
+}
+for _query_name, _arguments in WEEKDAY_MODELS.items():
+    _build = _on_weekday(*_arguments)
+    _build.__name__ = _query_name
+    query_on_stored_panel(_build)
+
+
+@query_on_stored_panel
+def early_stopping_on_weekday_levels(p):
+    """The first tree fits the target, so boosting stops long before its 600 rounds."""
+    levels = materialize(_weekday_levels(_lagged_split(p)), "levels")
+    return regressors.fit_with_early_stop(levels, regressors.early_stopping_boosting(depth=6), "EarlyStoppingBoosting", ["dow"])[0]
+
+
+@query_on_stored_panel
+def regressor_ranking_on_one_input(p):
+    """A line and a tree on the weekday, scored and ranked."""
+    models = {"LinearRegression": regressors.linear_regression(), "DecisionTree": regressors.decision_tree()}
+    return scoring.rank_models(scoring.score(regressors.fit_all(_lagged_split(p), models, ["dow"])[0]))
+
+
+@query_on_stored_panel
+def saved_model_predictions(p):
+    """A fitted line is saved, loaded and asked again."""
+    split = _lagged_split(p)
+    root = scratch_path(p.sparkSession, "saved")
+    model = {"LinearRegression": regressors.linear_regression()}
+    _, fitted = regressors.fit_all(split, model, ["lag_7"], root=root)
+    loaded = results.load_model(p.sparkSession, root, regressors.stored_name("LinearRegression", model["LinearRegression"], ["lag_7"]))
+    return regressors.predict(loaded, regressors.with_label(split).where("split = 'val'"), "LinearRegression")
+
+
+@query_on_stored_panel
+def sequence_of_exact_line(p):
+    """A target that is a line of the newest value in the sequence and of the weekday is found again."""
+    samples = lookback_sequences(splits.with_time_split(complete_rows(feature_frame(p)), VAL_DAYS))
+    exact = samples.withColumn("y", 2 * F.element_at("seq", -1) + 3 * F.col("dow") + 5)
+    found = regressors.fit_sequence_model(exact, regressors.linear_regression(), "SequenceLinear", ["dow"])[0]
+    return found.withColumn("yhat", F.round("yhat", 3))
+
+
+@query_on_stored_panel
+def sequences_over_null_sales(p):
+    """Sales blanked by a rule: sequences that would hold a NULL are left out, the others keep their places."""
+    blank = F.when((F.dayofyear("date") % 97 == 0), None).otherwise(F.col("sales"))
+    split = splits.with_time_split(complete_rows(with_lags(p)), VAL_DAYS).withColumn("sales", blank)
+    found = lookback_sequences(split)
+    return found.select(*SERIES_DAY, "split", _text("seq").alias("seq"), "y")
+
+
+@query_on_stored_panel
+def recursive_line_on_one_lag(p):
+    """A line on the row before, fitted by Spark ML and rolled forward."""
+    split = splits.with_time_split(complete_rows(with_lags(p)), VAL_DAYS)
+    train = regressors.with_label(split).where("split = 'train'").select("lag_1", "y")
+    line = regressors.as_pipeline(regressors.linear_regression(), ["lag_1"]).fit(train).stages[-1]
+    found = forecast.recursive_forecast(forecast.latest_sequence(p, 1), list(line.coefficients), float(line.intercept))
+    return found.withColumn("yhat", F.round("yhat", 4))
 
 
 @query
@@ -615,12 +709,12 @@ def sequence_huber(p):
 @query
 def sequence_boosting(p):
     samples = lookback_sequences(_split_frame(p))
-    return regressors.fit_sequence_model(samples, regressors.sequence_boosting(QUERY_ROUNDS), "SequenceBoosting")[0]
+    return regressors.fit_sequence_model(samples, regressors.sequence_boosting(), "SequenceBoosting")[0]
 
 
 @query
 def early_stopping_boosting(p):
-    estimator = regressors.early_stopping_boosting(QUERY_ROUNDS)
+    estimator = regressors.early_stopping_boosting()
     return regressors.fit_with_early_stop(_split_frame(p), estimator, "EarlyStoppingBoosting")[0]
 
 
@@ -650,6 +744,7 @@ def per_series_ridge_matrix(p):
 
 _REGISTRY.update(
     csv_panel_scan=csv_panel_scan,
+    undated_rows=undated_rows,
     parquet_panel_scan=parquet_panel_scan,
     metrics_written_and_read=metrics_written_and_read,
 )

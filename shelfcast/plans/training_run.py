@@ -73,6 +73,12 @@ def stored_frame(panel: DataFrame, root: str, val_days: int) -> DataFrame:
     return panel.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def study_root(panel: DataFrame, base: str, val_days: int) -> str:
+    """Folder of a study: another feature set, panel or hold-out has another one."""
+    root = results.output_root(panel.sparkSession, base, FEATURES)
+    return f"{root}/data_{results.data_fingerprint(panel)}_hold_{val_days}"
+
+
 def run(
     panel: DataFrame,
     base: str,
@@ -82,40 +88,64 @@ def run(
     retrain: bool = False,
     force: bool = False,
 ) -> Study:
-    """Fit, score, rank and store. Stored metrics are returned as they are unless ``force``."""
+    """Fit, score, rank and store.
+
+    Stored metrics are returned as they are, unless ``force``, if they come from the same panel, hold-out, features and
+    estimators; models fitted before are loaded on the same condition, unless ``retrain``.
+    """
     spark = panel.sparkSession
-    root = results.output_root(spark, base, FEATURES)
+    estimators = estimators or {name: make() for name, make in regressors.REGRESSORS.items()}
+    sequence_estimator = sequence_estimator or regressors.sequence_boosting()
+    data_root = study_root(panel, base, val_days)
+    names = [regressors.stored_name(name, e) for name, e in {**estimators, SEQUENCE_MODEL: sequence_estimator}.items()]
+    root = f"{data_root}/models_{results.feature_digest(names)}"
     if not (force or retrain):
         tables = results.read_all_metrics(spark, root)
         if tables is not None:
             tabular, everything, sequence = (tables[name] for name in results.RESULT_TABLES)
             return Study(tabular, sequence, rank_models(everything), None, True)
 
-    split = stored_frame(panel, root, val_days)
-    estimators = estimators or {name: make() for name, make in regressors.REGRESSORS.items()}
-    tabular_predictions, _ = regressors.fit_all(split, estimators, root=root, retrain=retrain)
+    split = stored_frame(panel, data_root, val_days)
+    tabular_predictions, _ = regressors.fit_all(split, estimators, root=data_root, retrain=retrain)
 
     samples = lookback_sequences(split)
     sequence_predictions, model, scaler = regressors.fit_sequence_model(
-        samples, sequence_estimator or regressors.sequence_boosting(), SEQUENCE_MODEL
+        samples, sequence_estimator, SEQUENCE_MODEL
     )
-    results.save_model(model, root, SEQUENCE_MODEL)
-    results.save_scaler(scaler, root, SEQUENCE_MODEL)
-
-    names = dict(zip(("tabular", "all", "sequence"), results.RESULT_TABLES))
-    results.write_metrics(score(tabular_predictions), root, names["tabular"])
-    results.write_metrics(score(sequence_predictions), root, names["sequence"])
-    tabular = results.read_metrics(spark, root, names["tabular"])
-    sequence = results.read_metrics(spark, root, names["sequence"])
+    results.save_model(model, data_root, names[-1])
+    results.save_scaler(scaler, data_root, names[-1])
+
+    tables = dict(zip(("tabular", "all", "sequence"), results.RESULT_TABLES))
+    results.write_metrics(score(tabular_predictions), root, tables["tabular"])
+    results.write_metrics(score(sequence_predictions), root, tables["sequence"])
+    tabular = results.read_metrics(spark, root, tables["tabular"])
+    sequence = results.read_metrics(spark, root, tables["sequence"])
     ranking = rank_models(combine(tabular, sequence))
-    results.write_metrics(ranking.drop("rank"), root, names["all"])
+    results.write_metrics(ranking.drop("rank"), root, tables["all"])
     return Study(tabular, sequence, ranking, combine(tabular_predictions, sequence_predictions), False)
 
 
-def predict_again(panel: DataFrame, base: str) -> DataFrame:
-    """Validation predictions of the stored tabular models, without fitting anything."""
+def predict_again(
+    panel: DataFrame,
+    base: str,
+    val_days: int = VAL_DAYS,
+    estimators: Mapping[str, Estimator] | None = None,
+    sequence_estimator: Estimator | None = None,
+) -> DataFrame:
+    """Validation predictions of the stored models, the sequence model with its scaler among them, without fitting anything."""
     spark = panel.sparkSession
-    root = results.output_root(spark, base, FEATURES)
-    split = regressors.with_label(spark.read.parquet(f"{root}/training_frame")).where("split = 'val'")
-    loaded = {name: results.load_model(spark, root, name) for name in regressors.REGRESSORS}
-    return combine(*(regressors.predict(m, split, name) for name, m in loaded.items() if m is not None))
+    root = study_root(panel, base, val_days)
+    frame = spark.read.parquet(f"{root}/training_frame")
+    split = regressors.with_label(frame).where("split = 'val'")
+    estimators = estimators or {name: make() for name, make in regressors.REGRESSORS.items()}
+    parts = []
+    for name, estimator in estimators.items():
+        model = results.load_model(spark, root, regressors.stored_name(name, estimator))
+        if model is not None:
+            parts.append(regressors.predict(model, split, name))
+    kept = regressors.stored_name(SEQUENCE_MODEL, sequence_estimator or regressors.sequence_boosting())
+    model, scaler = results.load_model(spark, root, kept), results.load_scaler(spark, root, kept)
+    if model is not None and scaler is not None:
+        samples = lookback_sequences(frame).where("split = 'val'")
+        parts.append(regressors.predict_sequences(model, scaler.first(), samples, SEQUENCE_MODEL))
+    return combine(*parts)

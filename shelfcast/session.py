@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,18 +22,23 @@ DEFAULTS = {
 }
 
 
-# Shuffle partitions of about this size; adaptive execution merges those that turn out small.
+# Shuffle partitions of about this size; adaptive execution merges those that turn out small and splits skewed ones.
 PARTITION_BYTES = 128 * 1024 * 1024
+# The driver tracks a block for each pair of map task and partition, so their number has a ceiling of a few ten thousand.
+PARTITIONS = (200, 20_000)
 
 
-def shuffle_partitions_for(input_bytes: int) -> int:
-    """Partition count for a shuffle of this many bytes, never below Spark's default of 200."""
-    return max(200, math.ceil(input_bytes / PARTITION_BYTES))
+def shuffle_partitions_for(shuffled_bytes: int) -> int:
+    """Partition count for the rows that are shuffled: here those after the map-side sums, not the raw input."""
+    return min(max(PARTITIONS[0], math.ceil(shuffled_bytes / PARTITION_BYTES)), PARTITIONS[1])
 
 
-def build_session(app: str = "shelfcast", input_bytes: int | None = None, **settings: str) -> SparkSession:
-    """A session with adaptive execution; ``input_bytes`` sizes the shuffles of a large run."""
-    sized = {} if input_bytes is None else {"spark.sql.shuffle.partitions": str(shuffle_partitions_for(input_bytes))}
+def build_session(app: str = "shelfcast", shuffled_bytes: int | None = None, **settings: str) -> SparkSession:
+    """A session with adaptive execution; ``shuffled_bytes`` sizes the largest shuffle of a run.
+
+    Adaptive execution starts every shuffle with that many partitions and merges them to the size that the shuffle has.
+    """
+    sized = {} if shuffled_bytes is None else {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle_partitions_for(shuffled_bytes))}
     builder = SparkSession.builder.appName(app)
     for key, value in {**DEFAULTS, **sized, **settings}.items():
         builder = builder.config(key, value)
@@ -43,15 +48,10 @@ def build_session(app: str = "shelfcast", input_bytes: int | None = None, **sett
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    In local mode an unset folder is replaced by a fresh temporary one. On a
-    cluster it is an error: a machine-local folder is lost with its executor.
+    Without that setting it is a folder of the warehouse, which executors share as well.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="shelfcast-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shelfcast-scratch"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
@@ -59,7 +59,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted on leaving; results must be computed by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            delete_path(spark, path)
+        del _made[before:]
 
 
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:

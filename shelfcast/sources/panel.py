@@ -20,6 +20,11 @@ def coerce_dates(rows: DataFrame, column: str = "date") -> DataFrame:
     return rows.withColumn(column, F.try_to_date(column))
 
 
+def undated_rows(rows: DataFrame, column: str = "date") -> DataFrame:
+    """How many rows have a date, and how many have none and will be dropped."""
+    return rows.agg(F.count(column).alias("n_dated"), F.count_if(F.col(column).isNull()).alias("n_undated"))
+
+
 def as_panel(rows: DataFrame) -> DataFrame:
     """Drop undated rows and bring the rest to one row per series and day.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,32 @@ def output_root(spark: SparkSession, base: str, features: Sequence[str]) -> str:
     return f"{base.rstrip('/')}/feat_{feature_fingerprint(spark, features)}"
 
 
+def feature_digest(features: Sequence[str]) -> str:
+    """``feature_fingerprint`` without a session."""
+    return hashlib.md5("|".join(features).encode()).hexdigest()[:10]
+
+
+def data_fingerprint(panel: DataFrame) -> str:
+    """First ten hex digits of the md5 of row count, first and last date, units sold and summed row hashes."""
+    facts = panel.agg(
+        F.concat_ws(
+            "|",
+            F.count("*"),
+            F.min("date"),
+            F.max("date"),
+            F.sum("sales"),
+            F.sum(F.xxhash64(*sorted(panel.columns)).cast("decimal(38,0)")),
+        ).alias("facts")
+    )
+    return facts.select(F.substring(F.md5("facts"), 1, 10).alias("digest")).first().digest
+
+
+def estimator_fingerprint(estimator: Estimator) -> str:
+    """First ten hex digits of the md5 of an estimator's class and parameters."""
+    values = sorted(f"{param.name}={value}" for param, value in estimator.extractParamMap().items())
+    return hashlib.md5("|".join([type(estimator).__name__, *values]).encode()).hexdigest()[:10]
+
+
 def write_metrics(metrics: DataFrame, root: str, name: str, fmt: str = "csv") -> None:
     """Metric tables have one row per model, so one file is enough."""
     writer = metrics.coalesce(1).write.mode("overwrite")

@@ -121,3 +121,12 @@ def test_training_frame_drops_before_it_codes(make_panel):
     assert len(rows) == 11
     assert {(r.store, r.store_code, r.item, r.item_code) for r in rows} == {(3, 0, 8, 0), (5, 1, 9, 1)}
     assert complete_rows(feature_frame(panel)).count() == 11
+
+
+def test_sequences_with_a_null_are_left_out(make_panel):
+    sales = list(range(100, 160))
+    sales[40] = None
+    split = make_panel({(1, 1): sales}).withColumn("split", F.lit("train"))
+    rows = sorted(lookback_sequences(split, 28).collect(), key=lambda r: r.date)
+    assert [r.y for r in rows] == [v for k, v in enumerate(sales) if k >= 28 and not 40 <= k <= 68]
+    assert all(r.seq == sales[k - 28 : k] for r in rows for k in [sales.index(r.y)])

@@ -143,11 +143,25 @@ def test_run_store_and_reuse(panel, tmp_path):
     assert not first.from_cache and first.predictions.count() > 0
     ranked = first.ranking.collect()
     assert [r["rank"] for r in ranked] == [1, 2, 3] and [r.rmse for r in ranked] == sorted(r.rmse for r in ranked)
-    again = training_run.run(panel, str(tmp_path), 60, small)
+    again = training_run.run(panel, str(tmp_path), 60, small, regressors.gradient_boosting(5))
     assert again.from_cache and [r.model for r in again.ranking.collect()] == [r.model for r in ranked]
-    repeated = score(training_run.predict_again(panel, str(tmp_path)))
+    repeated = score(training_run.predict_again(panel, str(tmp_path), 60, small, regressors.gradient_boosting(5)))
     before = {r.model: r.rmse for r in ranked}
-    assert {r.model: r.rmse for r in repeated.collect()} == pytest.approx({m: before[m] for m in small})
+    assert {r.model: r.rmse for r in repeated.collect()} == pytest.approx(before)
+
+
+def test_stored_results_answer_for_what_made_them_only(panel, tmp_path):
+    small = {"LinearRegression": regressors.linear_regression()}
+    run = lambda p, days, models, rounds=2: training_run.run(p, str(tmp_path), days, models, regressors.gradient_boosting(rounds))
+    assert not run(panel, 60, small).from_cache and run(panel, 60, small).from_cache
+    for other in (
+        lambda: run(panel.where("store = 1"), 60, small),
+        lambda: run(panel, 50, small),
+        lambda: run(panel, 60, {"LinearRegression": regressors.linear_regression(fitIntercept=False)}),
+        lambda: run(panel, 60, small, 3),
+    ):
+        assert not other().from_cache
+    assert run(panel, 60, small).from_cache
 
 
 def test_horizon_study_runs_on_long_series(make_panel):

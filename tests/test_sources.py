@@ -4,9 +4,10 @@ import pytest
 
 from shelfcast.operators.features import FEATURES, with_lags, with_rolls
 from shelfcast.operators.profile import null_counts
-from shelfcast.session import build_session, materialize, shared_dir, shuffle_partitions_for
+from shelfcast.operators import regressors
+from shelfcast.session import build_session, materialize, scratch, shared_dir, shuffle_partitions_for
 from shelfcast.sources import results
-from shelfcast.sources.panel import as_panel, save_bucketed_panel, scan_csv, write_panel
+from shelfcast.sources.panel import as_panel, coerce_dates, save_bucketed_panel, scan_csv, undated_rows, write_panel
 
 
 def test_csv_scan_turns_bad_dates_into_nulls(spark, tmp_path):
@@ -56,23 +57,50 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert materialize(spark.range(3), "t").count() == 3
     assert build_session() is not None
-    assert (shuffle_partitions_for(1), shuffle_partitions_for(10**14)) == (200, 745_059)
+    assert (shuffle_partitions_for(1), shuffle_partitions_for(10**11), shuffle_partitions_for(10**14)) == (200, 746, 20_000)
 
 
-def test_cluster_without_a_shared_folder_is_refused():
-    class Context:
-        master = "yarn"
+def test_without_a_setting_the_warehouse_is_shared():
+    class Session:
+        class sparkContext:
+            made = []
 
-        def getCheckpointDir(self):
-            return None
+            @classmethod
+            def getCheckpointDir(cls):
+                return cls.made[-1] if cls.made else None
 
-    class Session:
-        sparkContext = Context()
+            @classmethod
+            def setCheckpointDir(cls, path):
+                cls.made.append(path)
 
         class conf:
             @staticmethod
-            def get(key, default):
+            def get(key, default="hdfs:///warehouse/"):
                 return default
 
-    with pytest.raises(ValueError):
-        shared_dir(Session())
+    assert shared_dir(Session()) == "hdfs:///warehouse/shelfcast-scratch" == Session.sparkContext.made[0]
+
+
+def test_scratch_is_empty_afterwards(spark):
+    import os
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scratch(spark):
+        assert materialize(spark.range(3), "gone").count() == 3
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
+
+
+def test_fingerprints_tell_data_and_models_apart(spark, make_panel):
+    one = make_panel({(1, 1): [1, 2, 3]})
+    assert results.data_fingerprint(one) == results.data_fingerprint(one.repartition(3))
+    others = [make_panel({(1, 1): [1, 2, 4]}), make_panel({(1, 2): [1, 2, 3]}), make_panel({(1, 1): [1, 2, 3, 0]}), make_panel({(1, 1): [3, 2, 1]})]
+    assert len({results.data_fingerprint(p) for p in (one, *others)}) == 5
+    assert results.estimator_fingerprint(regressors.decision_tree(3)) != results.estimator_fingerprint(regressors.decision_tree(4))
+    assert results.feature_digest(FEATURES) == results.feature_fingerprint(spark, FEATURES)
+
+
+def test_undated_rows_are_counted(spark):
+    rows = spark.createDataFrame([("2013-01-01", 1), ("2013-13-40", 1), (None, 2)], "date string, sales int")
+    assert tuple(undated_rows(coerce_dates(rows)).first()) == (1, 2)
