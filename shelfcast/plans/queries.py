@@ -750,5 +750,19 @@ _REGISTRY.update(
 )
 
 
+# Fits of hundreds of trees or rounds, which take minutes.
+LONG = (
+    "random_forest",
+    "extra_trees_approx",
+    "gradient_boosting",
+    "hist_gradient_boosting",
+    "regressor_ranking",
+    "early_stopping_boosting",
+    "sequence_boosting",
+    "direct_boosting_by_horizon",
+)
+
+
 def all_queries() -> dict[str, Query]:
-    return dict(_REGISTRY)
+    """All registered queries, the long ones last."""
+    return {name: build for name, build in sorted(_REGISTRY.items(), key=lambda x: x[0] in LONG)}

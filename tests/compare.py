@@ -67,10 +67,10 @@ def differences(spark_df, cursor, strict: bool = False) -> str | None:
 
 def main(folder: str, wanted: list[str]) -> int:
     import __spark_entry__ as entry
-    from shelfcast.session import build_session
+    from shelfcast.session import build_session, scratch
 
     spark = build_session(
-        "compare", **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+        "compare", **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.checkpoint.dir": "/tmp/shelfcast-compare", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection, statements, failed = connect(folder), entry.oracle_sql(), 0
@@ -78,21 +78,22 @@ def main(folder: str, wanted: list[str]) -> int:
         if wanted and name not in wanted:
             continue
         try:
-            started = time.time()
-            df = build(spark, folder)
-            if name in statements:
-                n, problem = "", None
-                rows = df.persist()
-                rows.count()
-                spark_seconds = time.time() - started
+            with scratch(spark):
                 started = time.time()
-                cursor = connection.execute(statements[name])
-                problem = differences(rows, cursor, strict=True)
-                print(f"{name:32s} {'ok' if problem is None else 'DIFF ' + problem[:600]}  {spark_seconds:.1f}s / {time.time() - started:.1f}s", flush=True)
-                rows.unpersist()
-                failed += problem is not None
-            else:
-                print(f"{name:32s} {df.count()} rows, no SQL  {time.time() - started:.1f}s", flush=True)
+                df = build(spark, folder)
+                if name in statements:
+                    n, problem = "", None
+                    rows = df.persist()
+                    rows.count()
+                    spark_seconds = time.time() - started
+                    started = time.time()
+                    cursor = connection.execute(statements[name])
+                    problem = differences(rows, cursor, strict=True)
+                    print(f"{name:32s} {'ok' if problem is None else 'DIFF ' + problem[:600]}  {spark_seconds:.1f}s / {time.time() - started:.1f}s", flush=True)
+                    rows.unpersist()
+                    failed += problem is not None
+                else:
+                    print(f"{name:32s} {df.count()} rows, no SQL  {time.time() - started:.1f}s", flush=True)
         except Exception as error:
             failed += 1
             print(f"{name:32s} FAIL {str(error)[:700]}", flush=True)
