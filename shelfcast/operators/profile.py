@@ -59,9 +59,10 @@ def stored_counts(df: DataFrame, column: str) -> DataFrame:
     return materialize(value_counts(df, column), f"{column}-counts")
 
 
-def moments(panel: DataFrame, column: str = "sales") -> DataFrame:
-    """One row: mean, median, std, min, max, skewness, kurtosis."""
-    median = percentiles(stored_counts(panel, column), (50,)).select("value").scalar()
+def moments(panel: DataFrame, column: str = "sales", counts: DataFrame | None = None) -> DataFrame:
+    """One row: mean, median, std, min, max, skewness, kurtosis. ``counts``: stored value counts, if there are any."""
+    counts = stored_counts(panel, column) if counts is None else counts
+    median = percentiles(counts, (50,)).select("value").scalar()
     return panel.agg(
         F.avg(column).alias("mean"),
         F.stddev_samp(column).alias("std"),

@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Ranges that values are ranked in: at least so many, and one more for each so many distinct values.
 RANGES = 64
+VALUES_PER_RANGE = 1_000_000
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -25,16 +27,17 @@ def percentiles(counts: DataFrame, points: Sequence[float]) -> DataFrame:
     """``(p, value)``: exact percentiles (0-100) with linear interpolation.
 
     Values are cut into ranges at approximate quantiles, so each range holds a similar
-    number of distinct values whatever their spread. Ranks run inside a range and are
-    shifted by the rows in the ranges below it, so no task sees all the values.
+    number of distinct values whatever their spread. Their number follows the distinct values.
+    Ranks run inside a range and are shifted by the rows in the ranges below it, so no task sees all the values.
     """
-    inner = [i / RANGES for i in range(1, RANGES)]
+    ranges = max(RANGES, counts.count() // VALUES_PER_RANGE)
+    inner = [i / ranges for i in range(1, ranges)]
     cuts = counts.agg(F.percentile_approx("value", inner, 10_000).alias("cuts")).scalar()
     ranged = counts.withColumn("_cuts", cuts).select(
         "value", "n", F.size(F.filter("_cuts", lambda c: c < F.col("value"))).alias("part")
     )
     part_sizes = ranged.groupBy("part").agg(F.sum("n").alias("size"))
-    # At most RANGES entries, whatever the size of the data.
+    # One entry for each range.
     sizes = part_sizes.agg(F.collect_list(F.struct("part", "size")).alias("sizes")).scalar()
 
     def rows_in(parts: Column) -> Column:

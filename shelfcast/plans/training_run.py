@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfcast import SERIES
 from shelfcast.operators import regressors
 from shelfcast.operators.codes import with_category_codes
 from shelfcast.operators.features import FEATURES, complete_rows, feature_frame, lookback_sequences, with_lags
-from shelfcast.operators.scoring import combine, long_predictions, rank_models, score
+from shelfcast.operators.forecast import persistence
+from shelfcast.operators.scoring import best_per_metric, combine, long_predictions, rank_models, score, score_trailing, timeline_summary
 from shelfcast.operators.splits import VAL_DAYS, with_time_split
 from shelfcast.session import materialize
 from shelfcast.sources import results
@@ -51,13 +53,23 @@ def naive_predictions(panel: DataFrame, val_days: int = VAL_DAYS, models: Mappin
 
 @dataclass
 class Study:
-    """Tables of one run. Predictions are None when the run was answered from stored metrics."""
+    """Tables of one run. Those that need predictions are None when the run was answered from stored metrics."""
 
     tabular: DataFrame
     sequence: DataFrame
     ranking: DataFrame
     predictions: DataFrame | None
     from_cache: bool
+    by_window: DataFrame | None = None
+    timeline: DataFrame | None = None
+    best: DataFrame | None = None
+    forecasts: DataFrame | None = None
+
+
+def tables_of(predictions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of fitted models: metrics by trailing window, summary by series, best model by metric, and the newest prediction held for a year."""
+    last = predictions.agg(F.max("date")).scalar()
+    return score_trailing(predictions), timeline_summary(predictions), best_per_metric(score(predictions)), persistence(predictions, last)
 
 
 def stored_frame(panel: DataFrame, root: str, val_days: int) -> DataFrame:
@@ -122,7 +134,8 @@ def run(
     sequence = results.read_metrics(spark, root, tables["sequence"])
     ranking = rank_models(combine(tabular, sequence))
     results.write_metrics(ranking.drop("rank"), root, tables["all"])
-    return Study(tabular, sequence, ranking, combine(tabular_predictions, sequence_predictions), False)
+    predictions = materialize(combine(tabular_predictions, sequence_predictions), "predictions")
+    return Study(tabular, sequence, ranking, predictions, False, *tables_of(predictions))
 
 
 def predict_again(

@@ -143,6 +143,11 @@ def test_run_store_and_reuse(panel, tmp_path):
     assert not first.from_cache and first.predictions.count() > 0
     ranked = first.ranking.collect()
     assert [r["rank"] for r in ranked] == [1, 2, 3] and [r.rmse for r in ranked] == sorted(r.rmse for r in ranked)
+    models = {"LinearRegression", "DecisionTree", training_run.SEQUENCE_MODEL}
+    assert {r.model for r in first.by_window.collect()} == models == {r.model for r in first.timeline.collect()}
+    assert {r.metric for r in first.best.collect()} == {"rmse", "mae", "r2", "mape", "smape"}
+    steps = first.forecasts.groupBy("model", "store", "item").agg(F.max("step").alias("n")).collect()
+    assert {r.model for r in steps} == models and {r.n for r in steps} == {365}
     again = training_run.run(panel, str(tmp_path), 60, small, regressors.gradient_boosting(5))
     assert again.from_cache and [r.model for r in again.ranking.collect()] == [r.model for r in ranked]
     repeated = score(training_run.predict_again(panel, str(tmp_path), 60, small, regressors.gradient_boosting(5)))

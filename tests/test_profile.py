@@ -111,3 +111,33 @@ def test_panel_acf_does_not_depend_on_blocks(make_panel, monkeypatch):
         monkeypatch.setattr(autocorr, "BLOCK_ROWS", block)
         rows = autocorr.acf(autocorr.panel_correlation_array(panel, 8), 8).orderBy("lag").collect()
         assert [r.acf for r in rows] == pytest.approx(brute_acf(x, 8))
+
+
+def test_profile_study_returns_the_single_tables(make_panel):
+    from shelfcast.operators import profile, quantiles
+    from shelfcast.plans import profile_study
+
+    panel = make_panel({(1, 1): [5, 1, 4, 4], (1, 2): [9, 2, 7], (2, 1): [3] * 6})
+    study = profile_study.run(panel)
+    single = {
+        "overview": profile.dataset_overview(panel),
+        "moments": profile.moments(panel),
+        "percentiles": profile.sales_percentiles(panel),
+        "histogram": profile.sales_histogram(panel),
+        "log_histogram": profile.sales_histogram(panel, log=True),
+        "box_plot": quantiles.box_plot(profile.stored_counts(panel, "sales")),
+        "extremes": profile.extremes(panel),
+        "rows_per_pair": profile.key_count_histogram(panel, ["store", "item"], profile.PAIR_BINS),
+    }
+    assert len(study) == 19
+    for name, table in single.items():
+        plain = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+        assert plain(study[name]) == plain(table), name
+
+
+def test_percentiles_take_more_ranges_for_more_values(make_panel, monkeypatch):
+    from shelfcast.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "VALUES_PER_RANGE", 2)
+    panel = make_panel({(1, 1): list(range(400))})
+    assert [r.value for r in quantiles.percentiles(quantiles.value_counts(panel, "sales"), (0, 50, 100)).orderBy("p").collect()] == [0, 199.5, 399]
