@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shelfcast import SERIES
 from shelfcast.operators import regressors
 from shelfcast.operators.codes import with_category_codes
-from shelfcast.operators.features import FEATURES, complete_rows, feature_frame, lookback_sequences, with_lags
+from shelfcast.operators.features import FEATURES, LAGS, complete_rows, feature_frame, lookback_sequences, with_lags
 from shelfcast.operators.forecast import persistence
 from shelfcast.operators.scoring import best_per_metric, combine, long_predictions, rank_models, score, score_trailing, timeline_summary
 from shelfcast.operators.splits import VAL_DAYS, with_time_split
@@ -36,13 +36,23 @@ def training_frame(panel: DataFrame) -> DataFrame:
     dropped, and the original keys stay.
 
     The panel is written down first, so that its joins over the raw rows run once. The
-    labels come from the series that keep a row; that list is partitioned like the lag
-    windows, so finding it takes no further shuffle, and it is stored for both code
-    tables.
+    labels come from the series that keep a row, which is stored for both code tables.
     """
     panel = materialize(panel, "panel")
-    kept = materialize(complete_rows(with_lags(panel)).select(*SERIES).distinct(), "kept-series")
-    return with_category_codes(complete_rows(feature_frame(panel)), SERIES, labels_from=kept)
+    return with_category_codes(complete_rows(feature_frame(panel)), SERIES, labels_from=_kept_series(panel))
+
+
+def _kept_series(panel: DataFrame) -> DataFrame:
+    """The series that keep a row when incomplete ones are dropped.
+
+    Where no value is NULL these are the series longer than the longest lag, which a
+    count with partial sums tells; else the lags themselves are asked.
+    """
+    counts = panel.groupBy(*SERIES).agg(F.count("*").alias("n"), F.count_if(F.col("sales").isNull()).alias("gaps"))
+    counts = materialize(counts, "series-counts")
+    if counts.where("gaps > 0").isEmpty():
+        return counts.where(F.col("n") > max(LAGS)).select(*SERIES)
+    return materialize(complete_rows(with_lags(panel)).select(*SERIES).distinct(), "kept-series")
 
 
 def naive_predictions(panel: DataFrame, val_days: int = VAL_DAYS, models: Mapping[str, str] = NAIVE_MODELS) -> DataFrame:

@@ -130,3 +130,13 @@ def test_sequences_with_a_null_are_left_out(make_panel):
     rows = sorted(lookback_sequences(split, 28).collect(), key=lambda r: r.date)
     assert [r.y for r in rows] == [v for k, v in enumerate(sales) if k >= 28 and not 40 <= k <= 68]
     assert all(r.seq == sales[k - 28 : k] for r in rows for k in [sales.index(r.y)])
+
+
+@pytest.mark.parametrize("gap", [False, True])
+def test_series_that_keep_a_row(make_panel, gap):
+    from shelfcast.plans.training_run import _kept_series
+
+    sales = {(1, 1): [1] * 61, (1, 2): [1] * 60, (2, 1): [None if gap and k % 30 == 0 else 1 for k in range(70)], (2, 2): [2] * 90}
+    kept = {tuple(r) for r in _kept_series(make_panel(sales)).collect()}
+    by_lags = {(r.store, r.item) for r in complete_rows(with_lags(make_panel(sales))).select("store", "item").distinct().collect()}
+    assert kept == by_lags
