@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.session import scratch_path
+from shelfcast.session import delete_path, scratch_path
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -16,5 +16,4 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a stored table that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    delete_path(spark, path)
