@@ -29,6 +29,8 @@ from shelfcast.llm.text import mixed, partitions, pieces, spread, utf8
 
 LENGTH = 100
 ANCHOR = 32
+#: Bytes of text whose anchors are found at a time; a dozen numbers are held for each.
+PIECE = 1 << 20
 #: A byte's value in the hash of a context, and the base of its powers with its inverse modulo 2 to the 64th.
 BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -60,8 +62,8 @@ class Runs:
 
     def __init__(self, texts: pa.ChunkedArray, length: int, anchor: int):
         self.data, self.offsets = utf8(texts)
-        parts = [_runs(self.data[self.offsets[i] : self.offsets[j]], self.offsets[i : j + 1] - self.offsets[i], length, anchor) for i, j in pieces(self.offsets)]
-        self.begin = np.concatenate([p[0] + self.offsets[i] for p, (i, _) in zip(parts, pieces(self.offsets))] or [np.zeros(0, np.int64)])
+        parts = [_runs(self.data[self.offsets[i] : self.offsets[j]], self.offsets[i : j + 1] - self.offsets[i], length, anchor) for i, j in pieces(self.offsets, PIECE)]
+        self.begin = np.concatenate([p[0] + self.offsets[i] for p, (i, _) in zip(parts, pieces(self.offsets, PIECE))] or [np.zeros(0, np.int64)])
         self.count, self.gram, self.context, self.lead = (np.concatenate([p[k] for p in parts] or [np.zeros(0, kind)]) for k, kind in ((1, np.int64), (2, np.uint64), (3, np.uint64), (4, np.int64)))
         self.text = np.searchsorted(self.offsets, self.begin, side="right") - 1
         self.start = self.begin - self.offsets[self.text]
@@ -253,21 +255,25 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, di
                 windows = spread(runs.begin[run], count[entry])[flags[spread(offset[entry], count[entry])]]
                 np.add.at(change, windows, 1)
                 np.add.at(change, windows + length, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-        opens = edge[:-1] == 1
-        opens[runs.offsets[:-1][runs.offsets[:-1] < len(gone)]] |= gone[runs.offsets[:-1][runs.offsets[:-1] < len(gone)]]
-        closes = edge[1:] == -1
-        ends = runs.offsets[1:][(runs.offsets[1:] > 0)] - 1
-        closes[ends] |= gone[ends]
-        removed = np.concatenate([[0], np.cumsum(gone)])[runs.offsets]
-        spans = np.concatenate([[0], np.cumsum(opens)])[runs.offsets]
+        # In place and in 32 bits: these are the largest arrays of a group.
+        gone = np.cumsum(change, out=change)[:-1] > 0
+        del change
+        edge = np.flatnonzero(gone[1:] != gone[:-1]) + 1
+        lengths = np.diff(runs.offsets)
+        filled = runs.offsets[:-1][lengths > 0]
+        # Bounds of spans: where the mark changes, and the ends of texts.
+        cuts = np.union1d(edge, np.append(filled, len(gone)))
+        marked = gone[cuts[:-1]]
+        begins, ends = cuts[:-1][marked], cuts[1:][marked]
+        spans = np.searchsorted(begins, runs.offsets)
+        covered = np.concatenate([[0], np.cumsum(ends - begins)])
+        removed = covered[spans]
         raw, left = runs.data[~gone].tobytes(), (runs.offsets - removed).tolist()
         kept = [raw[a:b] for a, b in zip(left, left[1:])]
         out = {"doc_id": texts.column("doc_id"), "n_bytes": np.diff(runs.offsets), "n_removed": np.diff(removed), "n_spans": np.diff(spans)}
         if digests:
             return pa.table(out | {"kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]})
-        bounds = np.column_stack([np.flatnonzero(opens), np.flatnonzero(closes) + 1])
+        bounds = np.column_stack([begins, ends])
         found = [[{"begin": int(a - o), "end": int(b - o)} for a, b in bounds[i:j]] for o, i, j in zip(runs.offsets.tolist(), spans.tolist(), spans[1:].tolist())]
         return pa.table(out | {"spans": pa.array(found, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
