@@ -50,7 +50,8 @@ def dedup_lines(docs: DataFrame, window: int = 3, counts: bool = True) -> DataFr
     found, _ = stored(covered_lines(docs, window), "covered-lines")
     found = found.select(F.col("doc_id").alias(of_doc), F.col("text_hash").alias(of_text), F.col("covered").alias(covered))
     marked = docs.withColumn(text_hash, F.expr("xxhash64(coalesce(text, ''))"))
-    joined = marked.join(found, F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.col(text_hash) == F.col(of_text)), "left")
+    # The same join at every size.
+    joined = marked.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.col(text_hash) == F.col(of_text)), "left")
     lines = _lines(F.col("text"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(covered)), lambda i: F.get(lines, i))
     text = F.when(F.col(covered).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
