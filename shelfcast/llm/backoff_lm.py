@@ -61,23 +61,27 @@ class Grams:
     def __init__(self, texts: pa.ChunkedArray, order: int):
         self.tokens, self.bounds = tokens(texts)
         n = len(self.tokens)
-        self.place = np.arange(n) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
-        keys, self.valid, self.distinct, self.at = self.tokens, [], [], []
+        # 32 bits are enough for places in a group, and halve what a group holds.
+        self.place = (np.arange(n) - np.repeat(self.bounds[:-1], np.diff(self.bounds))).astype(np.int32)
+        keys, self.distinct, self.at = self.tokens, [], []
         for k in range(order + 1):
             if k > 1:
                 keys = np.concatenate([[np.uint64(0)], mixed(keys[:-1] * STEP + self.tokens[1:])])
-            valid = self.place == 0 if k == 0 else self.place >= max(1, k - 1)
+            valid = self.valid(k)
             distinct, inverse = np.unique(keys[valid], return_inverse=True)
-            at = np.full(n, -1, np.int64)
+            at = np.full(n, -1, np.int32)
             at[valid] = inverse
-            self.valid.append(valid)
             self.distinct.append(distinct)
             self.at.append(at)
 
+    def valid(self, k: int) -> np.ndarray:
+        """Whether an n-gram of order k ends at each token."""
+        return self.place == 0 if k == 0 else self.place >= max(1, k - 1)
+
     def counts(self, trained: np.ndarray) -> list[np.ndarray]:
         """How often each n-gram occurs in the texts that are marked."""
         within = np.repeat(trained, np.diff(self.bounds))
-        return [np.bincount(at[valid & within], minlength=len(d)) for at, valid, d in zip(self.at, self.valid, self.distinct)]
+        return [np.bincount(at[(at >= 0) & within], minlength=len(d)) for at, d in zip(self.at, self.distinct)]
 
 
 def score_texts(docs: DataFrame, order: int = 2, folds: int = 5, held_out: int = 1) -> DataFrame:
@@ -182,7 +186,7 @@ class Automaton:
         chance[tokens] = 10 ** self.arcs[1][grams.at[1][tokens]]
         for k in range(2, self.order + 1):
             share = float(np.clip(facts[k, 2] / max(1, facts[k, 0]), *SHARES))
-            at = np.flatnonzero(grams.valid[k])
+            at = np.flatnonzero(grams.valid(k))
             before = at - 1
             # The start mark is a context of its own kind.
             opening = grams.place[before] == 0
