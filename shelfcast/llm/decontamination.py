@@ -1,8 +1,8 @@
 """Benchmark items inside documents: SimHash windows, multi-index Hamming blocks, exact similarity.
 
-Windows are as long as the items. A window that shares no shingle with an item has similarity zero, so only
-those that hold a shingle of an item at its own place in the item are built. Their SimHash is looked up among the
-items' fingerprints of the same length. Fingerprints are cut into blocks; if two differ in no more bits than
+Windows are as long as the items. A window's similarity to an item is bounded by the number of its places that hold
+a shingle of the items of its length, in whatever order, so every window with enough such places is built, and no
+other can be a leak. Their SimHash is looked up among the items' fingerprints of the same length. Fingerprints are cut into blocks; if two differ in no more bits than
 the radius, some block differs in no more than radius // blocks bits, and items are entered under all such
 values of each block, so one equality join finds every item within the radius. What it finds is verified
 by bit count and then by the similarity of the shingles with their counts.
@@ -46,6 +46,21 @@ def _block(column: str, size: int) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.col(column), k * size).bitwiseAND(F.lit((1 << size) - 1)).cast("int").alias("bits")) for k in range(BITS // size)))
 
 
+def _starts(width: int, similarity: float) -> Column:
+    """All starts of windows with enough places in `at` to reach the similarity, from n_words, size and the ordered `at`.
+
+    Of a and b shingles c can be common only if the window has c places, and c / (a + b - c) reaches s where c reaches
+    s (a + b) / (1 + s). A window belongs to its first place, so none is listed twice.
+    """
+    own, theirs = f"(least(n_words, size) - {width - 1})", f"(size - {width - 1})"
+    # The small number is for rounding: a window too many does no harm.
+    enough = f"cast(greatest(1, ceil({similarity!r}D * ({own} + {theirs}) / {1 + similarity!r}D - 1e-6D)) AS int)"
+    low = f"greatest(0, coalesce(get(at, i - 1), -1) + 1, get(at, i + {enough} - 1) - {own} + 1)"
+    high = "least(get(at, i), greatest(0, n_words - size))"
+    runs = f"transform(sequence(0, size(at) - {enough}), i -> CASE WHEN {low} <= {high} THEN sequence({low}, {high}) ELSE array() END)"
+    return F.expr(f"CASE WHEN size(at) >= {enough} THEN flatten({runs}) ELSE array() END")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 20, blocks: int = 8) -> DataFrame:
     """(doc_id, text_hash, item_id, start, n_words, distance, similarity): the best window for each text and item it holds.
 
@@ -64,8 +79,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
         .withColumn("item", F.monotonically_increasing_id()),
         "items",
     )
-    places = items.select("item", F.col("n_words").alias("size"), F.posexplode("shingles").alias("place", "shingle"))
-    known = places.select("shingle").distinct()
+    held_by = items.select(F.col("n_words").alias("size"), F.explode("shingles").alias("shingle")).distinct()
+    known = held_by.select("shingle").distinct()
     if known.count() <= SENT_SHINGLES:
         known = F.broadcast(known)
     key = ["doc_id", "text_hash"]
@@ -73,9 +88,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
     shingled = _shingled(texts, key, width)
     # The outer form: the other one puts a filter below, which computes all shingles a second time.
     hits = shingled.select(*key, "n_words", F.posexplode_outer("shingles").alias("at", "shingle")).join(known, "shingle", "left_semi")
-    hits = hits.select(*key, "n_words", "at", "shingle").join(places, "shingle")
-    begin = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n_words") - F.col("size")))
-    windows, _ = stored(hits.select(*key, begin.alias("start"), "size").distinct(), "windows")
+    hits = hits.select(*key, "n_words", "at", "shingle").join(held_by, "shingle")
+    # Places of a text, so bounded by it; repeated rows give them once.
+    hits = hits.groupBy(*key, "n_words", "size").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    windows, _ = stored(hits.select(*key, F.explode(_starts(width, similarity)).alias("start"), "size"), "windows")
     # Only texts with a window are cut into words again.
     held = windows.groupBy(*key).agg(F.collect_set(F.struct("start", "size")).alias("windows"))
     held = held.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "windows")
@@ -90,7 +106,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
     looked = printed.select("window", "window_print", "size", F.explode(_block("window_print", size)).alias("p")).select("window", "window_print", "size", "p.block", "p.bits")
     distance = F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print")))
     near = looked.join(probes, ["size", "block", "bits"]).withColumn("distance", distance).where(F.col("distance") <= radius).select("window", "item", "distance").distinct()
-    ours = printed.select("window", F.explode("shingles").alias("shingle")).groupBy("window", "shingle").agg(F.count("*").alias("n"))
+    near, _ = stored(near, "near")
+    ours = printed.join(near.select("window").distinct(), "window", "left_semi").select("window", F.explode("shingles").alias("shingle")).groupBy("window", "shingle").agg(F.count("*").alias("n"))
     theirs = items.select("item", F.explode("shingles").alias("shingle")).groupBy("item", "shingle").agg(F.count("*").alias("m"))
     common = near.join(ours, "window").join(theirs, ["item", "shingle"]).groupBy("window", "item", "distance").agg(F.sum(F.least("n", "m")).alias("common"))
     sizes = printed.select("window", *key, "start", F.col("size").alias("n_words"), F.size("shingles").alias("of_window"))

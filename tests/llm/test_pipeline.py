@@ -161,3 +161,52 @@ def test_native_operators_run_no_python(spark):
 
 def test_near_dedup_takes_its_own_parameters():
     assert simhash_dedup.near_duplicates.__defaults__ == (3, 2)
+
+
+def leaks_of_every_start(docs, items, least=0.8):
+    """The best similarity of any window, by document and item."""
+    out = {}
+    for i, text in docs:
+        own = shingles((text or "").lower().split())
+        for item, other in items:
+            known = shingles((other or "").lower().split())
+            if not own or not known:
+                continue
+            for start in range(max(1, len(own) - len(known) + 1)):
+                window = Counter(own[start : start + len(known)])
+                common = sum((window & Counter(known)).values())
+                similarity = common / (sum(window.values()) + len(known) - common)
+                if similarity >= least:
+                    out[i, item] = max(out.get((i, item), 0), similarity)
+    return out
+
+
+def test_leaks_with_displaced_parts(spark):
+    """Halves of an item that changed places inside a longer document, or in one as long as or shorter than the item."""
+    random.seed(21)
+    word = lambda: f"w{random.randint(0, 9000)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([40, 50, 59, 100, 100, 60])]
+    docs = [(100, " ".join(word() for _ in range(300)))]
+    for k, text in items:
+        words = text.split()
+        for at in (len(words) // 2, len(words) // 3):
+            swapped = words[at:] + words[:at]
+            docs.append((len(docs), " ".join([word() for _ in range(100)] + swapped + [word() for _ in range(100)])))
+            docs += [(len(docs), " ".join(swapped)), (len(docs) + 1, " ".join(swapped[3:])), (len(docs) + 2, " ".join(swapped[:20] * 4))]
+    expected = leaks_of_every_start(docs, items)
+    assert len(expected) > len(leaks_by_hand(docs, items))
+    found = decontamination.find_leaks(spark.createDataFrame(docs, TEXTS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx(expected)
+
+
+def test_starts_are_those_with_enough_places(spark):
+    random.seed(4)
+    rows = []
+    for _ in range(300):
+        n, size = random.randint(5, 60), random.randint(5, 40)
+        rows.append((n, size, sorted(random.sample(range(n - 4), random.randint(int(0.6 * (n - 4)), n - 4)))))
+    got = spark.createDataFrame(rows, "n_words int, size int, at array<int>").select("*", decontamination._starts(5, 0.8).alias("starts")).collect()
+    for r in got:
+        own, theirs = min(r.n_words, r["size"]) - 4, r["size"] - 4
+        reach = [s for s in range(max(0, r.n_words - r["size"]) + 1) if (c := sum(s <= p < s + own for p in r.at)) and 10 * c >= 8 * (own + theirs - c)]
+        assert r.starts == reach
