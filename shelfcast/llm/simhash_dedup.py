@@ -158,13 +158,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     unless the whole component has none, and then component_id is null; rows that share a doc_id are told apart by
     their text only. An empty table gives no rows; other columns are left out.
     """
+    return _rooted(docs, shingle, distance).drop("root")
+
+
+def _rooted(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
+    """near_duplicates with root, a fingerprint that names the component."""
     prints, _ = stored(fingerprints(docs, shingle), "fingerprints")
     classes, _ = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes.select("fp"), distance))
     members = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = members.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = members.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
@@ -174,11 +179,9 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFra
     All columns are kept.
     """
     of_doc, of_text, text_hash = unused(docs.columns, "of_doc", "of_text", "text_hash")
-    found = near_duplicates(docs, shingle, distance)
-    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")).alias("row"))
-    # Components without any doc_id have no name of their own: their rows are told apart by fingerprint.
-    nameless = found.where("component_id IS NULL").groupBy("fingerprint").agg(F.min("text_hash").alias("text_hash")).select(F.lit(None).cast("long").alias(of_doc), F.col("text_hash").alias(of_text))
-    stays = stays.where("component_id IS NOT NULL").select(F.col("row.doc_id").alias(of_doc), F.col("row.text_hash").alias(of_text)).unionByName(nameless)
+    # By root, as a doc_id names no component: several may share their smallest one, or have none.
+    stays = _rooted(docs, shingle, distance).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")).alias("row"))
+    stays = stays.select(F.col("row.doc_id").alias(of_doc), F.col("row.text_hash").alias(of_text))
     stays, _ = stored(stays, "kept")
     marked = docs.withColumn(text_hash, F.expr("xxhash64(coalesce(text, ''))"))
     kept = marked.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col(of_doc)) & (F.col(text_hash) == F.col(of_text)), "left_semi")

@@ -251,3 +251,28 @@ def test_near_duplicates_of_awkward_rows(spark, awkward):
 def test_text_hash_is_that_of_spark(spark, awkward):
     here = {(r.doc_id, r.text_hash) for r in simhash_dedup.fingerprints(awkward).collect()}
     assert here == {(r.doc_id, r.h) for r in awkward.selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS h").collect()}
+
+
+def test_one_of_each_component_where_ids_collide(spark):
+    """One doc_id on unlinked texts, and texts without doc_id whose fingerprints are a bit or two apart."""
+    random.seed(19)
+    own = lambda: " ".join(f"w{random.randint(0, 4000)}" for _ in range(300))
+
+    def close(text):
+        while True:
+            words = text.split()
+            words[random.randrange(len(words))] = f"x{random.randint(0, 4000)}"
+            if 1 <= (print_by_hand(" ".join(words)) ^ print_by_hand(text)).bit_count() <= 2:
+                return " ".join(words)
+
+    one, two, three, four = own(), own(), own(), own()
+    rows = [(7, one), (7, two), (9, close(two)), (12, close(two)), (None, three), (None, close(three)), (None, three), (3, four), (None, close(four))]
+    prints = [print_by_hand(t) for _, t in rows]
+    roots = roots_by_hand(len(rows), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    assert len(set(roots)) == 4
+    expected = {}
+    for (i, t), k in zip(rows, roots):
+        key = (i is None, i or 0, _signed(t))
+        expected[k] = min(expected.get(k, (key, i, t)), (key, i, t))
+    kept = simhash_dedup.one_of_each(spark.createDataFrame(rows, TEXTS)).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted((i or -1, t) for _, i, t in expected.values())
