@@ -5,7 +5,7 @@ the row's role label, a speaker marker at its beginning, and its form (length, l
 of roles are counted in the corpus; how far labels and markers are trusted is fixed. Viterbi's path through
 all lines of a conversation gives the roles.
 
-A conversation may be longer than a task should hold, so it is cut into blocks of turns. A block is first
+A conversation may be longer than a task should hold, so it is cut into blocks of rows by their position. A block is first
 summed up as the best score from each state before it to each state at its end, 36 numbers; from these follow each block's
 entry and exit, with which it is decoded by itself.
 """
@@ -35,7 +35,7 @@ MARKER = r"\s*(?:#{1,6}\s*|\*\*|<\|?|\[)?(" + "|".join(sorted(BY_NAME, key=lambd
 TEMPLATE = "<|im_start|>{role}\n{text}<|im_end|>\n"
 
 STATES = 2 * len(ROLES)
-#: Turn numbers of a block.
+#: Rows of a block at most.
 BLOCK = 512
 FORMS = 6 * 2 * 3
 #: That the label or marker of a line that begins a turn names its role, and each other one; else it names none. The same inside a turn.
@@ -184,7 +184,7 @@ def chained(blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int,
 def learn(rows: DataFrame) -> Model:
     """Count forms by role, first roles and following roles over all rows whose label names a role.
 
-    rows: conv_id, block, turn, role, text. Followers are counted inside blocks. A few numbers reach the driver.
+    rows: conv_id, block, place, role, text. Followers are counted inside blocks. A few numbers reach the driver.
     """
 
     def count(batches):
@@ -203,9 +203,9 @@ def learn(rows: DataFrame) -> Model:
         forms[x.role, x.form] = x.n
     label = F.lower(F.trim("role"))
     number = F.coalesce(*(F.when(label.isin(*NAMES[role]), k) for k, role in enumerate(ROLES)))
-    turns = rows.select("conv_id", "block", F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), number.alias("k")).alias("x"))
-    # The turns of a block are bounded by its size, but for rows that share a turn.
-    runs = turns.groupBy("conv_id", "block").agg(F.sort_array(F.collect_set("x")).alias("xs"))
+    turns = rows.select("conv_id", "block", F.struct("place", number.alias("k")).alias("x"))
+    # The rows of a block are bounded by its size.
+    runs = turns.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     pairs = runs.select(F.explode(F.expr("CASE WHEN size(xs) > 1 THEN transform(sequence(0, size(xs) - 2), i -> struct(get(xs, i).k AS a, get(xs, i + 1).k AS b)) ELSE array() END")).alias("p"))
     pairs = pairs.where("p.a IS NOT NULL AND p.b IS NOT NULL")
     follows, start = np.zeros((len(ROLES), len(ROLES))), np.zeros(len(ROLES))
@@ -217,6 +217,22 @@ def learn(rows: DataFrame) -> Model:
     return Model(forms, start, follows)
 
 
+def placed(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The distinct rows in order: conv_id, turn, role, text, place and block.
+
+    Places rise in the order of all rows, with a gap after each range of the sort. A block is cut by places, so it has
+    `block` rows at most, whatever the turns and conversations are numbered.
+    """
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn")]
+    for c in ("text", "role"):
+        order += [F.coalesce(c, F.lit("")), F.col(c).isNotNull()]
+    ordered = rows.repartitionByRange(partitions(conversations), *order).sortWithinPartitions(*order)
+    # Written, as places are only the same in one run.
+    numbered, _ = stored(ordered.withColumn("place", F.monotonically_increasing_id()), "turns")
+    return numbered.withColumn("block", F.expr(f"place div {block}"))
+
+
 def format_turns(conversations: DataFrame, block: int = BLOCK, model: Model | None = None) -> DataFrame:
     """Roles recovered and turns rendered: conv_id, turn, part, given_role, role, continued, n_lines, rendered.
 
@@ -227,22 +243,15 @@ def format_turns(conversations: DataFrame, block: int = BLOCK, model: Model | No
     conv_id are one conversation. An empty table gives no rows; other columns are left out.
     """
     groups = partitions(conversations)
-    rows, _ = stored(
-        conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-        .distinct()
-        .withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long"))
-        .withColumn("grp", F.expr(f"cast(pmod(xxhash64(conv_id, block), {groups}) AS int)")),
-        "turns",
-    )
+    rows = placed(conversations, block).withColumn("grp", F.expr(f"cast(pmod(xxhash64(conv_id, block), {groups}) AS int)"))
     model = model or learn(rows)
     dealt = rows.repartition(groups, "grp")
 
     def blocks(table: pa.Table) -> list[tuple[tuple, Block]]:
         found: dict[tuple, list[tuple]] = {}
-        for conv, number, turn, role, text in zip(*(table.column(c).to_pylist() for c in ("conv_id", "block", "turn", "role", "text"))):
-            found.setdefault((conv, number), []).append((turn, role, text))
-        order = lambda r: (r[0] is not None, r[0] or 0, r[2] or "", r[2] is not None, r[1] or "", r[1] is not None)
-        return [(key, Block(sorted(own, key=order), model)) for key, own in found.items()]
+        for conv, number, place, turn, role, text in zip(*(table.column(c).to_pylist() for c in ("conv_id", "block", "place", "turn", "role", "text"))):
+            found.setdefault((conv, number), []).append((place, (turn, role, text)))
+        return [(key, Block([row for _, row in sorted(own, key=lambda r: r[0])], model)) for key, own in found.items()]
 
     def summarize(table: pa.Table) -> pa.Table:
         found = [(conv, number, b.summary().tobytes(), b.opening().tobytes()) for (conv, number), b in blocks(table)]

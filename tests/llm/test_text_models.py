@@ -213,3 +213,17 @@ def test_awkward_conversations(spark):
     assert {r.role for r in got if r.given_role == "GPT "} == {"assistant"} and sum(r.n_lines for r in got if r.conv_id == 2) == 3002
     assert all(re.fullmatch(r"(?s)<\|im_start\|>(system|user|assistant)\n.*<\|im_end\|>\n", r.rendered) for r in got)
     assert chat.format_turns(df.limit(0)).count() == 0
+
+
+def test_blocks_are_bounded_where_turns_are_not_distinct(spark):
+    """Rows without conv_id or turn, and turns that repeat: blocks by position, and the same turns as from one block."""
+    rows = [(None, k % 8, ["user", "assistant", None][k % 3], f"{'bot: ' * (k % 5 == 0)}line {k}?") for k in range(90)]
+    rows += [(1, None, ["user", "assistant"][k % 2], f"text {k}") for k in range(40)] + [(1, 3, None, f"text {k}\nmore") for k in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.placed(df, 16).collect()
+    assert len(found) == len(rows) and max(Counter((r.conv_id, r.block) for r in found).values()) <= 16
+    key = lambda r: (r.conv_id is not None, r.conv_id or 0, r.turn is not None, r.turn or 0, r.text, r.role or "")
+    assert [r.text for r in sorted(found, key=lambda r: r.place)] == [r.text for r in sorted(found, key=key)]
+    model = model_of_three()
+    one, many = (sorted(map(str, chat.format_turns(df, block, model).collect())) for block in (1 << 30, 16))
+    assert one == many and len(one) >= len(rows)
