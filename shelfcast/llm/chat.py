@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.tables import stored
@@ -184,7 +184,8 @@ def chained(blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int,
 def learn(rows: DataFrame) -> Model:
     """Count forms by role, first roles and following roles over all rows whose label names a role.
 
-    rows: conv_id, block, place, role, text. Followers are counted inside blocks. A few numbers reach the driver.
+    rows: conv_id, block, place, role, text. Followers are counted inside blocks and across
+    their borders. A few numbers reach the driver.
     """
 
     def count(batches):
@@ -207,6 +208,10 @@ def learn(rows: DataFrame) -> Model:
     # The rows of a block are bounded by its size.
     runs = turns.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     pairs = runs.select(F.explode(F.expr("CASE WHEN size(xs) > 1 THEN transform(sequence(0, size(xs) - 2), i -> struct(get(xs, i).k AS a, get(xs, i + 1).k AS b)) ELSE array() END")).alias("p"))
+    # Of a conversation only the ends of its blocks come together.
+    ends = turns.groupBy("conv_id", "block").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    following = F.lead("first").over(Window.partitionBy("conv_id").orderBy("block"))
+    pairs = pairs.unionByName(ends.select(F.struct(F.col("last.k").alias("a"), following["k"].alias("b")).alias("p")))
     pairs = pairs.where("p.a IS NOT NULL AND p.b IS NOT NULL")
     follows, start = np.zeros((len(ROLES), len(ROLES))), np.zeros(len(ROLES))
     for x in pairs.groupBy("p.a", "p.b").count().collect():

@@ -227,3 +227,21 @@ def test_blocks_are_bounded_where_turns_are_not_distinct(spark):
     model = model_of_three()
     one, many = (sorted(map(str, chat.format_turns(df, block, model).collect())) for block in (1 << 30, 16))
     assert one == many and len(one) >= len(rows)
+
+
+def test_followers_are_counted_across_blocks(spark):
+    """However rows are cut, and where turns are sparse or shared."""
+    random = np.random.default_rng(6)
+    rows = [(conv, turn, str(random.choice(["user", "assistant", "system"])), f"{turn} {k:03}") for conv in (None, 1, 2) for k, turn in enumerate([*range(0, 9000, 600), *[9000] * 20, *range(9001, 9010)])]
+    follows, start = np.zeros((3, 3)), np.zeros(3)
+    role = lambda r: chat.ROLES.index(r[2])
+    for a, b in zip(rows, rows[1:]):
+        if a[0] == b[0]:
+            follows[role(a), role(b)] += 1
+    for conv in (None, 1, 2):
+        start[role(next(r for r in rows if r[0] == conv))] += 1
+    expected = chat.Model(np.zeros((3, chat.FORMS)), start, follows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for block in (1, 7, 512):
+        model = chat.learn(chat.placed(df, block))
+        assert np.allclose(model.moves, expected.moves) and np.allclose(model.start[:3], expected.start[:3])
