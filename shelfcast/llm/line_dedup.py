@@ -29,8 +29,8 @@ def covered_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     spans = f"CASE WHEN size(h) >= {window} THEN transform(sequence(0, size(h) - {window}), i -> struct(i AS place, xxhash64({pick.replace('%s', 'h')}) AS a, xxhash64({pick.replace('%s', 'g')}) AS b, {filled} AS filled)) END"
     # The outer form: the other one puts a filter below, which builds all windows a second time.
     windows = hashed.select("doc_id", "text_hash", F.explode_outer(F.expr(spans)).alias("w")).where("w.filled").select("doc_id", "text_hash", "w.place", "w.a", "w.b")
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    later = windows.join(first, ["a", "b"]).where("NOT (doc_id <=> first.doc_id AND place = first.place)")
+    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    later = windows.join(first, ["a", "b"]).where("NOT (doc_id <=> first.doc_id AND text_hash = first.text_hash AND place = first.place)")
     merged = F.array_distinct(F.flatten(F.transform(F.collect_set("place"), lambda p: F.sequence(p, p + F.lit(window - 1)))))
     return later.groupBy("doc_id", "text_hash").agg(merged.alias("covered"))
 
@@ -39,11 +39,11 @@ def dedup_lines(docs: DataFrame, window: int = 3, counts: bool = True) -> DataFr
     """docs with its texts freed of repeated lines, and on request two more columns: n_lines and n_removed.
 
     A window of three consecutive lines that also begins earlier, in a text with a smaller doc_id or further up
-    in the same one, is a later occurrence, and all lines that later occurrences cover are removed. Windows are
+    in the same text, is a later occurrence, and all lines that later occurrences cover are removed. Windows are
     compared as they stand in the input. Windows whose lines are all blank don't count. A null or empty text has
     no lines and stays; a text of fewer than three lines stays; a text may become empty. A null doc_id is before
-    all others; rows that share a doc_id count as one document, so the same window at the same place in
-    them is no repetition, and equal rows get equal results. An empty table stays empty. All columns are kept, but
+    all others; of texts that share a doc_id or have none, the one with the smaller hash is earlier. Rows equal in
+    doc_id and text are one text: they get equal results, and their copies of one another stay. An empty table stays empty. All columns are kept, but
     n_lines and n_removed, when asked for, replace columns of these names.
     """
     of_doc, of_text, covered, text_hash = unused(docs.columns, "of_doc", "of_text", "covered", "text_hash")

@@ -276,3 +276,13 @@ def test_one_of_each_component_where_ids_collide(spark):
         expected[k] = min(expected.get(k, (key, i, t)), (key, i, t))
     kept = simhash_dedup.one_of_each(spark.createDataFrame(rows, TEXTS)).collect()
     assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted((i or -1, t) for _, i, t in expected.values())
+
+
+def test_lines_of_texts_that_share_a_doc_id(spark):
+    """One passage at the same place of different texts under one doc_id or none stays once; equal rows are one text."""
+    for own in (None, 7):
+        texts = [f"a\nb\nc\nend {k}" for k in range(5)]
+        rows = [(own, t) for t in texts] + [(own, texts[0])]
+        got = sorted((r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, TEXTS)).collect())
+        earliest = min(texts, key=_signed)
+        assert got == sorted((t, 0) if t == earliest else (t.split("\n")[-1], 3) for _, t in rows)
