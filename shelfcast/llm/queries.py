@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import backoff_lm, bpe, chat, decontamination, ego_join, line_dedup, quality, simhash_dedup, suffix_dedup, token_files
+from shelfcast.llm import backoff_lm, bpe, chat, cross_tokens, decontamination, ego_join, html_text, line_dedup, quality, simhash_dedup, suffix_dedup, token_files
 from shelfcast.llm.text import remainder, table
 from shelfcast.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_chat_turns(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,6 +72,16 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return ego_join.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op12_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The article of every page."""
+    return html_text.extract_text(table(spark, folder, "pages"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers, and how often linked ids are linked in all texts."""
+    return cross_tokens.alignment_counts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_turns": op1_chat_turns,
@@ -83,6 +94,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_round_trip": op8_bpe_round_trip,
         "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
         "op10_near_vectors": op10_near_vectors,
+        "op12_main_text": op12_main_text,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 

@@ -70,11 +70,11 @@ def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def rows_of(batches, columns: list[str]) -> Iterator[tuple]:
+def rows_of(batches, columns: list[str], size: int = PIECE) -> Iterator[tuple]:
     """For each piece of the batches: the piece as a record batch, its bytes and its offsets."""
     for batch in batches:
         data, offsets = utf8(batch.column(columns.index("text")))
-        for i, j in pieces(offsets):
+        for i, j in pieces(offsets, size):
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 

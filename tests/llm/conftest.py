@@ -9,6 +9,11 @@ DATA = "/root/testdata/sf0.001"
 TEXTS = "doc_id long, text string"
 
 
+@pytest.fixture(scope="session")
+def tables():
+    return DATA
+
+
 @pytest.fixture(scope="session")
 def documents(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet")
