@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import backoff_lm, bpe, chat, cross_tokens, decontamination, ego_join, html_text, line_dedup, quality, simhash_dedup, suffix_dedup, token_files
+from shelfcast.llm import backoff_lm, bpe, chat, cross_tokens, decontamination, ego_join, html_text, line_dedup, phrases, quality, simhash_dedup, suffix_dedup, token_files
 from shelfcast.llm.text import remainder, table
 from shelfcast.session import scratch_path
 
@@ -72,6 +72,11 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return ego_join.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 best phrases of every language."""
+    return phrases.mine_phrases(table(spark, folder, "documents"))
+
+
 def op12_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """The article of every page."""
     return html_text.extract_text(table(spark, folder, "pages"))
@@ -94,6 +99,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_round_trip": op8_bpe_round_trip,
         "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
         "op10_near_vectors": op10_near_vectors,
+        "op11_phrases": op11_phrases,
         "op12_main_text": op12_main_text,
         "op13_token_alignment": op13_token_alignment,
     }
