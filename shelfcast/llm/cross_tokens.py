@@ -17,22 +17,27 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.bpe import byte_signs
 from shelfcast.llm.pretokens import valid
 from shelfcast.llm.tables import stored
-from shelfcast.llm.text import binary_array, dictionary, rows_of, spread
+from shelfcast.llm.text import binary_array, dictionary, pieces, rows_of, spread
 
 #: Bytes of text whose distinct segments and pairs are counted together; a longer text is a chunk of its own.
 CHUNK = 16 << 20
+#: Segments given to the tokenizers at a time, whose results are large objects, and segments aligned at a time.
+BATCH = 1 << 12
+BLOCK = 1 << 15
 #: Segments of texts written out at a time.
-SLICE = 1 << 17
+SLICE = 1 << 16
 OVERLAP, GROUP, END = KINDS = ("overlap", "group", "end")
 # Fixed value: the sign that stands for a space in pieces.
 SPACE_SIGN = "▁"
@@ -65,11 +70,20 @@ class Vocabularies:
         self.cuts_at_spaces = not any(b" " in x.lstrip(b" ") for x in b)
         self.digits = TokenBytes([str(i).encode() for i in range(max(len(a), len(b)))])
 
-    def encode(self, segments: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both tokenizers; a segment begins with a space, which the second adds by itself."""
-        a = [x.ids for x in self.byte_level.encode_batch_fast([s.decode() for s in segments], add_special_tokens=False)]
-        b = self.pieces.encode([s[1:].decode() for s in segments], num_threads=1)
-        return a, [x if s != b" " else [self.lone_space] for x, s in zip(b, segments)]
+    def encode(self, segments: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By each tokenizer the ids of all segments, and how many of each; a segment begins with a space, which the second adds by itself."""
+        found = ([], []), ([], [])
+        for i in range(0, len(segments), BATCH):
+            part = segments[i : i + BATCH]
+            texts = [s.decode() for s in part]
+            a = [x.ids for x in self.byte_level.encode_batch_fast(texts, add_special_tokens=False)]
+            b = self.pieces.encode([t[1:] for t in texts], num_threads=1)
+            b = [x if t != " " else [self.lone_space] for x, t in zip(b, texts)]
+            for (ids, counts), lists in zip(found, (a, b)):
+                counts.append(np.fromiter(map(len, lists), np.int32, len(lists)))
+                ids.append(np.fromiter(chain.from_iterable(lists), np.int32, int(counts[-1].sum())))
+        none = [np.zeros(0, np.int32)]
+        return [(np.concatenate(ids + none), np.concatenate(counts + none)) for ids, counts in found]
 
 
 class TokenBytes:
@@ -156,32 +170,22 @@ class Alignment:
         return rows, columns
 
 
-def _flat(lists: list[list[int]], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    ids = np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum()))
-    return ids[np.repeat(whole, counts)], np.where(whole, counts, 0)
-
-
 def align(segments: list[bytes], pair: Vocabularies) -> Alignment:
     """Align both tokenizations of every segment. A segment whose bytes one of them doesn't give back has no tokens."""
-    lists = pair.encode(segments)
-    everything = np.ones(len(segments), bool)
+    encoded = pair.encode(segments)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     data = np.frombuffer(b"".join(segments), np.uint8)
-    whole = everything.copy()
-    for tokens, ids in zip((pair.a, pair.b), lists):
-        flat, counts = _flat(ids, everything)
-        joined = tokens.joined(flat)
-        owner = np.repeat(np.arange(len(segments)), counts)
-        same = np.bincount(owner, weights=tokens.sizes[flat], minlength=len(segments)) == sizes
-        if same.all():
-            differs = joined != data
-            same[np.repeat(np.arange(len(segments)), sizes)[differs]] = False
+    whole = np.ones(len(segments), bool)
+    for tokens, (ids, counts) in zip((pair.a, pair.b), encoded):
+        joined = tokens.joined(ids)
+        ends = np.concatenate([[0], np.cumsum(tokens.sizes[ids])])[np.cumsum(counts, dtype=np.int64)]
+        given = np.diff(np.concatenate([[0], ends]))
+        if (given == sizes).all():
+            whole[np.searchsorted(ends, np.flatnonzero(joined != data), side="right")] = False
         else:
-            text, starts = joined.tobytes(), np.concatenate([[0], np.cumsum(np.bincount(owner, weights=tokens.sizes[flat], minlength=len(segments)).astype(np.int64))])
-            same &= np.fromiter((text[x:y] == s for x, y, s in zip(starts[:-1].tolist(), starts[1:].tolist(), segments)), bool, len(segments))
-        whole &= same
-    (a, a_counts), (b, b_counts) = (_flat(ids, whole) for ids in lists)
+            text = joined.tobytes()
+            whole &= np.fromiter((text[y - n : y] == s for y, n, s in zip(ends.tolist(), given.tolist(), segments)), bool, len(segments))
+    (a, a_counts), (b, b_counts) = ((ids[np.repeat(whole, counts)].astype(np.int64), np.where(whole, counts, 0)) for ids, counts in encoded)
     by_byte = Csr.of_runs(pair.a.sizes[a])
     other = Csr.of_runs(pair.b.sizes[b])
     overlaps = by_byte.times(other.transposed(int(other.bounds[-1])))
@@ -251,6 +255,47 @@ def _sums(per_segment: np.ndarray, places: np.ndarray, before: np.ndarray) -> np
     return np.diff(np.concatenate([[0], np.cumsum(per_segment[places])])[before])
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, their lowest bytes first, then the next ones, compressed."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(value: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(value), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+@dataclass
+class Summary:
+    """Of distinct segments: whether both tokenizers give each back, its tokens, groups and links, the ids linked, and its groups as text."""
+
+    whole: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    linked: np.ndarray
+    text_sizes: np.ndarray
+    texts: np.ndarray
+
+
+def summary(distinct: list[bytes], pair: Vocabularies, kind: str) -> Summary:
+    """Segments are aligned in blocks, as the products are far larger than what is kept of them."""
+    parts = []
+    for i in range(0, max(1, len(distinct)), BLOCK):
+        found = align(distinct[i : i + BLOCK], pair)
+        texts, before = _group_texts(found, pair)
+        left, right = found.links(kind)
+        ends = np.concatenate([[0], found.a_group + 1])
+        parts.append(
+            (
+                found.whole, np.diff(found.a_before), np.diff(found.b_before), np.diff(ends[found.a_before]),
+                np.diff(np.searchsorted(left, found.a_before)), found.a[left] << 32 | found.b[right], np.diff(before), texts,
+            )
+        )
+    return Summary(*(np.concatenate(x) for x in zip(*parts)))
+
+
 def chunks(docs: DataFrame, vocabulary_path: str, model_path: str, kind: str, size: int = CHUNK) -> DataFrame:
     """One row per chunk of texts: counts and digests per text, its segments, their pairs, and the chunk's distinct pairs with counts."""
     sent = _vocabulary_files(docs, vocabulary_path, model_path)
@@ -259,40 +304,36 @@ def chunks(docs: DataFrame, vocabulary_path: str, model_path: str, kind: str, si
         pair = vocabularies(*sent.value)
         number = 0
         for rows, data, offsets in rows_of(batches, ["doc_id", "text", "part"], size):
-            items, before = segments(data, offsets, pair.cuts_at_spaces)
-            distinct, places = dictionary(items)
-            found = align(distinct, pair)
-            texts, text_before = _group_texts(found, pair)
+            # Cut in smaller pieces, for their masks.
+            cut = [segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], pair.cuts_at_spaces) for i, j in pieces(offsets)]
+            distinct, places = dictionary(pa.chunked_array([items for items, _ in cut]).combine_chunks())
+            before = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for _, x in cut]))])
+            del cut
+            found = summary(distinct, pair, kind)
             # A text with a segment that isn't given back has no tokens at all.
             broken = _sums(~found.whole, places, before) > 0
-            kept = ~np.repeat(broken, np.diff(before))
-            places = places[kept]
-            before = np.concatenate([[0], np.cumsum(np.where(broken, 0, np.diff(before)))])
-            left, right = found.links(kind)
-            keys, pair_of_link = np.unique(found.a[left] << 32 | found.b[right], return_inverse=True)
-            links_before = np.searchsorted(left, found.a_before)
+            n_segments = np.where(broken, 0, np.diff(before))
+            places = places[~np.repeat(broken, np.diff(before))]
+            before = np.concatenate([[0], np.cumsum(n_segments)])
             times = np.bincount(places, minlength=len(distinct))
-            counts = np.bincount(pair_of_link, weights=np.repeat(times, np.diff(links_before)), minlength=len(keys)).astype(np.int64)
-            group_counts = _groups_of(found)
-            digests = []
-            for i, j in _slices(before):
-                own = places[before[i] : before[j]]
-                sizes = np.diff(text_before)[own]
-                raw = texts[spread(text_before[own], sizes)].tobytes()
-                ends = np.concatenate([[0], np.cumsum(sizes)])[before[i : j + 1] - before[i]].tolist()
-                digests += [hashlib.sha256(raw[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(ends, ends[1:])]
-            per_text = (np.diff(found.a_before), np.diff(found.b_before), group_counts, np.diff(links_before))
+            keys, pair_of_link = np.unique(found.linked, return_inverse=True)
+            counts = np.bincount(pair_of_link, weights=np.repeat(times, found.n_links), minlength=len(keys)).astype(np.int64)
+            per_text = [_sums(x, places, before) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)]
+            # Frequent segments get small numbers, which pack well.
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            links_before = np.cumsum(found.n_links) - found.n_links
+            pairs_by_rank = pair_of_link[spread(links_before[order], found.n_links[order])]
             doc_ids = rows.column(0).cast(pa.int64()).to_pylist()
+            binaries = (rank[places], n_segments, pairs_by_rank, found.n_links[order])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([rows.column(2)[0].as_py() << 32 | number], pa.int64()),
                     pa.array([doc_ids], pa.list_(pa.int64())),
-                    pa.array([np.column_stack([_sums(x, places, before) for x in per_text]).astype("<i8").tobytes()], pa.binary()),
-                    pa.array([digests], pa.list_(pa.string())),
-                    pa.array([places.astype("<i4").tobytes()], pa.binary()),
-                    pa.array([np.diff(before).astype("<i4").tobytes()], pa.binary()),
-                    pa.array([pair_of_link.astype("<i4").tobytes()], pa.binary()),
-                    pa.array([np.diff(links_before).astype("<i4").tobytes()], pa.binary()),
+                    pa.array([np.column_stack(per_text).astype("<i8").tobytes()], pa.binary()),
+                    pa.array([_digests(found, places, before)], pa.list_(pa.string())),
+                    *(pa.array([packed(x)], pa.binary()) for x in binaries),
                     pa.array([keys], pa.list_(pa.int64())),
                     pa.array([counts], pa.list_(pa.int64())),
                 ],
@@ -303,6 +344,20 @@ def chunks(docs: DataFrame, vocabulary_path: str, model_path: str, kind: str, si
     return docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(work, _CHUNK_SCHEMA)
 
 
+def _digests(found: Summary, places: np.ndarray, before: np.ndarray) -> list[str]:
+    """SHA-256 of the groups of every text, empty for a text without tokens."""
+    text_before = np.cumsum(found.text_sizes) - found.text_sizes
+    out = []
+    for i, j in _slices(before):
+        own = places[before[i] : before[j]]
+        sizes = found.text_sizes[own]
+        raw = found.texts[spread(text_before[own], sizes)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[before[i : j + 1] - before[i]].tolist()
+        # Without the semicolon after the last group.
+        out += [hashlib.sha256(raw[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(ends, ends[1:])]
+    return out
+
+
 _CHUNK_SCHEMA = (
     "chunk long, doc_ids array<long>, sizes binary, digests array<string>, places binary, n_segments binary, "
     "pair_of_link binary, n_links binary, keys array<long>, counts array<long>"
@@ -310,12 +365,6 @@ _CHUNK_SCHEMA = (
 _CHUNK_NAMES = [x.split()[0] for x in _CHUNK_SCHEMA.split(", ")]
 
 
-def _groups_of(found: Alignment) -> np.ndarray:
-    """The number of groups of each segment."""
-    ends = np.concatenate([[0], found.a_group + 1])
-    return np.diff(ends[found.a_before])
-
-
 def _slices(before: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of texts of about SLICE segments."""
     i, n = 0, len(before) - 1
@@ -346,13 +395,13 @@ def alignment_counts(docs: DataFrame, vocabulary_path: str, model_path: str, kin
     answers = pairs.select("of_chunk", "key").join(totals, "key").select("of_chunk", "key", "total", "best")
 
     def work(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        get = lambda name: np.frombuffer(left.column(name)[0].as_py(), "<i4")
+        get = lambda name: unpacked(left.column(name)[0].as_py())
         # The chunk's keys are in ascending order.
         order = np.argsort(right.column("key").to_numpy())
         total, best = right.column("total").to_numpy()[order], right.column("best").to_numpy()[order]
-        of_link, before = get("pair_of_link"), np.concatenate([[0], np.cumsum(get("n_links"), dtype=np.int64)])
+        of_link, before = get("pair_of_link"), np.concatenate([[0], np.cumsum(get("n_links"))])
         of_segment = [np.diff(np.concatenate([[0], np.cumsum(x[of_link], dtype=np.int64)])[before]) for x in (best, total)]
-        places, texts_before = get("places"), np.concatenate([[0], np.cumsum(get("n_segments"), dtype=np.int64)])
+        places, texts_before = get("places"), np.concatenate([[0], np.cumsum(get("n_segments"))])
         found = [_sums(x, places, texts_before) for x in of_segment]
         sizes = np.frombuffer(left.column("sizes")[0].as_py(), "<i8").reshape(-1, 4)
         columns = [left.column("doc_ids")[0].values, *(pa.array(x, pa.int64()) for x in (*sizes.T, *found)), left.column("digests")[0].values]
