@@ -22,14 +22,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.bpe import byte_signs
 from shelfcast.llm.pretokens import valid
 from shelfcast.llm.tables import stored
-from shelfcast.llm.text import binary_array, dictionary, pieces, rows_of, spread
+from shelfcast.llm.text import binary_array, dictionary, packed, pieces, rows_of, spread, unpacked
 
 #: Bytes of text whose distinct segments and pairs are counted together; a longer text is a chunk of its own.
 CHUNK = 16 << 20
@@ -255,16 +254,6 @@ def _sums(per_segment: np.ndarray, places: np.ndarray, before: np.ndarray) -> np
     return np.diff(np.concatenate([[0], np.cumsum(per_segment[places])])[before])
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Numbers of 32 bits, their lowest bytes first, then the next ones, compressed."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def unpacked(value: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(value), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-
-
 @dataclass
 class Summary:
     """Of distinct segments: whether both tokenizers give each back, its tokens, groups and links, the ids linked, and its groups as text."""

@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.tables import discard, stored
-from shelfcast.llm.text import binary_array, dictionary, lowered, mixed, rows_of, utf8
+from shelfcast.llm.text import binary_array, dictionary, lowered, mixed, packed, rows_of, unpacked, utf8
 
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
 SCALE = 2_000_000
 #: Bytes of text whose phrases are counted together before they are shuffled; a longer text is a chunk of its own.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
+#: Rows of counts handed on at a time.
+ROWS = 1 << 16
 #: Phrases of two words above a language's threshold in the first round, and by how much more in each later one.
 FIRST, MORE = 4 * TOP, 8
 #: Thresholds lie on multiples of this.
@@ -88,13 +90,18 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
                 if not distinct:
                     continue
                 counts = np.bincount(places, minlength=len(distinct))
+                # Frequent words get small places, which pack well.
+                order = np.argsort(-counts, kind="stable")
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                distinct = [distinct[i] for i in order.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang], pa.string()),
                         pa.array([distinct], pa.list_(pa.binary())),
-                        pa.array([counts], pa.list_(pa.int64())),
+                        pa.array([counts[order]], pa.list_(pa.int64())),
                         pa.array([hashed(lang, distinct).tobytes()], pa.binary()),
-                        pa.array([places.astype("<i4").tobytes()], pa.binary()),
+                        pa.array([packed(rank[places])], pa.binary()),
                         pa.array([np.packbits(joined).tobytes()], pa.binary()),
                     ],
                     ["lang", "words", "counts", "hashes", "places", "joined"],
@@ -129,7 +136,7 @@ class Grams:
     """The phrases of a chunk that consist of frequent words: per length k the key of the one that ends at each word."""
 
     def __init__(self, row: Mapping[str, bytes], frequent: np.ndarray):
-        hashes, places = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["places"], "<i4")
+        hashes, places = np.frombuffer(row["hashes"], np.uint64), unpacked(row["places"])
         joined = np.unpackbits(np.frombuffer(row["joined"], np.uint8), count=len(places)).astype(bool)
         known = holds(frequent, hashes)[places]
         self.keys = {1: hashes[places]}
@@ -148,9 +155,11 @@ class Grams:
             valid[valid] = holds(allowed, keys[valid])
         self.keys[k], self.valid[k] = keys, valid
 
-    def counted(self, k: int, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct keys of k words at the chosen places: key, count, prefix, suffix."""
+    def counted(self, k: int, chosen: np.ndarray, parts: bool) -> tuple[np.ndarray, ...]:
+        """Distinct keys of k words at the chosen places: key and count, with prefix and suffix if asked for."""
         at = np.flatnonzero(chosen & self.valid[k])
+        if not parts:
+            return np.unique(self.keys[k][at], return_counts=True)
         keys, first, n = np.unique(self.keys[k][at], return_index=True, return_counts=True)
         return keys, n, self.keys[k - 1][at[first] - 1], self.keys[k - 1][at[first]]
 
@@ -175,8 +184,10 @@ def count_grams(cut: DataFrame, k: int, sets: Mapping[str, np.ndarray], parts: b
                     chosen[1:] &= holds(held["grow"], grams.keys[k - 1][:-1]) | holds(held["left"], grams.keys[k - 1][1:])
                 if "only" in held:
                     chosen &= holds(held["only"], grams.keys[k])
-                found = grams.counted(k, chosen)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (found if parts else found[:2])], names)
+                found = grams.counted(k, chosen, parts)
+                del grams, chosen
+                for start in range(0, len(found[0]), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[start : start + ROWS].view(np.int64)) for x in found], names)
 
     names = ["key", "n", "prefix", "suffix"] if parts else ["key", "n"]
     counted = cut.select("hashes", "places", "joined").mapInArrow(work, ", ".join(f"{x} long" for x in names))
