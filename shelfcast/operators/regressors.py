@@ -1,23 +1,27 @@
 """Regressors on the feature frame: fit, predict with keys, store and reload.
 
-Training and scoring are Spark ML jobs. Predictions keep ``store, item, date``.
+Lines and the single tree are Spark ML's; forests and boosting are those of :mod:`shelfcast.operators.trees`. Fits
+that don't depend on each other run at the same time. Predictions keep ``store, item, date``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Row
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast import SERIES, SERIES_DAY
 from shelfcast.operators.features import BY_DATE, FEATURES, LOOKBACK
 from shelfcast.operators.scaling import fit_standard, scale_standard, unscale_standard
 from shelfcast.operators.scoring import combine
+from shelfcast.operators.trees import BOOSTING, FOREST, RANDOM, TreeEnsembleRegressor
 from shelfcast.session import materialize, shared_dir
 from shelfcast.sources.results import estimator_fingerprint, feature_digest, load_model, save_model
 
@@ -33,10 +37,13 @@ BOOST_RATE = 0.05
 BOOST_SUBSAMPLE = 0.9
 HIST_BOOST_DEPTH = 12
 HIST_BOOST_ROWS = 20
+HIST_BOOST_LEAVES = 31
+HIST_BOOST_PENALTY = 1.0
+PATIENCE = 15
 # Candidate thresholds of every tree model; the most that fit one byte.
 BINS = 256
-# Boosting rounds between checkpoints, which cut the lineage of the running residuals.
-CHECKPOINT_ROUNDS = 10
+# Independent fits that run at a time. Each submits its own jobs, which share the cluster.
+FITS_AT_ONCE = 4
 
 _COLUMNS = {"featuresCol": "features", "labelCol": "y", "predictionCol": "yhat"}
 
@@ -49,34 +56,25 @@ def decision_tree(depth: int = TREE_DEPTH) -> DecisionTreeRegressor:
     return DecisionTreeRegressor(**_COLUMNS, maxDepth=depth, maxBins=BINS, seed=SEED)
 
 
-def random_forest(trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> RandomForestRegressor:
-    return RandomForestRegressor(
-        **_COLUMNS, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", maxBins=BINS, maxMemoryInMB=1024, seed=SEED
-    )
+def random_forest(trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> TreeEnsembleRegressor:
+    """Every tree sees a bag of the rows, and every node all inputs."""
+    return TreeEnsembleRegressor(**_COLUMNS, kind=FOREST, trees=trees, maxDepth=depth, bins=BINS, seed=SEED)
 
 
-def extra_trees_approx(trees: int = EXTRA_TREES, depth: int = FOREST_DEPTH) -> RandomForestRegressor:
-    """Whole sample per tree and a random feature subset per node. Thresholds are not
-    random, as Spark has no such forest, so this only approximates extra trees."""
-    return RandomForestRegressor(
-        **_COLUMNS, numTrees=trees, maxDepth=depth, bootstrap=False, featureSubsetStrategy="onethird",
-        maxBins=BINS, maxMemoryInMB=1024, seed=SEED,
-    )
+def extra_trees(trees: int = EXTRA_TREES, depth: int = FOREST_DEPTH) -> TreeEnsembleRegressor:
+    """Every tree sees all rows; every node draws one threshold for each input and takes the best."""
+    return TreeEnsembleRegressor(**_COLUMNS, kind=RANDOM, trees=trees, maxDepth=depth, bins=BINS, seed=SEED)
 
 
-def gradient_boosting(rounds: int = BOOST_ROUNDS, depth: int = BOOST_DEPTH) -> GBTRegressor:
-    return GBTRegressor(
-        **_COLUMNS, maxIter=rounds, maxDepth=depth, stepSize=BOOST_RATE, subsamplingRate=BOOST_SUBSAMPLE, maxBins=BINS,
-        checkpointInterval=CHECKPOINT_ROUNDS, maxMemoryInMB=1024, seed=SEED,
-    )
+def gradient_boosting(rounds: int = BOOST_ROUNDS, depth: int = BOOST_DEPTH) -> TreeEnsembleRegressor:
+    return TreeEnsembleRegressor(**_COLUMNS, kind=BOOSTING, trees=rounds, maxDepth=depth, rate=BOOST_RATE, share=BOOST_SUBSAMPLE, bins=BINS, seed=SEED)
 
 
-def hist_gradient_boosting(rounds: int = BOOST_ROUNDS, depth: int = HIST_BOOST_DEPTH) -> GBTRegressor:
-    """Boosting on binned features, as every Spark tree. There is no L2 penalty on leaves,
-    so this only approximates the regularised original."""
-    return GBTRegressor(
-        **_COLUMNS, maxIter=rounds, maxDepth=depth, stepSize=BOOST_RATE, maxBins=BINS, minInstancesPerNode=HIST_BOOST_ROWS,
-        checkpointInterval=CHECKPOINT_ROUNDS, maxMemoryInMB=1024, seed=SEED,
+def hist_gradient_boosting(rounds: int = BOOST_ROUNDS, depth: int = HIST_BOOST_DEPTH, penalty: float = HIST_BOOST_PENALTY) -> TreeEnsembleRegressor:
+    """Boosting that grows each tree by its best leaf first, with an L2 penalty on leaves."""
+    return TreeEnsembleRegressor(
+        **_COLUMNS, kind=BOOSTING, trees=rounds, maxDepth=depth, rate=BOOST_RATE, penalty=penalty, leastRows=HIST_BOOST_ROWS, maxLeaves=HIST_BOOST_LEAVES,
+        bins=BINS, seed=SEED,
     )
 
 
@@ -84,7 +82,7 @@ REGRESSORS: dict[str, Callable[[], Estimator]] = {
     "LinearRegression": linear_regression,
     "DecisionTree": decision_tree,
     "RandomForest": random_forest,
-    "ExtraTreesApprox": extra_trees_approx,
+    "ExtraTrees": extra_trees,
     "GradientBoosting": gradient_boosting,
     "HistGradientBoosting": hist_gradient_boosting,
 }
@@ -107,6 +105,21 @@ def stored_name(name: str, estimator: Estimator, features: Sequence[str] = FEATU
     return f"{name}-{estimator_fingerprint(estimator)}-{feature_digest(features)}"
 
 
+def fit_together(spark: SparkSession, fits: Mapping[str, Callable[[], PipelineModel]]) -> dict[str, PipelineModel]:
+    """Run independent fits at the same time, each in a scheduler pool of its own.
+
+    The pools share the cluster evenly where the session's scheduler mode is FAIR; else jobs run as they come.
+    """
+
+    def run(name: str) -> PipelineModel:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{name}")
+        return fits[name]()
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(run), name) for name in fits}
+        return {name: fit.result() for name, fit in running.items()}
+
+
 def fit_all(
     split: DataFrame,
     estimators: Mapping[str, Estimator],
@@ -117,20 +130,24 @@ def fit_all(
     """Fit (or reload from ``root``) each estimator on the training part.
 
     ``root`` must stand for the training rows, as ``training_run.study_root`` does. Returns the validation
-    predictions of all models in one long table, and the models. The training part is kept in executor memory and on disk while the loop runs.
+    predictions of all models in one long table, and the models. The training part is kept in executor memory and on disk while they are fitted.
     """
-    shared_dir(split.sparkSession)  # where boosting checkpoints its residuals
+    spark = split.sparkSession
+    shared_dir(spark)
     labelled = with_label(split)
-    train = labelled.where(F.col("split") == "train").select(*features, "y").persist()
-    fitted = {}
+    # The keys tell otherwise equal rows apart where rows are drawn.
+    train = labelled.where(F.col("split") == "train").select(*dict.fromkeys((*SERIES_DAY, *features, "y"))).persist()
+
+    def fit(name: str, estimator: Estimator) -> PipelineModel:
+        model = None if retrain or root is None else load_model(spark, root, stored_name(name, estimator, features))
+        if model is None:
+            model = as_pipeline(estimator, features).fit(train)
+            if root is not None:
+                save_model(model, root, stored_name(name, estimator, features))
+        return model
+
     try:
-        for name, estimator in estimators.items():
-            model = None if retrain or root is None else load_model(split.sparkSession, root, stored_name(name, estimator, features))
-            if model is None:
-                model = as_pipeline(estimator, features).fit(train)
-                if root is not None:
-                    save_model(model, root, stored_name(name, estimator, features))
-            fitted[name] = model
+        fitted = fit_together(spark, {name: lambda n=name, e=estimator: fit(n, e) for name, estimator in estimators.items()})
     finally:
         train.unpersist()
     held_out = labelled.where(F.col("split") == "val").select(*dict.fromkeys((*SERIES_DAY, *features, "y")))
@@ -146,13 +163,11 @@ def with_early_stop_rows(train: DataFrame, days: int = 60) -> DataFrame:
     return train.withColumn("stop_start", start).withColumn("stop_row", F.col("date") > F.col("stop_start"))
 
 
-def early_stopping_boosting(rounds: int = BOOST_ROUNDS, tolerance: float = 0.001, depth: int = BOOST_DEPTH) -> GBTRegressor:
-    """Boosting that ends once the marked rows stop improving by ``tolerance``."""
-    return GBTRegressor(
-        **_COLUMNS, maxIter=rounds, maxDepth=depth, stepSize=BOOST_RATE, subsamplingRate=BOOST_SUBSAMPLE,
-        validationIndicatorCol="stop_row", validationTol=tolerance, maxBins=BINS, checkpointInterval=CHECKPOINT_ROUNDS,
-        maxMemoryInMB=1024, seed=SEED,
-    )
+def early_stopping_boosting(rounds: int = BOOST_ROUNDS, patience: int = PATIENCE, depth: int = BOOST_DEPTH) -> TreeEnsembleRegressor:
+    """Boosting that ends ``patience`` rounds after the one with the smallest loss on the marked rows, and keeps the trees up to that one."""
+    return TreeEnsembleRegressor(
+        **_COLUMNS, kind=BOOSTING, trees=rounds, maxDepth=depth, rate=BOOST_RATE, share=BOOST_SUBSAMPLE, patience=patience, stopCol="stop_row", bins=BINS, seed=SEED
+    )
 
 
 def fit_with_early_stop(
@@ -160,7 +175,7 @@ def fit_with_early_stop(
 ) -> tuple[DataFrame, PipelineModel]:
     labelled = with_label(split)
     train = with_early_stop_rows(labelled.where(F.col("split") == "train"), days)
-    model = as_pipeline(estimator, features).fit(train.select(*features, "y", "stop_row"))
+    model = as_pipeline(estimator, features).fit(train.select(*dict.fromkeys((*SERIES_DAY, *features, "y", "stop_row"))))
     return predict(model, labelled.where(F.col("split") == "val"), name), model
 
 
@@ -200,13 +215,14 @@ def fit_direct(
     empty = stored.where(F.lit(False)).select(
         F.lit(name).alias("model"), "horizon", *SERIES, F.col("target_date").alias("date"), "y", F.col("y").alias("yhat")
     )
+    usable = [h for h in horizons if h in trainable]
+    of = lambda horizon, part: stored.where((F.col("horizon") == horizon) & (F.col("part") == part))
+    train = lambda horizon: of(horizon, "train").select(*dict.fromkeys((*SERIES, "target_date", *features, "y")))
+    models = fit_together(targeted.sparkSession, {h: lambda h=h: as_pipeline(estimator, features).fit(train(h)) for h in usable})
     parts = [empty]
-    for horizon in (h for h in horizons if h in trainable):
-        rows = stored.where(F.col("horizon") == horizon)
-        model = as_pipeline(estimator, features).fit(rows.where("part = 'train'").select(*features, "y"))
-        held_out = rows.where("part = 'val'")
+    for horizon, model in models.items():
         parts.append(
-            model.transform(held_out).select(
+            model.transform(of(horizon, "val")).select(
                 F.lit(name).alias("model"), "horizon", *SERIES, F.col("target_date").alias("date"), "y", "yhat"
             )
         )
@@ -218,7 +234,7 @@ def huber_regression() -> LinearRegression:
     return LinearRegression(**_COLUMNS, loss="huber", epsilon=1.35, maxIter=100, regParam=0.0)
 
 
-def sequence_boosting(rounds: int = BOOST_ROUNDS) -> GBTRegressor:
+def sequence_boosting(rounds: int = BOOST_ROUNDS) -> TreeEnsembleRegressor:
     return gradient_boosting(rounds)
 
 
@@ -252,6 +268,8 @@ def fit_sequence_model(
     parameters = scaler.first()
     assembler = VectorAssembler(inputCols=["sequence", *features], outputCol="features")
     sized = VectorSizeHint(inputCol="sequence", size=lookback)
-    model = Pipeline(stages=[sized, assembler, estimator]).fit(_sequence_inputs(train, parameters, features).select("sequence", *features, "y"))
+    model = Pipeline(stages=[sized, assembler, estimator]).fit(
+        _sequence_inputs(train, parameters, features).select(*dict.fromkeys(("sequence", *SERIES_DAY, *features, "y")))
+    )
     predictions = predict_sequences(model, parameters, samples.where(F.col("split") == "val"), name, features)
     return predictions, model, samples.sparkSession.createDataFrame([parameters], scaler.schema)

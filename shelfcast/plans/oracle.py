@@ -404,7 +404,7 @@ step(
 # Model, and whether its target is the weekday's mean itself.
 WEEKDAY_ORACLES = {
     "decision_tree_on_weekday": ("DecisionTree", False),
-    "extra_trees_on_weekday": ("ExtraTreesApprox", False),
+    "extra_trees_on_weekday": ("ExtraTrees", False),
     "hist_gradient_boosting_on_weekday": ("HistGradientBoosting", False),
     "random_forest_on_weekday_levels": ("RandomForest", True),
     "gradient_boosting_on_weekday_levels": ("GradientBoosting", True),
@@ -723,6 +723,13 @@ def all_sql() -> dict[str, str]:
             )
             for name, (model, levels) in WEEKDAY_ORACLES.items()
         },
+        "hist_gradient_boosting_on_weekend": sql(
+            f"""SELECT 'HistGradientBoosting' AS model, store, item, date, CAST(sales AS DOUBLE) AS y,
+                    {r('m + (level - m) * (1 - pow(1 - 0.05 * n / (n + 1.0), 5))', 'yhat')}
+                FROM {SPLIT} JOIN (SELECT is_weekend, AVG(sales) AS level, COUNT(*) AS n FROM {SPLIT} WHERE split = 'train' GROUP BY is_weekend)
+                USING (is_weekend), (SELECT AVG(sales) AS m FROM {SPLIT} WHERE split = 'train') WHERE split = 'val'""",
+            SPLIT,
+        ),
         "regressor_ranking_on_one_input": sql(f"{ranking} FROM one_input_scores", "one_input_scores"),
         "sequence_of_exact_line": sql(
             f"""SELECT 'SequenceLinear' AS model, store, item, date, CAST(2 * lag_1 + 3 * dow + 5 AS DOUBLE) AS y,

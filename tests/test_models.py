@@ -39,7 +39,7 @@ SMALL = {
     "LinearRegression": lambda: regressors.linear_regression(),
     "DecisionTree": lambda: regressors.decision_tree(6),
     "RandomForest": lambda: regressors.random_forest(4, 6),
-    "ExtraTreesApprox": lambda: regressors.extra_trees_approx(4, 6),
+    "ExtraTrees": lambda: regressors.extra_trees(4, 6),
     "GradientBoosting": lambda: regressors.gradient_boosting(30),
     "HistGradientBoosting": lambda: regressors.hist_gradient_boosting(30, 4),
 }
@@ -55,10 +55,10 @@ def test_all_regressors_beat_the_mean(split):
 
 def test_defaults_are_the_full_sizes():
     trees = {name: make() for name, make in regressors.REGRESSORS.items()}
-    assert (trees["RandomForest"].getNumTrees(), trees["RandomForest"].getMaxDepth()) == (200, 12)
-    assert (trees["ExtraTreesApprox"].getNumTrees(), trees["ExtraTreesApprox"].getMaxDepth()) == (300, 12)
-    assert (trees["GradientBoosting"].getMaxIter(), trees["GradientBoosting"].getStepSize()) == (600, 0.05)
-    assert (trees["HistGradientBoosting"].getMaxIter(), trees["HistGradientBoosting"].getMaxDepth()) == (600, 12)
+    assert (trees["RandomForest"].getTrees(), trees["RandomForest"].getMaxDepth()) == (200, 12)
+    assert (trees["ExtraTrees"].getTrees(), trees["ExtraTrees"].getMaxDepth()) == (300, 12)
+    assert (trees["GradientBoosting"].getTrees(), trees["GradientBoosting"].getRate(), trees["GradientBoosting"].getMaxDepth()) == (600, 0.05, 3)
+    assert (trees["HistGradientBoosting"].getTrees(), trees["HistGradientBoosting"].getMaxDepth()) == (600, 12)
     assert trees["DecisionTree"].getMaxDepth() == 10
     assert all(m.getSeed() == 42 for name, m in trees.items() if name != "LinearRegression")
 
@@ -104,8 +104,8 @@ def test_early_stopping_uses_the_end_of_training(split):
     last = train.agg(F.max("date")).first()[0]
     stop = marked.where("stop_row").agg(F.min("date"), F.max("date")).first()
     assert (last - stop[0]).days == 29 and stop[1] == last
-    predictions, model = regressors.fit_with_early_stop(split, regressors.early_stopping_boosting(60, 0.05), "early", days=30)
-    assert model.stages[-1].getNumTrees < 60 and score(predictions).first().r2 > 0.3
+    predictions, model = regressors.fit_with_early_stop(split, regressors.early_stopping_boosting(60, 3), "early", days=30)
+    assert model.stages[-1].trees <= 60 and score(predictions).first().r2 > 0.3
 
 
 def test_per_series_ridge_against_brute_force(spark, panel):
