@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfcast.session import delete_path, scratch_path
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write df to a new path of the shared folder; the table read back, and its path."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

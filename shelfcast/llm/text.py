@@ -23,6 +23,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += ord("a") - ord("A")
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a worker process keeps between tasks for one operator. That of the operator before is dropped, as workers are used again."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -7,42 +7,38 @@ holds the code lengths. Both are written and read by Spark, so they can lie in a
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.huffman import BLOCK, Codebook, code_lengths
+from shelfcast.llm.piece_ids import LibraryPieces, Memory, closed
 from shelfcast.llm.pretokens import pretokens
 from shelfcast.llm.tables import discard, stored
-from shelfcast.llm.text import dictionary, partitions, rows_of, spread
+from shelfcast.llm.text import dictionary, held, partitions, rows_of, spread
 
 #: Ids of a segment; a longer document is a segment of its own.
 SEGMENT = 1 << 20
-#: Distinct pieces a worker process remembers before it starts anew, and bytes of a piece worth remembering.
-REMEMBERED = 300_000
-REMEMBERED_BYTES = 64
 # First bytes and header of a segment: documents, ids, ids of a block, checkpoints, whether each doc_id is null.
 MAGIC = b"SHID"
 HEADER = struct.Struct("<4sQQIQ")
 
 
 class LibraryCoder:
-    """The tokenizers library, called once for each distinct piece of the texts.
+    """The tokenizers library, asked for each distinct piece of the texts.
 
     The library merges inside pieces only and takes each piece by itself, so the ids of a text are those
     of its pieces in a row.
     """
 
     def __init__(self, definition: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -50,37 +46,23 @@ class LibraryCoder:
         self.tokenizer.no_padding()
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = next((token.content.encode() for token in added), b"")
-        self.known: dict[bytes, list[int]] = {}
+        self.memory = Memory(LibraryPieces(self.tokenizer, closed))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids before each text."""
         items, before = pretokens(data, offsets, self.special)
         distinct, places = dictionary(items)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [x for x in distinct if x not in self.known]
-        made = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False)
-        fresh = {x: found.ids for x, found in zip(new, made)}
-        lists = [self.known[x] if x in self.known else fresh[x] for x in distinct]
-        self.known.update((x, ids) for x, ids in fresh.items() if len(x) <= REMEMBERED_BYTES)
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        pool = np.fromiter((i for ids in lists for i in ids), np.uint32, int(counts.sum()))
+        pool, counts = self.memory(distinct)
         lengths = counts[places]
         return pool[spread((np.cumsum(counts) - counts)[places], lengths)], np.concatenate([[0], np.cumsum(lengths)])[before]
 
 
-@cache
-def library_coder(definition: str) -> LibraryCoder:
-    """Built once in each worker process."""
-    return LibraryCoder(definition)
-
-
 def encoded(docs: DataFrame, vocabulary_path: str, end_id: int = 0) -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of every text and the end id, little-endian, in two bytes each if all fit, else four."""
     sent = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text(encoding="utf-8"))
 
     def work(batches) -> Iterator[pa.RecordBatch]:
-        coder = library_coder(sent.value)
+        coder = held(("token files", sent.value), lambda: LibraryCoder(sent.value))
         for rows, data, offsets in rows_of(batches, ["doc_id", "text"]):
             ids, bounds = coder.encode(data, offsets)
             closed = np.insert(ids, bounds[1:], end_id).astype(_kind(coder.tokenizer.get_vocab_size()))
@@ -106,11 +88,11 @@ def id_counts(ids: DataFrame) -> DataFrame:
     def work(batches) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for n, run in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.bincount(_ids(run.as_py(), n))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
+            # All runs of a vocabulary have ids of one width.
+            found = np.bincount(_ids(b"".join(batch.column(1).to_pylist()), pc.sum(batch.column(0)).as_py() or 0))
+            if len(found) > len(total):
+                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
+            total[: len(found)] += found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -125,7 +107,7 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, path: str, end_id:
     vocabulary has, reach the driver; the vocabulary file is sent to the executors.
     """
     spark = docs.sparkSession
-    ids, path_of_ids = stored(encoded(docs, vocabulary_path, end_id), "token-ids")
+    ids, path_of_ids = stored(encoded(docs, vocabulary_path, end_id), "token-ids", compression="zstd")
     counts = id_counts(ids).collect()
     total = np.zeros(max([x.id for x in counts], default=0) + 1, np.int64)
     for x in counts:
