@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import cache
+from itertools import chain
 from pathlib import Path
 
 import ahocorasick
@@ -22,20 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfcast.llm.pretokens import pretokens
-from shelfcast.llm.text import dictionary, rows_of, spread
+from shelfcast.llm.piece_ids import Memory
+from shelfcast.llm.pretokens import byte_signs, pretokens
+from shelfcast.llm.text import dictionary, held, rows_of, spread
 
-#: Distinct pieces a worker process remembers before it starts anew, and bytes of a piece worth remembering.
-REMEMBERED = 300_000
-REMEMBERED_BYTES = 64
-
-
-@cache
-def byte_signs() -> dict[str, int]:
-    """The sign that stands for each byte in the vocabulary file: printable bytes for themselves, the others from 256 on."""
-    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: Pairs of tokens whose compatibility a worker process remembers before it starts anew.
+PAIRS = 1 << 18
+#: Bytes of text encoded at a time: cutting them takes some dozen times their memory.
+PIECE = 1 << 20
 
 
 class Vocabulary:
@@ -72,9 +66,9 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.offsets = np.concatenate([[0], np.cumsum(self.size)])
         self.block = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.known: dict[bytes, list[int]] = {}
+        self.memory = None
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens at one side of a token as its merges build it up, each with the rank of the merge that ends it."""
@@ -90,8 +84,11 @@ class Vocabulary:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether no merge crosses the bound when b follows a."""
-        if (known := self.compatible.get((a, b))) is not None:
+        pair = a << 32 | b
+        if (known := self.compatible.get(pair)) is not None:
             return known
+        if len(self.compatible) >= PAIRS:
+            self.compatible.clear()
         left, right = self.edge(a, 1), self.edge(b, 0)
         i = j = 0
         answer = True
@@ -108,7 +105,7 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        self.compatible[a, b] = answer
+        self.compatible[pair] = answer
         return answer
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -147,25 +144,16 @@ class Vocabulary:
 
     def encode_distinct(self, items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all items end to end, and the number of ids of each."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        lists = []
-        for item in items:
-            if (ids := known.get(item)) is None:
-                ids = [self.special[item]] if item in self.special else self.encode_piece(item)
-                if len(item) <= REMEMBERED_BYTES:
-                    known[item] = ids
-            lists.append(ids)
+        lists = [[self.special[item]] if item in self.special else self.encode_piece(item) for item in items]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((i for ids in lists for i in ids), np.uint32, int(counts.sum())), counts
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids before each text."""
         special = next(iter(self.special), b"")
         items, before = pretokens(data, offsets, special)
         distinct, places = dictionary(items)
-        pool, counts = self.encode_distinct(distinct)
+        pool, counts = (self.memory or self.encode_distinct)(distinct)
         starts = np.cumsum(counts) - counts
         lengths = counts[places]
         ids = pool[spread(starts[places], lengths)]
@@ -179,10 +167,15 @@ class Vocabulary:
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
-@cache
 def vocabulary(definition: str) -> Vocabulary:
-    """Built once in each worker process."""
-    return Vocabulary(definition)
+    """Built once in each worker process, with a memory of the pieces met lately."""
+
+    def make() -> Vocabulary:
+        out = Vocabulary(definition)
+        out.memory = Memory(out.encode_distinct)
+        return out
+
+    return held(("bpe", definition), make)
 
 
 def round_trips(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -207,7 +200,7 @@ def _coder(docs: DataFrame, vocabulary_path: str, digests: bool):
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         coder = vocabulary(sent.value)
-        for rows, data, offsets in rows_of(batches, ["doc_id", "text"]):
+        for rows, data, offsets in rows_of(batches, ["doc_id", "text"], PIECE):
             ids, bounds = coder.encode(data, offsets)
             decoded = coder.decode(ids, bounds)
             packed = ids.astype("<u4").tobytes()

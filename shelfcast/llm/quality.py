@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfcast.llm.tables import stored
-from shelfcast.llm.text import dictionary, mixed, rows_of, unused, words
+from shelfcast.llm.text import dictionary, held, mixed, rows_of, unused, words
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 4000
@@ -146,16 +146,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(vectors.reshape(BUCKETS, WIDTH), layer.reshape(WIDTH, 2), bias)
 
 
-_known: dict[str, dict[bytes, tuple[float, int]]] = {}
-
-
-def remembered(version: str) -> dict[bytes, tuple[float, int]]:
-    """The worker process's memory of words under a model; that of another model is dropped."""
-    if version not in _known:
-        _known.clear()
-    return _known.setdefault(version, {})
-
-
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with one more column: how likely label 1 is, from the whole text.
 
@@ -170,7 +160,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         scores, offset = sent.value
-        known = remembered(version)
+        known: dict[bytes, tuple[float, int]] = held(("quality", version), dict)
         for rows, data, offsets in rows_of(batches, kept):
             items, before = words(data, offsets)
             distinct, places = dictionary(items)
