@@ -13,10 +13,8 @@ the whole corpus is counted from the chunks' distinct pairs, and the counts are
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 from itertools import chain
 from pathlib import Path
 
@@ -25,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.bpe import byte_signs
-from shelfcast.llm.pretokens import valid
+from shelfcast.llm.piece_ids import LibraryPieces, closed
+from shelfcast.llm.pretokens import byte_signs, valid
 from shelfcast.llm.tables import stored
-from shelfcast.llm.text import binary_array, dictionary, packed, pieces, rows_of, spread, unpacked
+from shelfcast.llm.text import binary_array, dictionary, held, packed, pieces, rows_of, spread, unpacked
 
 #: Bytes of text whose distinct segments and pairs are counted together; a longer text is a chunk of its own.
 CHUNK = 16 << 20
-#: Segments given to the tokenizers at a time, whose results are large objects, and segments aligned at a time.
+#: Segments given to the piece model at a time, whose results are large objects, and segments aligned at a time.
 BATCH = 1 << 12
 BLOCK = 1 << 15
 #: Segments of texts written out at a time.
@@ -46,7 +44,6 @@ class Vocabularies:
     """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, definition: str, model: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -54,6 +51,7 @@ class Vocabularies:
         self.byte_level.no_truncation()
         self.byte_level.no_padding()
         self.byte_level.encode_special_tokens = True
+        self.byte_pieces = LibraryPieces(self.byte_level, closed)
         self.pieces = SentencePieceProcessor(model_proto=model)
         signs = byte_signs()
         a = [b""] * self.byte_level.get_vocab_size()
@@ -71,18 +69,14 @@ class Vocabularies:
 
     def encode(self, segments: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """By each tokenizer the ids of all segments, and how many of each; a segment begins with a space, which the second adds by itself."""
-        found = ([], []), ([], [])
+        found = [], []
         for i in range(0, len(segments), BATCH):
-            part = segments[i : i + BATCH]
-            texts = [s.decode() for s in part]
-            a = [x.ids for x in self.byte_level.encode_batch_fast(texts, add_special_tokens=False)]
-            b = self.pieces.encode([t[1:] for t in texts], num_threads=1)
-            b = [x if t != " " else [self.lone_space] for x, t in zip(b, texts)]
-            for (ids, counts), lists in zip(found, (a, b)):
-                counts.append(np.fromiter(map(len, lists), np.int32, len(lists)))
-                ids.append(np.fromiter(chain.from_iterable(lists), np.int32, int(counts[-1].sum())))
-        none = [np.zeros(0, np.int32)]
-        return [(np.concatenate(ids + none), np.concatenate(counts + none)) for ids, counts in found]
+            texts = [s[1:].decode() for s in segments[i : i + BATCH]]
+            lists = [x if t else [self.lone_space] for x, t in zip(self.pieces.encode(texts, num_threads=1), texts)]
+            found[1].append(np.fromiter(map(len, lists), np.int32, len(lists)))
+            found[0].append(np.fromiter(chain.from_iterable(lists), np.int32, int(found[1][-1].sum())))
+        b = tuple(np.concatenate([*x, np.zeros(0, np.int32)]) for x in found)
+        return [self.byte_pieces(segments), b]
 
 
 class TokenBytes:
@@ -97,10 +91,9 @@ class TokenBytes:
         return self.block[spread(self.starts[ids], self.sizes[ids])]
 
 
-@cache
 def vocabularies(definition: str, model: bytes) -> Vocabularies:
     """Built once in each worker process."""
-    return Vocabularies(definition, model)
+    return held(("cross tokens", definition, model), lambda: Vocabularies(definition, model))
 
 
 @dataclass
