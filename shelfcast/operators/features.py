@@ -43,17 +43,17 @@ def with_lags(df: DataFrame, lags: Sequence[int] = LAGS, value: str = "sales") -
     return df.withColumns({f"lag_{n}": F.expr(f"lag({value}, {n}) OVER ({BY_DATE})") for n in lags})
 
 
-# Squares are split into multiples of this and remainders.
-SQUARE_PART = 1 << 31
+# Values are split into multiples of this and remainders, whose products are summed apart.
+LIMB = 1 << 24
 
 
 def with_rolls(df: DataFrame, widths: Sequence[int] = ROLL_WIDTHS, value: str = "sales") -> DataFrame:
     """``roll_mean_W`` and ``roll_std_W`` over the W rows before the current one.
 
     Whole-number values take differences of running sums: they are exact, and the cost
-    per row does not grow with W. Squares are summed in two parts so that the sums
-    cannot overflow while a series varies by less than 3 billion units; beyond that,
-    cast the value to double. Fractional values use plain frames, as running sums would lose digits.
+    per row does not grow with W. Squares are summed in three parts, so that the sums
+    cannot overflow while a series has up to 8,000 rows and varies by less than 10**15 units, and joined as exact decimals.
+    Fractional values use plain frames, as running sums would lose digits.
     """
     if isinstance(df.schema[value].dataType, T.IntegralType):
         return _rolls_from_running_sums(df, widths, value)
@@ -68,12 +68,14 @@ def _rolls_from_running_sums(df: DataFrame, widths: Sequence[int], value: str) -
     first = f"first_value({value}) IGNORE NULLS OVER ({BY_DATE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     df = df.withColumn("_first", F.expr(f"CAST({first} AS BIGINT)"))
     x = f"({value} - _first)"
+    high, low = f"({x} div {LIMB})", f"({x} % {LIMB})"
     before = f"OVER ({BY_DATE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     running = {
         "_n": f"count({x})",
         "_s": f"sum({x})",
-        "_high": f"sum({x} * {x} div {SQUARE_PART})",
-        "_low": f"sum({x} * {x} % {SQUARE_PART})",
+        "_hh": f"sum({high} * {high})",
+        "_hl": f"sum({high} * {low})",
+        "_ll": f"sum({low} * {low})",
     }
     sums = df.withColumns({name: F.expr(f"coalesce({total} {before}, 0)") for name, total in running.items()})
     frames = sums.withColumns(
@@ -84,11 +86,15 @@ def _rolls_from_running_sums(df: DataFrame, widths: Sequence[int], value: str) -
         }
     )
     means = {f"roll_mean_{w}": F.expr(f"try_divide(_s{w} + _n{w} * _first, _n{w})") for w in widths}
-    squares = {f"_q{w}": F.expr(f"CAST(_high{w} AS DOUBLE) * {SQUARE_PART} + _low{w}") for w in widths}
+    # n times the sum of squares less the squared sum, exact before it is divided.
+    whole = lambda name: f"CAST({name} AS DECIMAL(19, 0))"
+    squares = {
+        f"_q{w}": F.expr(f"CAST({whole(f'_hh{w}')} * {LIMB * LIMB} + {whole(f'_hl{w}')} * {2 * LIMB} + {whole(f'_ll{w}')} AS DECIMAL(38, 0))") for w in widths
+    }
     variances = {
-        f"_v{w}": F.expr(f"try_divide(_n{w} * _q{w} - CAST(_s{w} AS DOUBLE) * _s{w}, _n{w} * (_n{w} - 1))") for w in widths
+        f"_v{w}": F.expr(f"try_divide(CAST(_n{w} * _q{w} - {whole(f'_s{w}')} * {whole(f'_s{w}')} AS DOUBLE), CAST(_n{w} * (_n{w} - 1) AS DOUBLE))") for w in widths
     }
-    spreads = {f"roll_std_{w}": F.expr(f"sqrt(if(_v{w} < 0, 0.0D, _v{w}))") for w in widths}
+    spreads = {f"roll_std_{w}": F.expr(f"sqrt(_v{w})") for w in widths}
     temporary = ["_first", *running, *(f"{name}{w}" for name in (*running, "_q", "_v") for w in widths)]
     return frames.withColumns(squares).withColumns(variances).withColumns(means | spreads).drop(*temporary)
 

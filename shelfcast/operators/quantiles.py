@@ -6,6 +6,7 @@ third of all rows costs one row after the map-side combine.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,49 +28,43 @@ def percentiles(counts: DataFrame, points: Sequence[float]) -> DataFrame:
     """``(p, value)``: exact percentiles (0-100) with linear interpolation.
 
     Values are cut into ranges at approximate quantiles, so each range holds a similar
-    number of distinct values whatever their spread. Their number follows the distinct values.
-    Ranks run inside a range and are shifted by the rows in the ranges below it, so no task sees all the values.
+    number of distinct values whatever their spread. Their number follows the distinct values. The rows of each range say
+    in which ones the asked ranks lie; only these are sorted, at most two for each point, each in a task of its own.
     """
     ranges = max(RANGES, counts.count() // VALUES_PER_RANGE)
     inner = [i / ranges for i in range(1, ranges)]
-    cuts = counts.agg(F.percentile_approx("value", inner, 10_000).alias("cuts")).scalar()
-    ranged = counts.withColumn("_cuts", cuts).select(
-        "value", "n", F.size(F.filter("_cuts", lambda c: c < F.col("value"))).alias("part")
-    )
-    part_sizes = ranged.groupBy("part").agg(F.sum("n").alias("size"))
+    # As many values as there are ranges, found once, so that both passes cut alike.
+    cuts = counts.agg(F.percentile_approx("value", inner, 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("value"))) if cuts else F.lit(0)
+    ranged = counts.select("value", "n", part.alias("part"))
     # One entry for each range.
-    sizes = part_sizes.agg(F.collect_list(F.struct("part", "size")).alias("sizes")).scalar()
-
-    def rows_in(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, s: acc + s["size"])
-
-    running = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
-    ranked = (
-        ranged.withColumn("_in_part", running)
-        .withColumn("_sizes", sizes)
-        .select(
-            "value",
-            (F.col("_in_part") + rows_in(F.filter("_sizes", lambda s: s["part"] < F.col("part")))).alias("upto"),
-            "n",
-            rows_in(F.col("_sizes")).alias("total"),
-        )
-    )
-    asked = F.explode(F.array(*(F.lit(float(p)) for p in points)))
-    spot = F.col("p") / 100 * (F.col("total") - 1)
-    below, above = F.floor(spot), F.ceil(spot)
-    covers = lambda rank: (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
-    return (
-        ranked.withColumn("p", asked)
-        .withColumns({"spot": spot, "below": below, "above": above})
-        .where(covers(F.col("below")) | covers(F.col("above")))
-        .groupBy("p")
-        .agg(
-            F.max(F.when(covers(F.col("below")), F.col("value"))).cast("double").alias("low"),
-            F.max(F.when(covers(F.col("above")), F.col("value"))).cast("double").alias("high"),
-            F.max(F.col("spot") - F.col("below")).alias("share"),
-        )
-        .select("p", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("value"))
+    sizes = {r.part: r.size for r in ranged.groupBy("part").agg(F.sum("n").alias("size")).collect()}
+    asked = _asked_ranks(sizes, points)
+    wanted = ranged.where(F.col("part").isin(sorted({part for *_, part in asked})))
+    ranked = wanted.withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("value")))
+    spots = counts.sparkSession.createDataFrame(asked, "p double, share double, above boolean, rank bigint, part int")
+    covers = (F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto"))
+    # Two rows for each point.
+    found = ranked.join(F.broadcast(spots), "part").where(covers).groupBy("p", "share").agg(
+        F.max(F.when(~F.col("above"), F.col("value"))).cast("double").alias("low"),
+        F.max(F.when(F.col("above"), F.col("value"))).cast("double").alias("high"),
     )
+    return found.select("p", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("value"))
+
+
+def _asked_ranks(sizes: dict[int, int], points: Sequence[float]) -> list[tuple]:
+    """For each point how far it lies between two neighbouring ranks, and each of both as a rank in a range and the range."""
+    total, before, passed = sum(sizes.values()), {}, 0
+    for part in sorted(sizes):
+        before[part] = passed
+        passed += sizes[part]
+    out = []
+    for p in dict.fromkeys(map(float, points)) if total else ():
+        spot = p / 100 * (total - 1)
+        for above, rank in ((False, math.floor(spot)), (True, math.ceil(spot))):
+            part = max(k for k in before if before[k] <= rank)
+            out.append((p, spot - math.floor(spot), above, rank - before[part], part))
+    return out
 
 
 def histogram(counts: DataFrame, bins: int, value: Column | None = None) -> DataFrame:

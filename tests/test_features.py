@@ -140,3 +140,14 @@ def test_series_that_keep_a_row(make_panel, gap):
     kept = {tuple(r) for r in _kept_series(make_panel(sales)).collect()}
     by_lags = {(r.store, r.item) for r in complete_rows(with_lags(make_panel(sales))).select("store", "item").distinct().collect()}
     assert kept == by_lags
+
+
+def test_rolling_sums_of_values_around_a_trillion(make_panel):
+    """Values of 10**12 that differ by a few units, after a jump from zero: no overflow, and no digits lost."""
+    values = [0] * 5 + [10**12 + v for v in (3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9)] + [-(10**12), 10**14, 7]
+    rows = with_rolls(make_panel({(1, 1): values}), (3, 7)).orderBy("date").collect()
+    for t in range(2, len(values)):
+        for width in (3, 7):
+            window = values[max(0, t - width) : t]
+            assert rows[t][f"roll_mean_{width}"] == pytest.approx(statistics.mean(window), rel=1e-12)
+            assert rows[t][f"roll_std_{width}"] == pytest.approx(statistics.stdev(window), rel=1e-12)

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from shelfcast.operators import autocorr
+from shelfcast.operators import autocorr, quantiles
 from shelfcast.operators.features import complete_rows, feature_frame, lookback_sequences
 from shelfcast.operators.splits import with_time_split
 from shelfcast.plans import horizon_study, training_run
@@ -101,3 +101,16 @@ def test_a_hot_part_is_split_by_adaptive_execution(spark):
     finally:
         for key, value in old.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_percentiles_sort_only_the_ranges_that_hold_them(spark):
+    """Of 64 ranges of a column with many values, the rows of at most four are ranked for two points."""
+    values = spark.range(200_000).select((F.col("id") * 7919 % 200_003 / 8).alias("x"))
+    counts = quantiles.value_counts(values, "x")
+    found = quantiles.percentiles(counts, [10, 90.5])
+    plan = plan_of(found)
+    before_window = plan[plan.index("Window [") :]
+    ranges = re.search(r"\bIN \(([\d,]+)\)", before_window).group(1).split(",")
+    assert 1 <= len(ranges) <= 4 and "Cartesian" not in plan and "NestedLoop" not in plan
+    exact = values.agg(F.percentile("x", [0.1, 0.905]).alias("v")).first().v
+    assert [r.value for r in found.orderBy("p").collect()] == pytest.approx(exact)
