@@ -181,21 +181,23 @@ def recursive_forecast(
 
     The prediction is ``base`` (intercept plus the terms that stay fixed) plus the dot
     product of ``weights`` with the latest values. Everything is a fold inside the
-    JVM; the state is the path so far, started with ``seq``.
+    JVM; its state is the latest values, as many as ``seq`` has, beside the path so far.
     """
     if not isinstance(weights, Column):
         weights = F.array(*(F.lit(float(w)) for w in weights))
     base = base if isinstance(base, Column) else F.lit(float(base))
-    width = F.size("seq")
 
-    def extend(path: Column, step: Column) -> Column:
-        terms = F.zip_with(F.slice(path, step, F.col("width")), F.col("weights"), lambda v, w: v * w)
-        return F.concat(path, F.array(F.aggregate(terms, F.col("base"), lambda acc, term: acc + term)))
+    def extend(state: Column, _: Column) -> Column:
+        terms = F.zip_with(state["ring"], F.col("weights"), lambda v, w: v * w)
+        found = F.array(F.aggregate(terms, F.col("base"), lambda acc, term: acc + term))
+        ring = F.concat(F.slice(state["ring"], F.lit(2), F.size("seq") - 1), found)
+        return F.struct(ring.alias("ring"), F.concat(state["path"], found).alias("path"))
 
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("seq"), extend)
+    start = F.struct(F.col("seq").alias("ring"), F.array().cast("array<double>").alias("path"))
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, extend, lambda state: state["path"])
     return (
-        sequences.withColumns({"weights": weights, "base": base, "width": width})
-        .withColumn("path", F.slice(path, F.col("width") + 1, F.lit(steps)))
+        sequences.withColumns({"weights": weights, "base": base})
+        .withColumn("path", path)
         .select(*SERIES, "last_date", F.posexplode("path").alias("step", "yhat"))
         .select(
             F.lit(model).alias("model"),
@@ -251,3 +253,142 @@ def hold_last(history: DataFrame) -> DataFrame:
 def extend_trend(history: DataFrame) -> DataFrame:
     """Forecaster for :func:`backtest`: the linear trend, continued."""
     return trend_forecast(fit_line(history, HISTORY), F.col("days"), HISTORY)
+
+
+def hold_and_extend(history: DataFrame) -> DataFrame:
+    """Forecaster for :func:`backtest`: the last value and the linear trend, from one aggregation of the history."""
+    fits = history.groupBy(*HISTORY).agg(
+        F.max_by(F.col("sales").cast("double"), "date").alias("held"),
+        F.regr_slope("sales", "t").alias("slope"),
+        F.regr_intercept("sales", "t").alias("intercept"),
+        F.count("*").alias("n_rows"),
+        F.max("date").alias("last_date"),
+    )
+    line = F.col("intercept") + F.col("slope") * (F.col("n_rows") - 1 + F.col("step"))
+    both = F.array(
+        F.struct(F.lit("persistence").alias("model"), F.col("held").alias("yhat")),
+        F.struct(F.lit("linear_trend").alias("model"), line.alias("yhat")),
+    )
+    return future_days(fits, F.col("days")).select(*HISTORY, "date", "step", F.inline(both)).select("model", *HISTORY, "date", "step", "yhat")
+
+
+# Largest step of the descent in each smoothing weight, how often steps are halved, and the weights' limits.
+DESCENT_STEP, DESCENT_HALVINGS, WEIGHT_LIMITS = 0.2, 7, (0.001, 0.999)
+# Series whose recursions run side by side in a task.
+SERIES_SIDE_BY_SIDE = 32
+
+
+def optimised_smoothing(
+    panel: DataFrame,
+    steps: int = LONGEST,
+    season: int = SEASON,
+    grid: Sequence[tuple[float, float, float]] = SMOOTHING_GRID,
+    halvings: int = DESCENT_HALVINGS,
+) -> DataFrame:
+    """:func:`seasonal_smoothing` with weights found by descent from the best grid point, so never with a larger error.
+
+    A step tries each weight more and less by the step size, alone and together, moves to the best try
+    while one is better, and then halves the size. Returns ``alpha, beta, gamma`` and ``sse`` beside the columns of the path. The recursion over
+    time runs for all tries of a bounded number of series at once.
+    """
+    schema = "store {}, item {}, date date, step int, kind string, yhat double, alpha double, beta double, gamma double, sse double".format(
+        *(panel.schema[c].dataType.simpleString() for c in SERIES)
+    )
+    points = [tuple(map(float, point)) for point in grid]
+
+    def smooth(rows):
+        import numpy as np
+        import pandas as pd
+
+        series = [(key, own.sort_values("date")) for key, own in rows.groupby(["store", "item"], sort=True)]
+        series = [(key, own["date"].to_numpy(), own["sales"].to_numpy(dtype=float)) for key, own in series if len(own) >= 2 * season]
+        columns = ["store", "item", "date", "step", "kind", "yhat", "alpha", "beta", "gamma", "sse"]
+        if not series:
+            return pd.DataFrame(columns=columns, dtype=object)
+        values = [x for _, _, x in series]
+        tried = smoothing_errors(values, np.repeat(np.array(points)[None], len(values), axis=0), season)
+        best = tried.argmin(axis=1)
+        weights, errors = np.array(points)[best], tried[np.arange(len(values)), best]
+        moves = np.array([m for m in itertools.product((-1.0, 0.0, 1.0), repeat=3) if any(m)])
+        for size in (DESCENT_STEP / 2**k for k in range(halvings)):
+            moving = np.arange(len(values))
+            while len(moving):
+                tries = np.clip(weights[moving, None] + size * moves[None], *WEIGHT_LIMITS)
+                tried = smoothing_errors([values[i] for i in moving], tries, season)
+                at = tried.argmin(axis=1)
+                found = tried[np.arange(len(moving)), at]
+                better = found < errors[moving]
+                weights[moving[better]], errors[moving[better]] = tries[better, at[better]], found[better]
+                moving = moving[better]
+        parts = []
+        for (key, dates, x), chosen, sse in zip(series, weights, errors):
+            fitted, ahead = smoothing_path(x, chosen, season, steps)
+            later = pd.Timestamp(dates[-1]) + pd.to_timedelta(np.arange(1, steps + 1), unit="D")
+            part = {"store": key[0], "item": key[1], "date": [*dates, *later.date], "step": np.concatenate([np.zeros(len(x), int), np.arange(1, steps + 1)])}
+            part |= {"kind": ["fitted"] * len(x) + ["forecast"] * steps, "yhat": np.concatenate([fitted, ahead])}
+            parts.append(pd.DataFrame(part | dict(zip(("alpha", "beta", "gamma"), chosen)) | {"sse": sse})[columns])
+        return pd.concat(parts, ignore_index=True)
+
+    # Groups of a bounded number of series, whatever their keys.
+    sized = panel.groupBy(*SERIES).agg(F.count("*").alias("n")).agg(F.ceil(F.count("*") / SERIES_SIDE_BY_SIDE).alias("groups")).scalar()
+    dealt = panel.select(*SERIES_DAY, "sales").withColumn("deal", F.pmod(F.xxhash64(*SERIES), F.greatest(sized, F.lit(1))))
+    return (
+        dealt.groupBy("deal")
+        .applyInPandas(lambda rows: smooth(rows.drop(columns="deal")), schema)
+        .withColumn("model", F.lit("optimised_smoothing"))
+        .select("model", *SERIES_DAY, "step", "kind", "yhat", "alpha", "beta", "gamma", "sse")
+    )
+
+
+def smoothing_errors(series: Sequence, weights, season: int):
+    """Sums of squared one-step errors, series by try. ``weights``: series x tries x 3."""
+    import numpy as np
+
+    lengths = np.array([len(x) for x in series])
+    order = np.argsort(-lengths, kind="stable")
+    lengths, weights = lengths[order], weights[order]
+    values = np.zeros((len(series), lengths[0]))
+    for row, i in enumerate(order):
+        values[row, : len(series[i])] = series[i]
+    alpha, beta, gamma = weights[:, :, 0], weights[:, :, 1], weights[:, :, 2]
+    first, second = values[:, :season], values[:, season : 2 * season]
+    shape = alpha.shape
+    level = np.repeat(first.mean(axis=1)[:, None], shape[1], axis=1)
+    trend = np.repeat(((second - first).mean(axis=1) / season)[:, None], shape[1], axis=1)
+    seasons = np.repeat((first - first.mean(axis=1)[:, None]).T[:, :, None], shape[1], axis=2)
+    errors = np.zeros(shape)
+    # Longest first, so the series that still run are the first ones.
+    running = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    for t in range(lengths[0]):
+        n, slot = running[t], t % season
+        actual = values[:n, t, None]
+        base = level[:n] + trend[:n]
+        old = seasons[slot, :n]
+        errors[:n] += (actual - base - old) ** 2
+        new = alpha[:n] * (actual - old) + (1 - alpha[:n]) * base
+        trend[:n] = beta[:n] * (new - level[:n]) + (1 - beta[:n]) * trend[:n]
+        seasons[slot, :n] = gamma[:n] * (actual - base) + (1 - gamma[:n]) * old
+        level[:n] = new
+    out = np.empty(shape)
+    out[order] = errors
+    return out
+
+
+def smoothing_path(x, weights, season: int, steps: int):
+    """Fitted values and forecasts under one set of weights."""
+    import numpy as np
+
+    alpha, beta, gamma = map(float, weights)
+    level = float(np.mean(x[:season]))
+    trend = float(np.mean(x[season : 2 * season]) - level) / season
+    seasons = [float(v) - level for v in x[:season]]
+    fitted = []
+    for t, actual in enumerate(x.tolist()):
+        slot, base = t % season, level + trend
+        fitted.append(base + seasons[slot])
+        new = alpha * (actual - seasons[slot]) + (1 - alpha) * base
+        seasons[slot] = gamma * (actual - base) + (1 - gamma) * seasons[slot]
+        trend = beta * (new - level) + (1 - beta) * trend
+        level = new
+    ahead = [level + trend * k + seasons[(len(x) + k - 1) % season] for k in range(1, steps + 1)]
+    return np.array(fitted), np.array(ahead)

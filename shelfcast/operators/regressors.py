@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler, VectorSizeHint
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 
 from shelfcast import SERIES, SERIES_DAY
 from shelfcast.operators.features import BY_DATE, FEATURES, LOOKBACK
+from shelfcast.operators.forecast import LONGEST, latest_sequence, recursive_forecast
 from shelfcast.operators.scaling import fit_standard, scale_standard, unscale_standard
 from shelfcast.operators.scoring import combine
-from shelfcast.operators.trees import BOOSTING, FOREST, RANDOM, TreeEnsembleRegressor
+from shelfcast.operators.trees import BOOSTING, FOREST, RANDOM, TreeEnsembleModel, TreeEnsembleRegressor
 from shelfcast.session import materialize, shared_dir
 from shelfcast.sources.results import estimator_fingerprint, feature_digest, load_model, save_model
 
@@ -273,3 +275,48 @@ def fit_sequence_model(
     )
     predictions = predict_sequences(model, parameters, samples.where(F.col("split") == "val"), name, features)
     return predictions, model, samples.sparkSession.createDataFrame([parameters], scaler.schema)
+
+
+def recursive_sequence_forecast(
+    frame: DataFrame,
+    model: PipelineModel,
+    parameters: Row,
+    name: str,
+    features: Sequence[str] = FEATURES,
+    lookback: int = LOOKBACK,
+    steps: int = LONGEST,
+) -> DataFrame:
+    """Feed a fitted sequence model its own predictions, ``steps`` days beyond each series' last row.
+
+    ``frame``: complete rows; the features of the last one stay fixed, as scaled for the fit, while the sequence moves on. A line is rolled
+    forward inside the JVM: its base is the intercept and the fixed terms, brought back to units sold. Other models predict a
+    step for many series at a time. Series with fewer than ``lookback`` rows have no forecast.
+    """
+    last = frame.groupBy(*SERIES).agg(*(F.max_by(F.col(c).cast("double"), "date").alias(c) for c in features))
+    latest = latest_sequence(frame, lookback).join(last, list(SERIES))
+    fitted = model.stages[-1]
+    if not isinstance(fitted, TreeEnsembleModel):
+        weights, spread, centre = list(fitted.coefficients), parameters["y_std"], parameters["y_mean"]
+        fixed = F.lit(float(fitted.intercept))
+        for column, weight in zip(features, weights[lookback:]):
+            fixed = fixed + F.lit(float(weight)) * (F.col(column) - parameters[f"{column}_mean"]) / parameters[f"{column}_std"]
+        return recursive_forecast(latest, [w * spread for w in weights[:lookback]], fixed * spread + centre, steps, name)
+    scaled = scale_standard(latest, parameters, features).select(*SERIES, "last_date", "seq", F.array(*features).alias("fixed"))
+    sent = frame.sparkSession.sparkContext.broadcast((fitted.ensemble, parameters["y_mean"], parameters["y_std"]))
+
+    def roll(batches):
+        ensemble, centre, spread = sent.value
+        for rows in batches:
+            path = np.empty((len(rows), steps))
+            if len(rows):
+                ring, fixed = (np.array(rows[c].tolist(), float).reshape(len(rows), -1) for c in ("seq", "fixed"))
+                for step in range(steps):
+                    path[:, step] = ensemble.predict(np.hstack([ring, fixed])) * spread + centre
+                    ring = np.hstack([ring[:, 1:], path[:, step, None]])
+            yield rows[[*SERIES, "last_date"]].assign(path=list(path))
+
+    keys = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in SERIES)
+    paths = scaled.mapInPandas(roll, f"{keys}, last_date date, path array<double>").select(*SERIES, "last_date", F.posexplode("path").alias("step", "yhat"))
+    return paths.select(
+        F.lit(name).alias("model"), *SERIES, F.date_add("last_date", F.col("step") + 1).alias("date"), (F.col("step") + 1).alias("step"), "yhat"
+    )

@@ -66,15 +66,15 @@ def largest_pairs(df: DataFrame, n: int = 3) -> DataFrame:
 
 def choose_pair(df: DataFrame, wanted: tuple = (1, 1), keys: Sequence[str] = ("store_code", "item_code")) -> DataFrame:
     """One row naming a series: the wanted pair if present, else (0, 0), else the one with most rows."""
+    return pick_pair(df.groupBy(*dict.fromkeys((*keys, *SERIES))).agg(F.count("*").alias("n_rows")), wanted, keys)
+
+
+def pick_pair(counts: DataFrame, wanted: tuple = (1, 1), keys: Sequence[str] = ("store_code", "item_code")) -> DataFrame:
+    """:func:`choose_pair` from the number of rows, ``n_rows``, of every series."""
     first, second = keys
     is_wanted = (F.col(first) == wanted[0]) & (F.col(second) == wanted[1])
     is_zero = (F.col(first) == 0) & (F.col(second) == 0)
-    return (
-        df.groupBy(*dict.fromkeys((*keys, *SERIES)))
-        .agg(F.count("*").alias("n_rows"))
-        .orderBy(is_wanted.desc(), is_zero.desc(), F.desc("n_rows"), first, second)
-        .limit(1)
-    )
+    return counts.orderBy(is_wanted.desc(), is_zero.desc(), F.desc("n_rows"), first, second).limit(1)
 
 
 def rows_of(df: DataFrame, pair: DataFrame) -> DataFrame:

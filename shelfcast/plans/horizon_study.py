@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfcast import SERIES
 from shelfcast.functions.calendar import US_HOLIDAYS, with_holiday_flag
 from shelfcast.operators.features import HORIZONS, WINDOW_ROWS, direct_windows
-from shelfcast.operators.forecast import backtest, extend_trend, hold_last, trend_fitted
+from shelfcast.operators.forecast import backtest, hold_and_extend, trend_fitted
 from shelfcast.operators.scoring import combine, horizon_matrix, macro_average, results_matrix, score
 from shelfcast.operators.series_models import per_series_ridge
 from shelfcast.operators.splits import VAL_DAYS, cutoff_date, first_series, with_ratio_split
@@ -64,14 +64,15 @@ def backtest_scores(panel: DataFrame, val_days: int = VAL_DAYS) -> DataFrame:
     """Scores of persistence and trend: on validation rows, and at three horizons.
 
     Each horizon holds out its last days, forecasts them from the rest and joins by
-    date, so forecasts are only ever compared with the same days.
+    date, so forecasts are only ever compared with the same days. Both forecasts come from one cut of
+    the histories and meet the actuals in one join.
     """
     one_step = naive_predictions(panel, val_days, {"persistence": "lag_1"})
     split = panel.withColumn("cutoff", cutoff_date(panel, val_days))
     trend = trend_fitted(split, fit_rows=F.col("date") <= F.col("cutoff"))
     trend_val = trend.where(F.col("date") > cutoff_date(panel, val_days)).select(*one_step.columns)
     historical = combine(one_step, trend_val).withColumn("horizon", F.lit("Historical"))
-    ahead = combine(backtest(panel, BACKTEST_HORIZONS, hold_last), backtest(panel, BACKTEST_HORIZONS, extend_trend))
+    ahead = backtest(panel, BACKTEST_HORIZONS, hold_and_extend)
     return score(combine(historical, ahead.select(*historical.columns)), ("model", "horizon"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shelfcast.operators.features import FEATURES, HORIZONS, LAGS, ROLL_WIDTHS
 from shelfcast.operators.forecast import LONGEST, SMOOTHING_GRID
+from shelfcast.operators.series_models import RIDGE_PENALTIES
 from shelfcast.plans.queries import HOLIDAYS, SLICE_ITEM, VAL_DAYS
 from shelfcast.plans.training_run import NAIVE_MODELS
 from shelfcast.sources.results import RESULT_TABLES
@@ -388,6 +389,34 @@ def _smoothing() -> str:
     )
 
 
+def _ridge_on_one_input() -> str:
+    """Weights Sxy / (Sxx + penalty) on min-max scaled sales, and the penalty with the smallest error on the validation windows."""
+    penalties = ", ".join(f"({i}, {p})" for i, p in enumerate(RIDGE_PENALTIES))
+    spans = ", ".join(f"('{name}', {h})" for name, h in HORIZONS.items())
+    steps = f"""anchors AS (SELECT p.store, p.item, p.date, p.sales, p.t, h.horizon, h.h, s.n - h.h AS n,
+            LEAD(p.sales, CAST(h.h AS INTEGER)) OVER (PARTITION BY p.store, p.item, h.horizon ORDER BY p.date) AS y
+            FROM placed p JOIN (SELECT store, item, COUNT(*) AS n FROM placed GROUP BY store, item) s ON s.store = p.store AND s.item = p.item,
+                (SELECT column0 AS horizon, column1 AS h FROM (VALUES {spans}) v(column0, column1)) h
+            WHERE s.n >= 1 + {max(HORIZONS.values())} AND s.n - h.h > 100),
+        parted AS (SELECT *, CASE WHEN t < FLOOR(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN t < FLOOR(n * CAST(0.85 AS DOUBLE)) THEN 'val' ELSE 'test' END AS part FROM anchors WHERE t < n),
+        ranged AS (SELECT *, MIN(sales) FILTER (WHERE part = 'train') OVER w AS low, MAX(sales) FILTER (WHERE part = 'train') OVER w AS high
+            FROM parted WINDOW w AS (PARTITION BY store, item, horizon)),
+        scaled AS (SELECT *, (sales - low) / CAST(CASE WHEN high = low THEN 1 ELSE high - low END AS DOUBLE) AS x FROM ranged),
+        facts AS (SELECT store, item, horizon, AVG(x) AS mx, AVG(y) AS my, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx
+            FROM scaled WHERE part = 'train' GROUP BY store, item, horizon),
+        tried AS (SELECT f.*, k.i, k.penalty, CASE WHEN sxx > 0 THEN sxy / (sxx + penalty) ELSE 0 END AS w
+            FROM facts f, (SELECT column0 AS i, CAST(column1 AS DOUBLE) AS penalty FROM (VALUES {penalties}) v(column0, column1)) k),
+        judged AS (SELECT t.store, t.item, t.horizon, t.i, t.penalty, t.w, t.mx, t.my, SUM(pow(s.y - (t.my + t.w * (s.x - t.mx)), 2)) AS error
+            FROM tried t JOIN scaled s ON s.store = t.store AND s.item = t.item AND s.horizon = t.horizon AND s.part = 'val' GROUP BY ALL),
+        chosen AS (SELECT * FROM judged QUALIFY ROW_NUMBER() OVER (PARTITION BY store, item, horizon ORDER BY error, i) = 1)"""
+    return sql(
+        f""", {steps} SELECT 'chosen_penalty_ridge' AS model, s.store, s.item, s.date AS anchor_date, s.horizon, CAST(s.y AS DOUBLE) AS y,
+            {r('c.my + c.w * (s.x - c.mx)', 'yhat')}, {r('c.penalty', 'penalty')}
+            FROM scaled s JOIN chosen c ON c.store = s.store AND c.item = s.item AND c.horizon = s.horizon WHERE s.part = 'test'""",
+        "placed",
+    )
+
+
 SCALED = ["sales", "lag_1", "lag_7", "roll_mean_7", "roll_std_28"]
 
 
@@ -745,6 +774,19 @@ def all_sql() -> dict[str, str]:
                 WHERE n = 28 AND known = 28 AND sales IS NOT NULL""",
             SPLIT,
         ),
+        "recursive_sequence_line": sql(
+            f"""SELECT 'SequenceLinear' AS model, store, item, last_date + d.step AS date, d.step,
+                ROUND(pow(b1, d.step) * last + (a + b2 * last_dow) * (1 - pow(b1, d.step)) / (1 - b1), 4) + 0.0 AS yhat
+                FROM (SELECT store, item, MAX(date) AS last_date, arg_max(sales, date) AS last, arg_max(dow, date) AS last_dow FROM {SPLIT} GROUP BY store, item),
+                    (SELECT b1, b2, my - b1 * m1 - b2 * m2 AS a FROM (
+                        SELECT (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2, my, m1, m2
+                        FROM (SELECT covar_pop(x, y) AS s1y, covar_pop(dow, y) AS s2y, covar_pop(x, dow) AS s12, var_pop(x) AS s11, var_pop(dow) AS s22,
+                                AVG(y) AS my, AVG(x) AS m1, AVG(dow) AS m2
+                            FROM (SELECT sales AS y, dow, split, LAG(sales) OVER ({SERIES}, split ORDER BY date) AS x FROM {SPLIT})
+                            WHERE split = 'train' AND x IS NOT NULL))), {_DAYS} d""",
+            SPLIT,
+        ),
+        "ridge_penalty_on_one_input": _ridge_on_one_input(),
         "recursive_line_on_one_lag": sql(
             f"""SELECT 'recursive_linear' AS model, store, item, last_date + d.step AS date, d.step,
                 ROUND(POW(b, d.step) * newest + a * (1 - POW(b, d.step)) / (1 - b), 4) + 0.0 AS yhat

@@ -26,7 +26,7 @@ from shelfcast.operators.features import (
     with_position,
     with_rolls,
 )
-from shelfcast.operators.series_models import per_series_ridge
+from shelfcast.operators.series_models import chosen_penalty_ridge, per_series_ridge
 from shelfcast.plans import horizon_study, training_run
 from shelfcast.session import materialize, scratch_path, shared_dir
 from shelfcast.sources import results
@@ -208,10 +208,9 @@ def largest_pairs(p):
     return splits.largest_pairs(p)
 
 
-@query
+@query_on_stored_panel
 def chosen_pair_rows(p):
-    split = splits.with_time_split(training_run.training_frame(p), VAL_DAYS).where("split = 'val'")
-    return splits.rows_of(split, splits.choose_pair(split)).select(*SERIES_DAY, "store_code", "item_code", "sales")
+    return training_run.chosen_pair_frame(p, VAL_DAYS).select(*SERIES_DAY, "store_code", "item_code", "sales")
 
 
 SCALED = ["sales", "lag_1", "lag_7", "roll_mean_7", "roll_std_28"]
@@ -442,8 +441,7 @@ def combined_results(p):
 @query_on_stored_panel
 def chosen_pair_scores(p):
     """Trailing scores of one series: the wanted pair of codes, or its fallback."""
-    split = splits.with_time_split(training_run.training_frame(p), VAL_DAYS).where("split = 'val'")
-    chosen = splits.rows_of(split, splits.choose_pair(split))
+    chosen = training_run.chosen_pair_frame(p, VAL_DAYS)
     return scoring.score_trailing(scoring.long_predictions(chosen, training_run.NAIVE_MODELS), by=("model", *SERIES))
 
 
@@ -499,6 +497,11 @@ def holt_winters(p):
     return forecast.seasonal_smoothing(p)
 
 
+@query
+def holt_winters_optimised(p):
+    return forecast.optimised_smoothing(p)
+
+
 @query_on_stored_panel
 def recursive_mean_forecast(p):
     """Sales regressed on the mean of the seven rows before; the forecast feeds on itself."""
@@ -707,6 +710,24 @@ def recursive_line_on_one_lag(p):
     return found.withColumn("yhat", F.round("yhat", 4))
 
 
+@query_on_stored_panel
+def recursive_sequence_line(p):
+    """A line on the row before and the last row's weekday, which stays fixed, rolled forward from the fitted scaler and model."""
+    split = _lagged_split(p)
+    samples = lookback_sequences(split, 1)
+    _, model, scaler = regressors.fit_sequence_model(samples, regressors.linear_regression(), "SequenceLinear", ["dow"], 1)
+    found = regressors.recursive_sequence_forecast(split, model, scaler.first(), "SequenceLinear", ["dow"], 1)
+    return found.withColumn("yhat", F.round("yhat", 4))
+
+
+@query
+def recursive_sequence_huber(p):
+    """The robust line on 28 rows and all features of the last row, rolled forward."""
+    split = _split_frame(p)
+    _, model, scaler = regressors.fit_sequence_model(lookback_sequences(split), regressors.huber_regression(), "SequenceHuber")
+    return regressors.recursive_sequence_forecast(split, model, scaler.first(), "SequenceHuber")
+
+
 @query
 def sequence_huber(p):
     samples = lookback_sequences(_split_frame(p))
@@ -742,6 +763,17 @@ def per_series_ridge_predictions(p):
     return per_series_ridge(horizon_study.study_frame(p, HOLIDAYS))
 
 
+@query
+def ridge_penalty_on_one_input(p):
+    """One row and one input, so that weights, errors and the chosen penalty have a closed form."""
+    return chosen_penalty_ridge(horizon_study.study_frame(p, HOLIDAYS), 1, inputs=("sales",))
+
+
+@query
+def ridge_with_chosen_penalty(p):
+    return chosen_penalty_ridge(horizon_study.study_frame(p, HOLIDAYS))
+
+
 @query
 def per_series_ridge_matrix(p):
     predictions = per_series_ridge(horizon_study.study_frame(p, HOLIDAYS))

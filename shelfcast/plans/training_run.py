@@ -15,7 +15,7 @@ from shelfcast.operators.codes import with_category_codes
 from shelfcast.operators.features import FEATURES, LAGS, complete_rows, feature_frame, lookback_sequences, with_lags
 from shelfcast.operators.forecast import persistence
 from shelfcast.operators.scoring import best_per_metric, combine, long_predictions, rank_models, score, score_trailing, timeline_summary
-from shelfcast.operators.splits import VAL_DAYS, with_time_split
+from shelfcast.operators.splits import VAL_DAYS, pick_pair, rows_of, with_time_split
 from shelfcast.session import materialize
 from shelfcast.sources import results
 
@@ -61,19 +61,33 @@ def naive_predictions(panel: DataFrame, val_days: int = VAL_DAYS, models: Mappin
     return long_predictions(split.where("split = 'val'"), models)
 
 
+def chosen_pair_frame(panel: DataFrame, val_days: int = VAL_DAYS) -> DataFrame:
+    """The validation rows, with features and codes, of one series: the wanted pair of codes or its fallback.
+
+    The choice needs only how many complete rows each series has after the cutoff; features are made for the chosen
+    series alone.
+    """
+    complete = with_time_split(complete_rows(with_lags(panel)), val_days)
+    counts = complete.where("split = 'val'").groupBy(*SERIES, "cutoff").agg(F.count("*").alias("n_rows"))
+    coded = with_category_codes(counts, SERIES, labels_from=_kept_series(panel))
+    pair = materialize(pick_pair(coded), "chosen-pair").drop("n_rows")
+    frame = complete_rows(feature_frame(rows_of(panel, pair)))
+    return frame.join(F.broadcast(pair), list(SERIES)).where(F.col("date") > F.col("cutoff"))  # one row
+
+
 @dataclass
 class Study:
-    """Tables of one run. Those that need predictions are None when the run was answered from stored metrics."""
+    """Tables of one run. When it was answered from stored metrics, predictions are those of the stored models, made anew."""
 
     tabular: DataFrame
     sequence: DataFrame
     ranking: DataFrame
-    predictions: DataFrame | None
+    predictions: DataFrame
     from_cache: bool
-    by_window: DataFrame | None = None
-    timeline: DataFrame | None = None
-    best: DataFrame | None = None
-    forecasts: DataFrame | None = None
+    by_window: DataFrame
+    timeline: DataFrame
+    best: DataFrame
+    forecasts: DataFrame
 
 
 def tables_of(predictions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -125,7 +139,8 @@ def run(
         tables = results.read_all_metrics(spark, root)
         if tables is not None:
             tabular, everything, sequence = (tables[name] for name in results.RESULT_TABLES)
-            return Study(tabular, sequence, rank_models(everything), None, True)
+            predictions = predict_again(panel, base, val_days, estimators, sequence_estimator)
+            return Study(tabular, sequence, rank_models(everything), predictions, True, *tables_of(predictions))
 
     split = stored_frame(panel, data_root, val_days)
     tabular_predictions, _ = regressors.fit_all(split, estimators, root=data_root, retrain=retrain)

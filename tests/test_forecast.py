@@ -114,3 +114,53 @@ def test_macro_average_with_item_slice(spark):
     assert (row.mape, row.mape_item, row.smape, row.smape_item, row.n_series) == (20, 10, 30, 20, 2)
     matrix = scoring.results_matrix(scoring.macro_average(per_series), ["h", "other"]).first()
     assert matrix["h_mape"] == 20 and matrix["other_smape"] is None
+
+
+def errors_of(x, weights, m=7):
+    """Sum of squared one-step errors under one set of weights, by a plain loop."""
+    path = smooth_one(x, 1, [weights], m)
+    return sum((a - b) ** 2 for a, b in zip(x, path))
+
+
+def test_optimised_smoothing_never_errs_more_than_the_grid(make_panel):
+    rng = random.Random(5)
+    series = {
+        (1, 1): [20 + t // 4 + 6 * (t % 7 == 5) + rng.randint(0, 3) for t in range(60)],
+        (1, 2): [rng.randint(0, 9) for _ in range(41)],
+        (2, 1): [10 + 2 * (t % 7) for t in range(35)],
+        (2, 2): [1] * 10,
+    }
+    out = forecast.optimised_smoothing(make_panel(series), 9).orderBy("date").collect()
+    assert {(r.store, r.item) for r in out} == set(series) - {(2, 2)}
+    for key in set(series) - {(2, 2)}:
+        x = [float(v) for v in series[key]]
+        rows = [r for r in out if (r.store, r.item) == key]
+        weights = (rows[0].alpha, rows[0].beta, rows[0].gamma)
+        # Its own errors and path, by the loop, under the weights it names.
+        assert rows[0].sse == pytest.approx(errors_of(x, weights), rel=1e-9, abs=1e-12)
+        assert [r.yhat for r in rows] == pytest.approx(smooth_one(x, 9, [weights]))
+        grid = min(errors_of(x, point) for point in forecast.SMOOTHING_GRID)
+        assert rows[0].sse <= grid and (key == (2, 1) or rows[0].sse < grid)
+        # No single step of the last size makes it better.
+        size = forecast.DESCENT_STEP / 2 ** (forecast.DESCENT_HALVINGS - 1)
+        for k in range(3):
+            for move in (-size, size):
+                near = [min(max(w + move * (i == k), 0.001), 0.999) for i, w in enumerate(weights)]
+                assert errors_of(x, near) >= rows[0].sse * (1 - 1e-9) - 1e-12
+
+
+def test_optimised_smoothing_does_not_depend_on_its_groups(make_panel, monkeypatch):
+    rng = random.Random(8)
+    panel = make_panel({(s, i): [rng.randint(0, 30) + 5 * (t % 7) for t in range(30 + 3 * s)] for s in range(3) for i in range(3)})
+    rows = lambda: sorted(map(tuple, forecast.optimised_smoothing(panel, 3).collect()), key=str)
+    together = rows()
+    monkeypatch.setattr(forecast, "SERIES_SIDE_BY_SIDE", 2)
+    assert rows() == together and len(together) == sum(33 + 3 * s for s in range(3)) * 3
+
+
+def test_both_forecasters_from_one_history_equal_each_alone(make_panel):
+    panel = make_panel({(1, 1): [3, 1, 4, 1, 5, 9, 2, 6] * 4, (2, 2): [5] * 8})
+    horizons = {"short": 5, "long": 20}
+    both = sorted(map(tuple, forecast.backtest(panel, horizons, forecast.hold_and_extend).select("model", "horizon", "store", "item", "date", "step", "y", "yhat").collect()))
+    alone = [t for f in (forecast.hold_last, forecast.extend_trend) for t in map(tuple, forecast.backtest(panel, horizons, f).select("model", "horizon", "store", "item", "date", "step", "y", "yhat").collect())]
+    assert both == sorted(alone) and len(both) == 60

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfcast.operators import regressors
 from shelfcast.operators.features import FEATURES, complete_rows, lookback_sequences, with_lags
 from shelfcast.operators.scoring import score
-from shelfcast.operators.series_models import per_series_ridge
+from shelfcast.operators.series_models import RIDGE_PENALTIES, chosen_penalty_ridge, per_series_ridge
 from shelfcast.operators.splits import with_time_split
 from shelfcast.plans import horizon_study, training_run
 
@@ -150,6 +150,9 @@ def test_run_store_and_reuse(panel, tmp_path):
     assert {r.model for r in steps} == models and {r.n for r in steps} == {365}
     again = training_run.run(panel, str(tmp_path), 60, small, regressors.gradient_boosting(5))
     assert again.from_cache and [r.model for r in again.ranking.collect()] == [r.model for r in ranked]
+    # A run answered from stored metrics has its forecasts from the stored models.
+    last = lambda study: {(r.model, r.store, r.item, r.step): r.yhat for r in study.forecasts.collect()}
+    assert last(again) == pytest.approx(last(first)) and again.timeline.count() == first.timeline.count()
     repeated = score(training_run.predict_again(panel, str(tmp_path), 60, small, regressors.gradient_boosting(5)))
     before = {r.model: r.rmse for r in ranked}
     assert {r.model: r.rmse for r in repeated.collect()} == pytest.approx(before)
@@ -178,3 +181,74 @@ def test_horizon_study_runs_on_long_series(make_panel):
     assert by_key["per_series_ridge", "1 month"].mape < by_key["window_mean", "1 month"].mape
     assert matrix.count() == 3
     assert len(FEATURES) == 27
+
+
+def test_penalty_is_the_best_one_on_the_validation_windows(panel):
+    horizons = {"near": 3}
+    frame = horizon_study.study_frame(panel).drop("holiday").withColumn("holiday", F.lit(0))
+    got = chosen_penalty_ridge(frame, 5, horizons, min_windows=20)
+    rows = {r.anchor_date: (r.yhat, r.penalty) for r in got.where("store = 2 and item = 1").collect()}
+    series = sorted(((r.date, r.sales, r.day_of_week, r.month) for r in frame.where("store = 2 and item = 1").collect()))
+    data = np.array([[s, d, m, 0] for _, s, d, m in series], float)
+    n = len(data) - 5 - 3 + 1
+    n_train, first_test = int(n * 0.7), int(n * 0.85)
+    low, high = data[: n_train + 4].min(axis=0), data[: n_train + 4].max(axis=0)
+    unit = (data - low) / np.where(high > low, high - low, 1)
+    x = np.array([unit[i : i + 5].T.ravel() for i in range(n)])
+    y = np.array([data[i + 7, 0] for i in range(n)])
+    centre, level = x[:n_train].mean(axis=0), y[:n_train].mean()
+    z = x[:n_train] - centre
+    guesses = {}
+    for penalty in RIDGE_PENALTIES:
+        # Least squares of the smallest weights where nothing is penalised, as constant inputs leave some open.
+        w = np.linalg.pinv(z.T @ z + penalty * np.eye(z.shape[1]), rcond=1e-10) @ z.T @ (y[:n_train] - level)
+        guesses[penalty] = (x - centre) @ w + level
+    best = min(RIDGE_PENALTIES, key=lambda p: ((guesses[p] - y)[n_train:first_test] ** 2).sum())
+    assert {p for _, p in rows.values()} == {best} and len(rows) == n - first_test
+    for i in range(first_test, n):
+        assert rows[series[i + 4][0]][0] == pytest.approx(guesses[best][i], rel=1e-6)
+
+
+def test_recursive_sequences_equal_a_loop(split):
+    """Lines and trees: each step sees the steps before it, and the last row's features, scaled as for the fit."""
+    features = ["dow", "month"]
+    samples = lookback_sequences(split, 4)
+    for name, estimator in (("line", regressors.linear_regression()), ("trees", regressors.gradient_boosting(5))):
+        _, model, scaler = regressors.fit_sequence_model(samples, estimator, name, features, 4)
+        p = scaler.first()
+        found = {(r.store, r.item, r.step): r.yhat for r in regressors.recursive_sequence_forecast(split, model, p, name, features, 4, 6).collect()}
+        assert len(found) == 4 * 6
+        rows = sorted((r for r in split.where("store = 1 and item = 2").collect()), key=lambda r: r.date)
+        window, fixed = [float(r.sales) for r in rows[-4:]], [(rows[-1][f] - p[f"{f}_mean"]) / p[f"{f}_std"] for f in features]
+        fitted = model.stages[-1]
+        for step in range(1, 7):
+            inputs = np.array([*window, *fixed])
+            z = float(fitted.ensemble.predict(inputs[None])[0]) if name == "trees" else float(fitted.intercept + np.dot(fitted.coefficients, inputs))
+            window = [*window[1:], z * p.y_std + p.y_mean]
+            assert found[1, 2, step] == pytest.approx(window[-1], rel=1e-9)
+
+
+def test_fits_run_at_the_same_time_and_keep_their_names(split):
+    import threading
+
+    meet = threading.Barrier(3, timeout=60)
+
+    class Waiting:
+        def __init__(self, name):
+            self.name = name
+
+        def __call__(self):
+            meet.wait()  # Only passes if all three fits run at once.
+            return self.name
+
+    found = regressors.fit_together(split.sparkSession, {name: Waiting(name) for name in "abc"})
+    assert found == {"a": "a", "b": "b", "c": "c"}
+
+
+def test_chosen_pair_is_the_one_of_all_features(panel):
+    from shelfcast.operators import splits
+
+    whole = with_time_split(training_run.training_frame(panel), 60).where("split = 'val'")
+    expected = splits.rows_of(whole, splits.choose_pair(whole)).drop("split").collect()
+    found = training_run.chosen_pair_frame(panel, 60)
+    assert sorted(r.asDict().items() for r in found.select(expected[0].__fields__).collect()) == sorted(r.asDict().items() for r in expected)
