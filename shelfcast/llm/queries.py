@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import backoff_lm, bpe, chat, cross_tokens, decontamination, ego_join, html_text, line_dedup, phrases, quality, simhash_dedup, suffix_dedup, token_files
+from shelfcast.llm import backoff_lm, bpe, chat, cross_tokens, decontamination, ego_join, html_text, line_dedup, phrases, quality, simhash_dedup, sql, suffix_dedup, token_files
 from shelfcast.llm.text import remainder, table
 from shelfcast.session import scratch_path
 
@@ -106,6 +106,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {
-        "op7_line_dedup": line_dedup.SQL,
-    }
+    return dict(sql.STATEMENTS)
