@@ -17,6 +17,8 @@ import numpy as np
 # Rows, and cells of all searched nodes, that are counted at a time.
 ROWS_AT_A_TIME = 1 << 16
 CELLS_AT_A_TIME = 1 << 22
+# Cells of all searched nodes up to which their sums are kept, to take siblings' sums from.
+CELLS_KEPT = 1 << 19
 # A gain below this share of the sums it is the difference of is rounding.
 LEAST_GAIN = 1e-12
 
@@ -155,18 +157,29 @@ def uniform(keys: np.ndarray, *streams: int) -> np.ndarray:
     return (state >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def cell_sums(slots: np.ndarray, bins: np.ndarray, n: np.ndarray, g: np.ndarray, cells: Cells, slot_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Count and sum of every occupied cell: key (slot * cells + cell, ascending), n, g. Slots are dense node numbers."""
+def dense_sums(slots: np.ndarray, places: np.ndarray, n: np.ndarray | None, g: np.ndarray, cells: Cells, slot_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Count and sum of every cell of every slot. ``places``: the cell of each row and input. ``n``: None if every row counts once."""
     count, total = np.zeros(slot_count * cells.total), np.zeros(slot_count * cells.total)
     for i in range(0, len(slots), ROWS_AT_A_TIME):
         part = slice(i, i + ROWS_AT_A_TIME)
-        keys = (slots[part, None] * cells.total + cells.starts + bins[part]).ravel()
-        count += np.bincount(keys, weights=np.repeat(n[part], len(cells.edges)), minlength=len(count))
-        total += np.bincount(keys, weights=np.repeat(g[part], len(cells.edges)), minlength=len(count))
+        keys = (slots[part, None] * cells.total + places[part]).ravel()
+        times = None if n is None else np.repeat(n[part], places.shape[1])
+        count += np.bincount(keys, weights=times, minlength=len(count))
+        total += np.bincount(keys, weights=np.repeat(g[part], places.shape[1]), minlength=len(count))
+    return count, total
+
+
+def occupied(count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every occupied cell: key (slot * cells + cell, ascending), n, g."""
     used = np.flatnonzero(count)
     return used, count[used], total[used]
 
 
+def cell_sums(slots: np.ndarray, bins: np.ndarray, n: np.ndarray, g: np.ndarray, cells: Cells, slot_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count and sum of every occupied cell of every slot, which are dense node numbers."""
+    return occupied(*dense_sums(slots, cells.starts + bins, n, g, cells, slot_count))
+
+
 def best_splits(keys: np.ndarray, n: np.ndarray, g: np.ndarray, paths: np.ndarray, tree: int, cells: Cells, rules: Rules) -> dict[str, np.ndarray]:
     """The best split of each slot: slot, input, bin, gain (-inf: none), n and g of the left part, and of the node.
 
@@ -223,7 +236,8 @@ def grow(bins: np.ndarray, n: np.ndarray, g: np.ndarray, path: int, tree: int, c
     """The tree below one node from all its rows."""
     out = Tree(path, float(n.sum()), float(g.sum()))
     at, active = np.zeros(len(bins), np.int32), np.arange(len(bins))
-    block = max(1, CELLS_AT_A_TIME // cells.total)
+    places, n = (cells.starts + bins).astype(np.int32), None if (n == 1).all() else n
+    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     while nodes := nodes_to_search(out, rules):
         slot_of = np.full(len(out.path), -1)
         slot_of[nodes] = np.arange(len(nodes))
@@ -231,15 +245,22 @@ def grow(bins: np.ndarray, n: np.ndarray, g: np.ndarray, path: int, tree: int, c
         active = active[waits[at[active]]]
         slots = slot_of[at[active]]
         rows, slots = active[slots >= 0], slots[slots >= 0]
-        if len(nodes) > block:
-            order = np.argsort(slots, kind="stable")
-            rows, slots = rows[order], slots[order]
-        for i in range(0, len(nodes), block):
-            low, high = (np.searchsorted(slots, (i, i + block)) if len(nodes) > block else (0, len(slots)))
-            part = slice(low, high)
-            some = nodes[i : i + block]
-            sums = cell_sums(slots[part] - i, bins[rows[part]], n[rows[part]], g[rows[part]], cells, len(some))
-            apply(out, some, best_splits(*sums, np.array([out.path[x] for x in some]), tree, cells, rules))
+        if len(nodes) * cells.total <= CELLS_KEPT:
+            sums = _sums_with_siblings(out, nodes, rows, slots, places, n, g, cells, kept)
+            # Best-first growth comes back to nodes found long before.
+            kept = kept | sums if rules.max_leaves else sums
+            found = [sums[node] for node in nodes]
+            _split(out, nodes, occupied(*(np.concatenate(x) for x in zip(*found))), tree, cells, rules)
+        else:
+            block = max(1, CELLS_AT_A_TIME // cells.total)
+            if len(nodes) > block:
+                order = np.argsort(slots, kind="stable")
+                rows, slots = rows[order], slots[order]
+            for i in range(0, len(nodes), block):
+                low, high = (np.searchsorted(slots, (i, i + block)) if len(nodes) > block else (0, len(slots)))
+                own, some = rows[low:high], nodes[i : i + block]
+                sums = dense_sums(slots[low:high] - i, places[own], None if n is None else n[own], g[own], cells, len(some))
+                _split(out, some, occupied(*sums), tree, cells, rules)
         inputs, limits, lefts = np.array(out.input), np.array(out.bin), np.array(out.left)
         moved = rows[inputs[at[rows]] >= 0]
         here = at[moved]
@@ -247,6 +268,29 @@ def grow(bins: np.ndarray, n: np.ndarray, g: np.ndarray, path: int, tree: int, c
     return out
 
 
+def _split(tree: Tree, nodes: list[int], sums: tuple[np.ndarray, ...], number: int, cells: Cells, rules: Rules) -> None:
+    apply(tree, nodes, best_splits(*sums, np.array([tree.path[x] for x in nodes]), number, cells, rules))
+
+
+def _sums_with_siblings(tree, nodes, rows, slots, places, n, g, cells, kept) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sums of all nodes by node. Of two siblings the smaller one is counted; the larger one is what is left of the node above."""
+    above = {tree.left[i] + k: i for i in kept if tree.left[i] >= 0 for k in (0, 1)}
+    sibling = lambda node: node + 1 if tree.left[above[node]] == node else node - 1
+    wanted = set(nodes)
+    derived = [x for x in nodes if x in above and sibling(x) in wanted and (tree.n[x], x) > (tree.n[sibling(x)], sibling(x))]
+    counted = [x for x in nodes if x not in set(derived)]
+    slot_of = np.full(len(nodes), -1)
+    slot_of[[nodes.index(x) for x in counted]] = np.arange(len(counted))
+    mine = slot_of[slots]
+    rows, mine = rows[mine >= 0], mine[mine >= 0]
+    count, total = dense_sums(mine, places[rows], None if n is None else n[rows], g[rows], cells, len(counted))
+    parts = {x: (count[k * cells.total : (k + 1) * cells.total], total[k * cells.total : (k + 1) * cells.total]) for k, x in enumerate(counted)}
+    for x in derived:
+        whole, part = kept[above[x]], parts[sibling(x)]
+        parts[x] = whole[0] - part[0], whole[1] - part[1]
+    return parts
+
+
 def apply(tree: Tree, nodes: list[int], found: dict[str, np.ndarray]) -> None:
     """Put the splits found for the nodes' slots into the tree; all of them count as searched."""
     for node in nodes:

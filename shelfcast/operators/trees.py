@@ -3,8 +3,8 @@
 Rows are binned once and stored. Trees that don't depend on each other grow together, level by level: tasks add
 up counts and sums by (tree, node, cell) over their rows, one shuffle adds up the tasks, and each node's best
 split is chosen from its at most inputs x bins sums. A node with few enough rows isn't searched this way: its
-rows meet in one group, which grows all that is below it. Sums are exact, so a tree doesn't depend on which of both ways
-its nodes took, nor on partitions. Only trees, whose size the parameters bound, reach the driver.
+rows meet in one group, which grows all that is below it; a boosted tree whose rows are all few enough needs no shuffle for that. Sums are exact, so a tree doesn't depend on which
+way its nodes took, nor on partitions. Only trees, whose size the parameters bound, reach the driver.
 
 Draws (bagging, subsamples, thresholds) are hashes of the seed and of a row's own columns, so a seed fixes the result.
 """
@@ -37,7 +37,9 @@ EDGE_ROWS = 200_000
 #: Bytes of rows that the trees of one job send to their groups.
 JOB_BYTES = 1 << 30
 #: Rounds whose trees are added to the stored predictions at a time.
-ROUNDS_STORED = 25
+ROUNDS_STORED = 50
+#: Tables whose rows a worker process keeps between rounds, none larger than what one task grows.
+TABLES_KEPT = 4
 #: Rows of a stored part, so that small tables have few.
 ROWS_OF_A_PART = 1 << 14
 #: Sums of whole numbers stay below this and are exact.
@@ -218,6 +220,53 @@ def grown_below(rows: DataFrame, task: Task) -> tuple[dict[tuple[int, int], Tree
     return trees, farthest, loss
 
 
+_rows_kept: dict[str, tuple] = {}
+
+
+def _rows_of_task(batches, task: Task, table: str) -> tuple[np.ndarray, ...]:
+    """All rows of a small table: ids, bins, targets' rest after the pending trees, stop.
+
+    A worker that met the table in an earlier round has its bins and what the trees before left; it adds the trees since.
+    """
+    batches = [b for b in batches if b.num_rows]
+    ids = np.concatenate([b.column(0).to_numpy() for b in batches]) if batches else np.zeros(0, np.int64)
+    done, known, bins, rest, stop = _rows_kept.pop(table, (0, None, None, None, None))
+    if known is None or not np.array_equal(known, ids) or done > len(task.pending):
+        done = 0
+        bins = np.frombuffer(b"".join(x for b in batches for x in b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
+        y, margin = (np.concatenate([b.column(k).to_numpy() for b in batches]) if batches else np.zeros(0) for k in (1, 4))
+        stop = np.concatenate([b.column(3).to_numpy(zero_copy_only=False).astype(bool) for b in batches]) if batches else np.zeros(0, bool)
+        margin = margin.astype(np.float64)
+        rest = (y, margin)
+    y, margin = rest
+    margin = replace(task, pending=task.pending[done:]).margins(bins, margin)
+    while len(_rows_kept) >= TABLES_KEPT:
+        _rows_kept.pop(next(iter(_rows_kept)))
+    _rows_kept[table] = (len(task.pending), ids, bins, (y, margin), stop)
+    return ids, bins, y - margin, stop
+
+
+def grown_in_one(rows: DataFrame, task: Task, tree: int | None, table: str) -> tuple[Tree | None, float, float]:
+    """A tree from a table that one task may hold, without a shuffle; the largest distance and the loss before it."""
+
+    def work(batches) -> Iterator[pa.RecordBatch]:
+        ids, bins, rest, stop = _rows_of_task(batches, task, table)
+        learn = ~stop
+        farthest, loss = _facts(rest[learn], rest[stop], task)
+        out = [("facts", np.array([farthest, loss]).tobytes())]
+        if tree is not None:
+            w = task.weights(ids[learn], tree)
+            seen = w > 0
+            bins, g, w = (bins, rest, w) if seen.all() and learn.all() else (bins[learn][seen], rest[learn][seen], w[seen])
+            found = grow(bins, w, w * np.rint(g * task.scale), 1, tree, task.cells, task.rules).arrays()
+            out += [(c, found[c].astype(t).tobytes()) for c, t in _TREE.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], ["name", "value"])
+
+    found = {r.name: bytes(r.value) for r in rows.coalesce(1).mapInArrow(work, "name string, value binary").collect()}
+    farthest, loss = np.frombuffer(found["facts"]).tolist()
+    return None if tree is None else Tree.of_arrays({c: np.frombuffer(found[c], t) for c, t in _TREE.items()}), farthest, loss
+
+
 _DEALT = ["tree", "node", "x", "n", "g"]
 _DEALT_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 _TREE = {"path": "<i8", "input": "<i2", "bin": "<i2", "gain": "<f8", "left": "<i4", "n": "<f8", "g": "<f8"}
@@ -445,7 +494,7 @@ def _boost(estimator: TreeEnsembleRegressor, table: DataFrame, path: str, task:
     the next, and targets keep their digits as distances shrink. Each job reports the loss on the stop rows
     after the trees before it.
     """
-    rate, patience = estimator.getRate(), estimator.getOrDefault(estimator.patience)
+    rate, patience, in_a_task = estimator.getRate(), estimator.getOrDefault(estimator.patience), estimator.getOrDefault(estimator.rowsInATask)
     bound, grown, pending, losses = sizes.farthest, [], [], []
     for k in range(estimator.getTrees() + 1):
         if len(pending) == ROUNDS_STORED:
@@ -457,18 +506,20 @@ def _boost(estimator: TreeEnsembleRegressor, table: DataFrame, path: str, task:
         if last and not sizes.stop_rows:
             break
         # After the last round only the loss is asked for.
-        numbers = [] if last else [k]
-        if last:
-            _, farthest, loss = grown_below(table, replace(now, nodes={}, partial={}))
+        if sizes.rows + sizes.stop_rows <= in_a_task:
+            grown_tree, farthest, loss = grown_in_one(table, now, None if last else k, path)
+        elif last:
+            _, farthest, loss = grown_below(table, now)
         else:
-            trees, farthest, loss = grow_together(table, now, numbers, sizes.rows, estimator.getOrDefault(estimator.rowsInATask))
+            trees, farthest, loss = grow_together(table, now, [k], sizes.rows, in_a_task)
+            grown_tree = trees[k]
         if sizes.stop_rows:
             losses.append(loss / loss_scale / sizes.stop_rows)
             best = int(np.argmin(losses))
             if last or patience and k - best >= patience:
                 grown = grown[:best] if patience else grown
                 break
-        tree = trees[k].arrays()
+        tree = best_first(grown_tree, task.rules.max_leaves).arrays()
         values = _values(tree, scale, task.rules.penalty, rate)
         grown.append((tree, values))
         pending.append((tree, values))
