@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from shelfcast.llm.piece_ids import Memory
 from shelfcast.llm.pretokens import byte_signs, pretokens
-from shelfcast.llm.text import dictionary, held, rows_of, spread
+from shelfcast.llm.text import distinct, held, rows_of, spread
 
 #: Pairs of tokens whose compatibility a worker process remembers before it starts anew.
 PAIRS = 1 << 18
@@ -152,8 +152,8 @@ class Vocabulary:
         """Ids of all texts end to end, and the number of ids before each text."""
         special = next(iter(self.special), b"")
         items, before = pretokens(data, offsets, special)
-        distinct, places = dictionary(items)
-        pool, counts = (self.memory or self.encode_distinct)(distinct)
+        pieces, places = distinct(items)
+        pool, counts = self.memory(pieces) if self.memory else self.encode_distinct(pieces.to_pylist())
         starts = np.cumsum(counts) - counts
         lengths = counts[places]
         ids = pool[spread(starts[places], lengths)]

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from shelfcast.llm.pretokens import byte_signs
 from shelfcast.llm.text import spread
@@ -28,17 +30,14 @@ class Memory:
         self.encode, self.limit = encode, limit
         self.young, self.old = Generation(), Generation()
 
-    def __call__(self, items: list[bytes]) -> Encoded:
-        """Ids of all distinct items end to end, and the number of ids of each."""
-        if len(self.young.places) > self.limit:
+    def __call__(self, items: pa.Array) -> Encoded:
+        """Ids of all distinct items (binary) end to end, and the number of ids of each."""
+        if len(self.young.items) > self.limit:
             self.young, self.old = Generation(), self.young
-        young, old = self.young.places, self.old.places
-        here = np.fromiter((young.get(x, -1) for x in items), np.int64, len(items))
-        there = np.full(len(items), -1)
-        missing = np.flatnonzero(here < 0)
-        there[missing] = np.fromiter((old.get(items[i], -1) for i in missing.tolist()), np.int64, len(missing))
+        here = self.young.places(items)
+        there = np.where(here < 0, self.old.places(items), -1)
         new = np.flatnonzero((here < 0) & (there < 0))
-        made = self.encode([items[i] for i in new.tolist()])
+        made = self.encode(items.take(pa.array(new)).to_pylist())
         counts = np.empty(len(items), np.int64)
         parts = [(np.flatnonzero(here >= 0), self.young, here), (np.flatnonzero(there >= 0), self.old, there)]
         for at, generation, places in parts:
@@ -49,19 +48,23 @@ class Memory:
         for at, generation, places in parts:
             out[spread(starts[at], counts[at])] = generation.ids[spread(generation.starts[places[at]], counts[at])]
         out[spread(starts[new], made[1])] = made[0]
-        kept = [i for i in np.flatnonzero(here < 0).tolist() if len(items[i]) <= REMEMBERED_BYTES]
-        self.young.add([items[i] for i in kept], out[spread(starts[kept], counts[kept])], counts[kept])
+        lengths = pc.binary_length(items).to_numpy(zero_copy_only=False)
+        kept = np.flatnonzero((here < 0) & (lengths <= REMEMBERED_BYTES))
+        self.young.add(items.take(pa.array(kept)), out[spread(starts[kept], counts[kept])], counts[kept])
         return out, counts
 
 
 class Generation:
     def __init__(self):
-        self.places: dict[bytes, int] = {}
+        self.items = pa.array([], pa.large_binary())
         self.ids, self.sizes, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def add(self, items: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first = len(self.sizes)
-        self.places.update(zip(items, range(first, first + len(items))))
+    def places(self, items: pa.Array) -> np.ndarray:
+        """The number of each item here, -1 for others."""
+        return pc.fill_null(pc.index_in(items, value_set=self.items), -1).to_numpy(zero_copy_only=False)
+
+    def add(self, items: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.items = pa.concat_arrays([self.items, items.cast(pa.large_binary())])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.ids = np.concatenate([self.ids, ids])
         self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])

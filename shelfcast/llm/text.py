@@ -115,6 +115,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return binary_array(data[inside], bounds), np.searchsorted(starts, offsets)
 
 
+def distinct(items: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct items as an Arrow array, and for each item its place among them."""
+    coded = items.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
 def dictionary(items: pa.Array) -> tuple[list[bytes], np.ndarray]:
     """Distinct items, and for each item its place among them."""
     coded = items.dictionary_encode()

@@ -14,7 +14,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +21,10 @@ from shelfcast.llm.huffman import BLOCK, Codebook, code_lengths
 from shelfcast.llm.piece_ids import LibraryPieces, Memory, closed
 from shelfcast.llm.pretokens import pretokens
 from shelfcast.llm.tables import discard, stored
-from shelfcast.llm.text import dictionary, held, partitions, rows_of, spread
+from shelfcast.llm.text import distinct, held, partitions, pieces, rows_of, spread
 
+#: Bytes of text whose distinct pieces are encoded together; a longer text is a chunk of its own.
+CHUNK = 8 << 20
 #: Ids of a segment; a longer document is a segment of its own.
 SEGMENT = 1 << 20
 # First bytes and header of a segment: documents, ids, ids of a block, checkpoints, whether each doc_id is null.
@@ -50,28 +51,43 @@ class LibraryCoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids before each text."""
-        items, before = pretokens(data, offsets, self.special)
-        distinct, places = dictionary(items)
-        pool, counts = self.memory(distinct)
+        # Cut in smaller parts, for the masks that cutting takes.
+        cut = [pretokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], self.special) for i, j in pieces(offsets)]
+        known, places = distinct(pa.chunked_array([items for items, _ in cut], pa.large_binary()).combine_chunks())
+        before = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for _, x in cut] or [np.zeros(0, np.int64)]))])
+        del cut
+        pool, counts = self.memory(known)
         lengths = counts[places]
         return pool[spread((np.cumsum(counts) - counts)[places], lengths)], np.concatenate([[0], np.cumsum(lengths)])[before]
 
 
 def encoded(docs: DataFrame, vocabulary_path: str, end_id: int = 0) -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of every text and the end id, little-endian, in two bytes each if all fit, else four."""
+    return _encoded(docs, vocabulary_path, end_id).where("counts IS NULL").drop("counts")
+
+
+def _encoded(docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:
+    """(doc_id, n_tokens, ids, counts): the rows of encoded, and one row per task that has only counts, of every id in the task's texts."""
     sent = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text(encoding="utf-8"))
+    names = ["doc_id", "n_tokens", "ids", "counts"]
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         coder = held(("token files", sent.value), lambda: LibraryCoder(sent.value))
-        for rows, data, offsets in rows_of(batches, ["doc_id", "text"]):
+        size = coder.tokenizer.get_vocab_size()
+        total = np.zeros(max(size, end_id + 1), np.int64)
+        for rows, data, offsets in rows_of(batches, ["doc_id", "text"], CHUNK):
             ids, bounds = coder.encode(data, offsets)
-            closed = np.insert(ids, bounds[1:], end_id).astype(_kind(coder.tokenizer.get_vocab_size()))
+            closed = np.insert(ids, bounds[1:], end_id).astype(_kind(size))
+            total += np.bincount(closed, minlength=len(total))
             ends = bounds + np.arange(len(bounds))
             raw, width = closed.tobytes(), closed.itemsize
             runs = [raw[width * a : width * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(runs, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(runs, pa.binary()), pa.nulls(len(rows), pa.binary())], names)
+        used = np.flatnonzero(total)
+        packed = np.column_stack([used, total[used]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def _kind(size: int) -> str:
@@ -82,21 +98,16 @@ def _ids(run: bytes, n: int) -> np.ndarray:
     return np.frombuffer(run, "<u2" if len(run) == 2 * n else "<u4")
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
-    """(id, n) over all documents."""
+def id_counts(counted: DataFrame) -> DataFrame:
+    """(id, n) over all documents, from the tasks' counts."""
 
     def work(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
         for batch in batches:
-            # All runs of a vocabulary have ids of one width.
-            found = np.bincount(_ids(b"".join(batch.column(1).to_pylist()), pc.sum(batch.column(0)).as_py() or 0))
-            if len(found) > len(total):
-                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-            total[: len(found)] += found
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+            for packed in batch.column(0):
+                pairs = np.frombuffer(packed.as_py(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["id", "n"])
 
-    return ids.select("n_tokens", "ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return counted.where("counts IS NOT NULL").select("counts").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, vocabulary_path: str, path: str, end_id: int = 0, segment: int = SEGMENT) -> None:
@@ -107,8 +118,9 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, path: str, end_id:
     vocabulary has, reach the driver; the vocabulary file is sent to the executors.
     """
     spark = docs.sparkSession
-    ids, path_of_ids = stored(encoded(docs, vocabulary_path, end_id), "token-ids", compression="zstd")
-    counts = id_counts(ids).collect()
+    made, path_of_ids = stored(_encoded(docs, vocabulary_path, end_id), "token-ids", compression="zstd")
+    counts = id_counts(made).collect()
+    ids = made.where("counts IS NULL").select("doc_id", "n_tokens", "ids")
     total = np.zeros(max([x.id for x in counts], default=0) + 1, np.int64)
     for x in counts:
         total[x.id] = x.n

@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from shelfcast.llm.piece_ids import LibraryPieces, Memory, closed
@@ -38,7 +39,7 @@ def test_memory_turns_over_and_forgets():
     memory = Memory(encode, limit=3)
     batches = [[b"a", b"bb", b"ccc", b"dddd"], [b"a", b"x" * 70], [b"bb", b"ee", b"f", b"g", b""], [b"a", b"ee", b"ccc"], [b"h"], [b"a", b"x" * 70]]
     for batch in batches:
-        assert lists(memory(batch)) == [list(x) for x in batch]
+        assert lists(memory(pa.array(batch, pa.large_binary()))) == [list(x) for x in batch]
     # What was met in the turn before is known; what was not is asked again; long pieces are never kept.
     assert asked.count(b"a") == 1 and asked.count(b"ee") == 1 and asked.count(b"ccc") == 2 and asked.count(b"x" * 70) == 2
-    assert len(memory.young.places) + len(memory.old.places) <= 10
+    assert len(memory.young.items) + len(memory.old.items) <= 10
