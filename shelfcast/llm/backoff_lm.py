@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.text import dictionary, lowered, mixed, partitions, pieces, remainder, utf8, words
+from shelfcast.llm.text import dealt_by, dictionary, lowered, mixed, pieces, remainder, text_groups, utf8, words
 
 # Marks of the two ends of a text; no word is empty, and none has a hash of its own that is chosen.
 START, END = np.uint64(xxhash.xxh64_intdigest(b"", 1)), np.uint64(xxhash.xxh64_intdigest(b"", 2))
@@ -93,10 +93,11 @@ def score_texts(docs: DataFrame, order: int = 2, folds: int = 5, held_out: int =
     the fold; repeated rows are counted and scored one by one; an empty table gives no rows, and without training
     texts every token has probability one. N-grams are told apart by 64-bit hashes. Other columns are left out.
     """
-    groups = partitions(docs)
+    groups = text_groups(docs)
     dealt = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", remainder(F.col("doc_id"), folds).cast("int").alias("fold"), F.expr(f"cast(pmod(xxhash64(doc_id, text), {groups}) AS int)").alias("grp")
-    ).repartition(groups, "grp")
+    )
+    dealt = dealt_by(dealt, groups, "grp")
 
     def ask(table: pa.Table) -> pa.Table:
         grams = Grams(table.column("text"), order)
@@ -156,8 +157,8 @@ def score_texts(docs: DataFrame, order: int = 2, folds: int = 5, held_out: int =
         )
 
     asked = dealt.groupBy("grp").applyInArrow(ask, "shard int, grp int, sizes array<long>, keys binary, counts binary")
-    answered = asked.repartition(groups, "shard").groupBy("shard").applyInArrow(answer, "grp int, shard int, totals binary, facts array<long>")
-    return dealt.groupBy("grp").cogroup(answered.repartition(groups, "grp").groupBy("grp")).applyInArrow(
+    answered = dealt_by(asked, groups, "shard").groupBy("shard").applyInArrow(answer, "grp int, shard int, totals binary, facts array<long>")
+    return dealt.groupBy("grp").cogroup(dealt_by(answered, groups, "grp").groupBy("grp")).applyInArrow(
         walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 

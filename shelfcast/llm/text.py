@@ -39,10 +39,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def partitions(df: DataFrame) -> int:
-    """The session's number of shuffle partitions: the count of groups a corpus is dealt into."""
+    """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text that a group of texts has on average, at most. A longer text is no larger than itself.
+GROUP_BYTES = 64 << 20
+
+
+def text_groups(df: DataFrame, size: int = GROUP_BYTES) -> int:
+    """The number of groups a corpus is dealt into: the session's shuffle partitions, and more if groups would be too large for a task."""
+    total = df.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
+    return max(partitions(df), -(-total // size))
+
+
+def dealt_by(df: DataFrame, groups: int, column: str) -> DataFrame:
+    """Rows with group number 0, 1, ... in partitions of these numbers, so that no two groups meet in a task and none stays idle."""
+    return df.repartitionById(groups, F.col(column))
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """Names like these that none of the columns has, whatever the case."""
     taken, out = {c.lower() for c in columns}, []
@@ -64,9 +79,11 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
 
     Null is the empty text. The arrays are views of Arrow memory: not to be written to.
     """
+    # Wide offsets first: the chunks together may have more bytes than narrow ones can count.
+    column = column.cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column, "")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
