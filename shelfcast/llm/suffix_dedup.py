@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.suffix_sort import equal_windows
-from shelfcast.llm.text import mixed, partitions, pieces, spread, utf8
+from shelfcast.llm.text import dealt_by, mixed, pieces, spread, text_groups, utf8
 
 LENGTH = 100
 ANCHOR = 32
@@ -138,10 +138,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, di
     and get equal results. An empty table gives no rows; other columns are left out. With digests,
     kept_sha256 (lowercase hex) stands in place of spans and kept. Equal contexts are known by two 64-bit hashes.
     """
-    groups = partitions(docs)
+    groups = text_groups(docs)
     dealt = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr("xxhash64(coalesce(text, ''))").alias("mark"), F.expr(f"cast(pmod(xxhash64(doc_id, text), {groups}) AS int)").alias("grp")
-    ).repartition(groups, "grp")
+    )
+    dealt = dealt_by(dealt, groups, "grp")
 
     def ask(table: pa.Table) -> pa.Table:
         entries = Entries(table, length, anchor)
@@ -279,13 +280,15 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, di
 
     told = "grp int, kind int, shard int, told binary, own binary"
     asked = dealt.groupBy("grp").applyInArrow(ask, "shard int, grp int, n int, gram binary, context binary, used binary, start binary, ids binary, marks binary")
-    answered = asked.repartition(groups, "shard").groupBy("shard").applyInArrow(answer, told).repartition(groups, "grp")
-    disputed = dealt.groupBy("grp").cogroup(answered.groupBy("grp")).applyInArrow(
+    answered = dealt_by(asked, groups, "shard").groupBy("shard").applyInArrow(answer, told)
+    disputed = dealt.groupBy("grp").cogroup(dealt_by(answered, groups, "grp").groupBy("grp")).applyInArrow(
         dispute, "shard int, grp int, n int, own binary, gram binary, lead binary, count binary, used binary, start binary, ids binary, marks binary, data binary"
     )
-    settled = disputed.repartition(groups, "shard").groupBy("shard").applyInArrow(settle, told).repartition(groups, "grp")
+    settled = dealt_by(disputed, groups, "shard").groupBy("shard").applyInArrow(settle, told)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "spans array<struct<begin: long, end: long>>, kept binary")
-    return dealt.groupBy("grp").cogroup(answered.unionByName(settled).groupBy("grp")).applyInArrow(mark, schema)
+    # Dealt after the union, which would not keep the partitions of its parts.
+    answers = dealt_by(answered.unionByName(settled), groups, "grp")
+    return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(mark, schema)
 
 
 ASKED = pa.schema([("shard", pa.int32()), ("grp", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("gram", "context", "used", "start", "ids", "marks"))])
