@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.tables import stored
-from shelfcast.llm.text import partitions
+from shelfcast.llm.text import dealt_by, partitions, text_groups
 
 ROLES = ("system", "user", "assistant")
 # Names of the roles in labels and markers.
@@ -247,10 +247,10 @@ def format_turns(conversations: DataFrame, block: int = BLOCK, model: Model | No
     four columns count once. Null or empty texts are one empty line, unknown and null roles no label. Rows without
     conv_id are one conversation. An empty table gives no rows; other columns are left out.
     """
-    groups = partitions(conversations)
+    groups = text_groups(conversations)
     rows = placed(conversations, block).withColumn("grp", F.expr(f"cast(pmod(xxhash64(conv_id, block), {groups}) AS int)"))
     model = model or learn(rows)
-    dealt = rows.repartition(groups, "grp")
+    dealt = dealt_by(rows, groups, "grp")
 
     def blocks(table: pa.Table) -> list[tuple[tuple, Block]]:
         found: dict[tuple, list[tuple]] = {}
@@ -280,9 +280,9 @@ def format_turns(conversations: DataFrame, block: int = BLOCK, model: Model | No
 
     summaries = dealt.groupBy("grp").applyInArrow(summarize, "conv_id long, block long, summary binary, opening binary")
     # Of a conversation only its blocks' summaries come together.
-    hashed = summaries.withColumn("owner", F.expr(f"cast(pmod(xxhash64(conv_id), {groups}) AS int)")).repartition(groups, "owner")
+    hashed = dealt_by(summaries.withColumn("owner", F.expr(f"cast(pmod(xxhash64(conv_id), {groups}) AS int)")), groups, "owner")
     entries = hashed.groupBy("owner").applyInArrow(chain, "conv_id long, block long, entry binary, last int")
-    entries = entries.withColumn("grp", F.expr(f"cast(pmod(xxhash64(conv_id, block), {groups}) AS int)")).repartition(groups, "grp")
+    entries = dealt_by(entries.withColumn("grp", F.expr(f"cast(pmod(xxhash64(conv_id, block), {groups}) AS int)")), groups, "grp")
     return dealt.groupBy("grp").cogroup(entries.groupBy("grp")).applyInArrow(
         decode, "conv_id long, turn long, part int, given_role string, role string, continued boolean, n_lines int, rendered string"
     )
