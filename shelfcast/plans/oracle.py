@@ -430,6 +430,14 @@ step(
         GROUP BY model""",
     "weekday_levels",
 )
+step(
+    "line_rows",
+    f"""SELECT 'LinearRegression' AS model, store, item, date, CAST(sales AS DOUBLE) AS y, a + b * lag_7 AS yhat
+        FROM {SPLIT}, (SELECT regr_slope(sales, lag_7) AS b, regr_intercept(sales, lag_7) AS a FROM {SPLIT} WHERE split = 'train')
+        WHERE split = 'val'""",
+    SPLIT,
+)
+step("line_scores", f"SELECT model, {PLAIN_METRICS} FROM line_rows GROUP BY model", "line_rows")
 # Model, and whether its target is the weekday's mean itself.
 WEEKDAY_ORACLES = {
     "decision_tree_on_weekday": ("DecisionTree", False),
@@ -492,6 +500,9 @@ def all_sql() -> dict[str, str]:
             (PARTITION BY model, store, item ORDER BY date DESC) AS rn FROM naive) WHERE rn <= {n} GROUP BY model"""
         for w, n in (("1 Month", 30), ("3 Months", 90), ("1 Year", 365))
     )
+    timeline = f"""SELECT model, store, item, COUNT(*) AS n_rows, {r('AVG(y)', 'actual_mean')}, {r('STDDEV_POP(y)', 'actual_std')},
+        {r('AVG(yhat)', 'pred_mean')}, {r('STDDEV_POP(yhat)', 'pred_std')}, {r('AVG(ABS(y - yhat))', 'mae')},
+        {r('SQRT(AVG((y - yhat) * (y - yhat)))', 'rmse')} FROM {{}} GROUP BY model, store, item"""
     pair_scores = " UNION ALL ".join(
         f"""SELECT model, store, item, '{w}' AS "window", {METRICS} FROM (SELECT *, ROW_NUMBER() OVER
             (PARTITION BY model, store, item ORDER BY date DESC) AS rn FROM naive JOIN chosen_pair USING (store, item))
@@ -512,7 +523,7 @@ def all_sql() -> dict[str, str]:
         rolled AS (SELECT store, item, last_date, seq, 0 AS step, CAST(NULL AS DOUBLE) AS yhat, a, b FROM latest, fit
             UNION ALL SELECT store, item, last_date, list_append(seq[2:7], v), step + 1, v, a, b FROM
             (SELECT *, a + b / 7 * list_sum(seq) AS v FROM rolled WHERE step < {LONGEST}))"""
-    return {
+    found = {
         "panel": sql("SELECT * FROM panel", "panel"),
         "densified_panel": sql("SELECT * FROM dense_panel", "dense_panel"),
         "calendar_features": sql(
@@ -671,11 +682,15 @@ def all_sql() -> dict[str, str]:
             "naive",
         ),
         "metrics_by_window": sql(by_window, "naive"),
-        "timeline_summary": sql(
-            f"""SELECT model, store, item, COUNT(*) AS n_rows, {r('AVG(y)', 'actual_mean')}, {r('STDDEV_POP(y)', 'actual_std')},
-                {r('AVG(yhat)', 'pred_mean')}, {r('STDDEV_POP(yhat)', 'pred_std')}, {r('AVG(ABS(y - yhat))', 'mae')},
-                {r('SQRT(AVG((y - yhat) * (y - yhat)))', 'rmse')} FROM naive GROUP BY model, store, item""",
-            "naive",
+        "timeline_summary": sql(timeline.format("naive"), "naive"),
+        "fitted_run_by_window": sql(by_window.replace("FROM naive)", "FROM line_rows)"), "line_rows"),
+        "fitted_run_timeline": sql(timeline.format("line_rows"), "line_rows"),
+        "fitted_run_best": sql(best.replace("naive_scores", "line_scores"), "line_scores"),
+        "fitted_run_forecasts": sql(
+            f"""SELECT model, store, item, k.last_date + d.step AS date, d.step, {r('yhat', 'yhat')} FROM
+                (SELECT model, store, item, arg_max(yhat, date) AS yhat FROM line_rows GROUP BY model, store, item),
+                (SELECT MAX(date) AS last_date FROM line_rows) k, {_DAYS} d""",
+            "line_rows",
         ),
         "metric_ranking": sql(f"{ranking} FROM naive_scores", "naive_scores"),
         "best_per_metric": sql(best, "naive_scores"),
@@ -795,3 +810,5 @@ def all_sql() -> dict[str, str]:
             SPLIT,
         ),
     }
+    same = {"overview": "dataset_overview", "percentiles": "sales_percentiles", "log_histogram": "log_sales_histogram", "box_plot": "boxplot_stats", "key_counts": "key_counts", "extremes": "extremes"}
+    return found | {f"profile_study_{table}": found[name] for table, name in same.items()}

@@ -27,7 +27,7 @@ from shelfcast.operators.features import (
     with_rolls,
 )
 from shelfcast.operators.series_models import chosen_penalty_ridge, per_series_ridge
-from shelfcast.plans import horizon_study, training_run
+from shelfcast.plans import horizon_study, profile_study, training_run
 from shelfcast.session import materialize, scratch_path, shared_dir
 from shelfcast.sources import results
 from shelfcast.sources.panel import as_panel, densify, read_panel_tables, scan_csv, write_panel
@@ -347,6 +347,22 @@ def extremes(p):
     return profile.extremes(p)
 
 
+# Tables of the whole profile, which share one stored panel and one table of value counts.
+
+
+def _from_profile_study(table: str) -> Callable[[DataFrame], DataFrame]:
+    def build(p: DataFrame) -> DataFrame:
+        return profile_study.run(p)[table]
+
+    return build
+
+
+for _table in ("overview", "percentiles", "log_histogram", "box_plot", "key_counts", "extremes"):
+    _build = _from_profile_study(_table)
+    _build.__name__ = f"profile_study_{_table}"
+    query(_build)
+
+
 # Autocorrelation
 
 
@@ -682,6 +698,34 @@ def saved_model_predictions(p):
     return regressors.predict(loaded, regressors.with_label(split).where("split = 'val'"), "LinearRegression")
 
 
+def _tables_of_fitted_line(p: DataFrame) -> tuple[DataFrame, ...]:
+    split = _lagged_split(p)
+    predictions, _ = regressors.fit_all(split, {"LinearRegression": regressors.linear_regression()}, ["lag_7"])
+    return training_run.tables_of(materialize(predictions, "predictions"))
+
+
+@query_on_stored_panel
+def fitted_run_by_window(p):
+    """Metrics of a fitted model over the last rows of each series."""
+    return _tables_of_fitted_line(p)[0]
+
+
+@query_on_stored_panel
+def fitted_run_timeline(p):
+    return _tables_of_fitted_line(p)[1]
+
+
+@query_on_stored_panel
+def fitted_run_best(p):
+    return _tables_of_fitted_line(p)[2]
+
+
+@query_on_stored_panel
+def fitted_run_forecasts(p):
+    """The newest prediction of a fitted model, held for a year."""
+    return _tables_of_fitted_line(p)[3]
+
+
 @query_on_stored_panel
 def sequence_of_exact_line(p):
     """A target that is a line of the newest value in the sequence and of the weekday is found again."""
