@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfcast.llm.tables import stored
-from shelfcast.llm.text import dictionary, held, mixed, rows_of, unused, words
+from shelfcast.llm.text import dictionary, held, mixed, rows_of, spread, unused, words
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 4000
@@ -42,6 +42,65 @@ def word_buckets(word: bytes) -> list[int]:
     return [xxhash.xxh64_intdigest(g) % BUCKETS for g in grams]
 
 
+# The primes of XXH64.
+P1, P2, P3, P4, P5 = (
+    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hashes_of_runs(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """XXH64 with seed 0 of the `length` (below 32) bytes from each start."""
+    byte = lambda k: data[starts + k].astype(np.uint64)
+    word = lambda k, n: sum((byte(k + j) << np.uint64(8 * j) for j in range(1, n)), byte(k))
+    h, k = np.full(len(starts), P5 + np.uint64(length), np.uint64), 0
+    while length - k >= 8:
+        h = _turned(h ^ (_turned(word(k, 8) * P2, 31) * P1), 27) * P1 + P4
+        k += 8
+    if length - k >= 4:
+        h = _turned(h ^ (word(k, 4) * P1), 23) * P2 + P3
+        k += 4
+    for j in range(k, length):
+        h = _turned(h ^ (byte(j) * P5), 11) * P1
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def word_scores(items: list[bytes], scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the scores of each word's buckets, and their number: what word_buckets gives, for many words at once."""
+    total, count = np.zeros(len(items)), np.zeros(len(items), np.int64)
+    if not items:
+        return total, count
+    whole = b"".join(b"<" + w + b">" for w in items)
+    try:
+        whole.decode("utf-8")
+    except UnicodeDecodeError:
+        lists = [word_buckets(w) for w in items]
+        return np.array([scores[x].sum() for x in lists]), np.array([len(x) for x in lists])
+    data = np.frombuffer(whole, np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, items), np.int64, len(items)) + 2)
+    signs = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    sign_ends = np.searchsorted(signs, ends)
+    sizes = np.diff(sign_ends, prepend=0)
+    total += scores[(_hashes(items) % np.uint64(BUCKETS)).astype(np.int64)]
+    count += 1
+    for n in NGRAMS:
+        grams = np.maximum(0, sizes - n + 1)
+        first = spread(sign_ends - sizes, grams)
+        starts, lengths = signs[first], signs[first + n] - signs[first]
+        found = np.empty(len(first))
+        for length in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == length)
+            found[at] = scores[(hashes_of_runs(data, starts[at], length) % np.uint64(BUCKETS)).astype(np.int64)]
+        total += np.bincount(np.repeat(np.arange(len(items)), grams), weights=found, minlength=len(items))
+        count += grams
+    return total, count
+
+
 def _pairs(hashes: np.ndarray, places: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of every pair of neighbouring words, and whether both are of one text."""
     codes = hashes[places]
@@ -166,11 +225,9 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             distinct, places = dictionary(items)
             if len(known) > REMEMBERED:
                 known.clear()
-            for word in distinct:
-                if word not in known:
-                    buckets = word_buckets(word)
-                    known[word] = (float(scores[buckets].sum()), len(buckets))
-            own = np.array([known[w] for w in distinct]).reshape(-1, 2)[places]
+            new = [word for word in distinct if word not in known]
+            known.update(zip(new, zip(*(x.tolist() for x in word_scores(new, scores)))))
+            own = np.array([known[w] for w in distinct], np.float64).reshape(-1, 2)[places]
             pairs, inside = _pairs(_hashes(distinct), places, before)
             both = np.column_stack([np.where(inside, scores[pairs], 0.0), inside])
             sums = np.concatenate([np.zeros((1, 2)), np.cumsum(own, axis=0)])

@@ -245,3 +245,27 @@ def test_followers_are_counted_across_blocks(spark):
     for block in (1, 7, 512):
         model = chat.learn(chat.placed(df, block))
         assert np.allclose(model.moves, expected.moves) and np.allclose(model.start[:3], expected.start[:3])
+
+
+def test_scores_of_many_words_are_those_of_each():
+    import random
+
+    import xxhash
+
+    from shelfcast.llm.text import spread
+
+    random.seed(4)
+    items = list({"".join(random.choices("abcdeéß日👍-", k=random.randrange(1, 25))).encode() for _ in range(2000)})
+    scores = np.random.default_rng(1).normal(size=quality.BUCKETS)
+    total, count = quality.word_scores(items, scores)
+    lists = [quality.word_buckets(w) for w in items]
+    assert count.tolist() == [len(x) for x in lists]
+    assert total == pytest.approx([scores[x].sum() for x in lists], abs=1e-9)
+    broken = [b"\xff\xfe", b"a\x80b"]
+    assert quality.word_scores(broken, scores)[0] == pytest.approx([scores[quality.word_buckets(w)].sum() for w in broken])
+    assert quality.word_scores([], scores)[0].tolist() == []
+    data = np.frombuffer(bytes(range(1, 120)), np.uint8)
+    for length in range(1, 32):
+        starts = np.arange(0, 80, 7)
+        assert quality.hashes_of_runs(data, starts, length).tolist() == [xxhash.xxh64_intdigest(data[s : s + length].tobytes()) for s in starts]
+    assert spread(np.array([3]), np.array([2])).tolist() == [3, 4]
