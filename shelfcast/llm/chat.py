@@ -223,12 +223,14 @@ def learn(rows: DataFrame) -> Model:
 
 
 def placed(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The distinct rows in order: conv_id, turn, role, text, place and block.
+    """The distinct rows in order, with how often each occurs: conv_id, turn, role, text, copies, place and block.
 
     Places rise in the order of all rows, with a gap after each range of the sort. A block is cut by places, so it has
     `block` rows at most, whatever the turns and conversations are numbered.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    # Equal rows are counted before they are dealt, so that no number of copies makes a large group.
+    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn")]
     for c in ("text", "role"):
         order += [F.coalesce(c, F.lit("")), F.col(c).isNotNull()]
@@ -244,7 +246,7 @@ def format_turns(conversations: DataFrame, block: int = BLOCK, model: Model | No
     conversations: conv_id, turn, role, text. One row per piece of a row, cut where a turn begins inside it; a
     piece that goes on with the turn before it is marked as continued. A speaker marker is removed where it names the
     role found. Turns are ordered by number, null first; rows that share one by text, then role. Rows equal in all
-    four columns count once. Null or empty texts are one empty line, unknown and null roles no label. Rows without
+    four columns follow each other and are rendered alike, each of them. Null or empty texts are one empty line, unknown and null roles no label. Rows without
     conv_id are one conversation. An empty table gives no rows; other columns are left out.
     """
     groups = text_groups(conversations)
@@ -271,11 +273,15 @@ def format_turns(conversations: DataFrame, block: int = BLOCK, model: Model | No
 
     def decode(turns: pa.Table, entries: pa.Table) -> pa.Table:
         known = {(conv, number): (np.frombuffer(entry) if entry else None, last) for conv, number, entry, last in zip(*(entries.column(c).to_pylist() for c in ("conv_id", "block", "entry", "last")))}
+        copies = {(conv, number, place): n for conv, number, place, n in zip(*(turns.column(c).to_pylist() for c in ("conv_id", "block", "place", "copies")))}
+        places: dict[tuple, list[int]] = {}
+        for conv, number, place in sorted(copies, key=lambda key: key[2]):
+            places.setdefault((conv, number), []).append(place)
         out = []
         for (conv, number), b in blocks(turns):
             for row, part, role, on, n, rendered in b.turns(b.path(*known[conv, number])):
                 turn, given, _ = b.rows[row]
-                out.append((conv, turn, part, given, role, on, n, rendered))
+                out.append((conv, turn, part, given, role, on, n, rendered, copies[conv, number, places[conv, number][row]]))
         return _table(out, RENDERED)
 
     summaries = dealt.groupBy("grp").applyInArrow(summarize, "conv_id long, block long, summary binary, opening binary")
@@ -283,15 +289,17 @@ def format_turns(conversations: DataFrame, block: int = BLOCK, model: Model | No
     hashed = dealt_by(summaries.withColumn("owner", F.expr(f"cast(pmod(xxhash64(conv_id), {groups}) AS int)")), groups, "owner")
     entries = hashed.groupBy("owner").applyInArrow(chain, "conv_id long, block long, entry binary, last int")
     entries = dealt_by(entries.withColumn("grp", F.expr(f"cast(pmod(xxhash64(conv_id, block), {groups}) AS int)")), groups, "grp")
-    return dealt.groupBy("grp").cogroup(entries.groupBy("grp")).applyInArrow(
-        decode, "conv_id long, turn long, part int, given_role string, role string, continued boolean, n_lines int, rendered string"
+    found = dealt.groupBy("grp").cogroup(entries.groupBy("grp")).applyInArrow(
+        decode, "conv_id long, turn long, part int, given_role string, role string, continued boolean, n_lines int, rendered string, copies long"
     )
+    # As many rows as came in.
+    return found.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).drop("copies", "copy")
 
 
 SUMMARIES = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("summary", pa.binary()), ("opening", pa.binary())])
 ENTRIES = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("entry", pa.binary()), ("last", pa.int32())])
 RENDERED = pa.schema(
-    [("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int32()), ("given_role", pa.string()), ("role", pa.string()), ("continued", pa.bool_()), ("n_lines", pa.int32()), ("rendered", pa.string())]
+    [("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int32()), ("given_role", pa.string()), ("role", pa.string()), ("continued", pa.bool_()), ("n_lines", pa.int32()), ("rendered", pa.string()), ("copies", pa.int64())]
 )
 
 
