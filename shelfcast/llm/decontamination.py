@@ -61,17 +61,35 @@ def _starts(width: int, similarity: float) -> Column:
     return F.expr(f"CASE WHEN size(at) >= {enough} THEN flatten({runs}) ELSE array() END")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 20, blocks: int = 8) -> DataFrame:
+def within_radius(windows: DataFrame, items: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(window, item, distance): all pairs of one size whose fingerprints differ in at most `radius` bits.
+
+    windows: window, size, window_print. items: item, size, item_print. If two differ in no more bits than the radius, one of the
+    blocks differs in no more than radius // blocks; items are entered under all such values of each block.
+    """
+    size = BITS // blocks
+    flips = [sum(1 << b for b in chosen) for n in range(radius // blocks + 1) for chosen in combinations(range(size), n)]
+    entered = items.select("item", "item_print", "size", F.explode(_block("item_print", size)).alias("p")).withColumn("flip", F.explode(F.array(*map(F.lit, flips))))
+    probes = entered.select("item", "item_print", "size", "p.block", F.col("p.bits").bitwiseXOR(F.col("flip")).alias("bits"))
+    looked = windows.select("window", "window_print", "size", F.explode(_block("window_print", size)).alias("p")).select("window", "window_print", "size", "p.block", "p.bits")
+    distance = F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print")))
+    met = looked.join(probes, ["size", "block", "bits"]).withColumn("distance", distance)
+    return met.where(F.col("distance") <= radius).select("window", "item", "distance").distinct()
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 15, blocks: int = 4) -> DataFrame:
     """(doc_id, text_hash, item_id, start, n_words, distance, similarity): the best window for each text and item it holds.
 
     docs: doc_id, text. benchmark: item_id, text. Similarity is the sum of the smaller counts over the sum of
     the larger counts of all shingles of `width` lower-cased words, and must reach `similarity`; the
     SimHash distance must not exceed `radius`. Ties go to the smaller distance, then to the earlier window. A
     document shorter than the item is one window. Null and empty texts, and items and documents of fewer
-    words than a shingle, match nothing. Repeated rows give equal rows once (doc_id and text_hash tell
-    texts apart); other columns are left out.
+    words than a shingle, match nothing; neither does anything in an empty table. A text is searched whole, whatever its length. Repeated rows
+    give equal rows once (doc_id and text_hash tell texts apart); other columns are left out.
+
+    The radius: of windows at the least similarity, about one in thirty lies further off than 15 bits, and fewer the more
+    similar they are; four blocks of 16 bits enter 697 of 65,536 values each, so an unrelated pair meets in 4 of 100 cases.
     """
-    size = BITS // blocks
     items, _ = stored(
         _shingled(benchmark.select("item_id", "text").distinct(), ["item_id"], width)
         .where(F.size("shingles") > 0)
@@ -100,12 +118,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity
     cut = _shingled(again, [*key, "windows"], width).select(*key, "shingles", F.explode("windows").alias("w"))
     cut = cut.select(*key, F.col("w.start").alias("start"), F.col("w.size").alias("size"), F.slice("shingles", F.col("w.start") + 1, F.col("w.size") - (width - 1)).alias("shingles"))
     printed, _ = stored(cut.withColumn("window_print", _simhash("shingles")).withColumn("window", F.monotonically_increasing_id()), "prints")
-    flips = [sum(1 << b for b in chosen) for n in range(radius // blocks + 1) for chosen in combinations(range(size), n)]
-    entered = items.select("item", "item_print", F.col("n_words").alias("size"), F.explode(_block("item_print", size)).alias("p")).withColumn("flip", F.explode(F.array(*map(F.lit, flips))))
-    probes = entered.select("item", "item_print", "size", "p.block", F.col("p.bits").bitwiseXOR(F.col("flip")).alias("bits"))
-    looked = printed.select("window", "window_print", "size", F.explode(_block("window_print", size)).alias("p")).select("window", "window_print", "size", "p.block", "p.bits")
-    distance = F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print")))
-    near = looked.join(probes, ["size", "block", "bits"]).withColumn("distance", distance).where(F.col("distance") <= radius).select("window", "item", "distance").distinct()
+    near = within_radius(printed, items.select("item", "item_print", F.col("n_words").alias("size")), radius, blocks)
     near, _ = stored(near, "near")
     ours = printed.join(near.select("window").distinct(), "window", "left_semi").select("window", F.explode("shingles").alias("shingle")).groupBy("window", "shingle").agg(F.count("*").alias("n"))
     theirs = items.select("item", F.explode("shingles").alias("shingle")).groupBy("item", "shingle").agg(F.count("*").alias("m"))

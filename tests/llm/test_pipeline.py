@@ -81,13 +81,28 @@ def test_larger_shingle_sets_take_the_other_join(spark, monkeypatch):
 
 
 def test_multi_index_blocks_find_all_within_the_radius(spark):
-    """Every pair of an item and a window whose fingerprints differ in 20 bits or fewer shares an entered block."""
+    """All pairs of a window and an item of one size within the radius, and no others, for several cuts; few pairs meet beyond it."""
     random_ = np.random.default_rng(2)
-    flips = {sum(1 << b for b in range(8) if m >> b & 1) for m in range(256) if m.bit_count() <= 20 // 8}
-    for _ in range(500):
-        apart = np.zeros(64, int)
-        apart[random_.choice(64, 20, replace=False)] = 1
-        assert any(int("".join(map(str, apart[8 * k : 8 * k + 8])), 2) in flips for k in range(8))
+    items = [(k, int(random_.integers(0, 1 << 62)), 10 + k % 2) for k in range(40)]
+    windows = []
+    for k, (_, print_, size) in enumerate(items):
+        for bits in range(0, 30):
+            apart = sum(1 << int(b) for b in random_.choice(62, bits, replace=False))
+            windows.append((len(windows), print_ ^ apart, size if bits % 7 else 21 - size))
+    left = spark.createDataFrame(windows, "window long, window_print long, size int")
+    right = spark.createDataFrame(items, "item long, item_print long, size int")
+    for radius, blocks in ((15, 4), (20, 8), (3, 4)):
+        found = {tuple(r) for r in decontamination.within_radius(left, right, radius, blocks).collect()}
+        every = {(w, i, (a ^ b).bit_count()) for w, a, n in windows for i, b, m in items if n == m}
+        assert found == {x for x in every if x[2] <= radius} and len(found) > 40
+
+
+def test_index_finds_what_every_start_would(spark):
+    """Of the leaks that comparing every start by shingles gives, displaced ones included, at least nine in ten."""
+    docs, items = planted(spark)
+    expected = set(leaks_by_hand(docs, items))
+    got = decontamination.find_leaks(spark.createDataFrame(docs, TEXTS), spark.createDataFrame(items, "item_id long, text string"))
+    assert len({(r.doc_id, r.item_id) for r in got.collect()} & expected) >= 0.9 * len(expected)
 
 
 def test_leaks_of_awkward_rows(spark, awkward):
