@@ -241,6 +241,9 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of docs whose score, by a model fitted on them and the labels, is at least `least`; their columns."""
+    """The rows of docs whose score, by a model fitted on them and the labels, is at least `least`; their columns.
+
+    Rows without text, repeated rows and empty tables as in score; a column named score is kept as it is.
+    """
     (name,) = unused(docs.columns, "score")
     return score(docs, fit(docs, labels), name).where(F.col(name) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))

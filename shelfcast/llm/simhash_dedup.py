@@ -175,8 +175,8 @@ def _rooted(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Ties on doc_id (repeated rows, null) go to the smallest hash of the text; of rows that agree in both, one stays.
-    All columns are kept.
+    Ties on doc_id (repeated rows, null) go to the smallest hash of the text; of rows that agree in both, one stays. A null
+    and an empty text are one text, and all texts without words one component. All columns are kept; an empty table stays empty.
     """
     of_doc, of_text, text_hash = unused(docs.columns, "of_doc", "of_text", "text_hash")
     # By root, as a doc_id names no component: several may share their smallest one, or have none.

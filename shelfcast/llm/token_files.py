@@ -115,7 +115,8 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, path: str, end_id:
 
     A null text is the empty text. Rows without doc_id come first; rows that share a doc_id are ordered by
     their number of ids, then by their hash. Only the counts and lengths of ids, no more than the
-    vocabulary has, reach the driver; the vocabulary file is sent to the executors.
+    vocabulary has, reach the driver; the vocabulary file is sent to the executors. Repeated rows are written one by
+    one, a very long text as a segment of its own, an empty table as files without segments; other columns are left out.
     """
     spark = docs.sparkSession
     made, path_of_ids = stored(_encoded(docs, vocabulary_path, end_id), "token-ids", compression="zstd")
