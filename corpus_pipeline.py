@@ -21,29 +21,48 @@ LEAST_QUALITY = 0.3
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the classifier, learned from all labelled ones, doesn't reject."""
+    """Documents that the classifier, learned from all labelled ones, doesn't reject.
+
+    A null or empty text gets the score of the bias alone; equal texts get equal scores, so repeated rows stay or go together. Without
+    labels every score is one half and all stay. An empty table stays empty; other columns are kept as they are.
+    """
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality.keep_good(docs, labels, LEAST_QUALITY)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Texts without lines that repeated windows cover; n_chars follows the text."""
+    """Texts without lines that repeated windows cover; n_chars follows the text.
+
+    Every row stays, null and empty texts as they are. Of equal windows the first by doc_id (null first), hash of the text and place stays;
+    equal rows are one text and lose the same lines. An empty table stays empty; other columns are kept.
+    """
     found = line_dedup.dedup_lines(docs, counts=False)
     return found.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else found
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group whose fingerprints are linked."""
+    """One document of each group whose fingerprints are linked.
+
+    The row with the smallest doc_id stays (null last), of equal ones that with the smallest hash of its text, of equal rows one. Null, empty and
+    blank texts have fingerprint zero and so are one group. An empty table stays empty; other columns are kept.
+    """
     return simhash_dedup.one_of_each(docs)
 
 
 def without_benchmark_items(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts, and those of fewer than five words, hold none. Equal rows stay or go together. With an empty benchmark all
+    stay; an empty table stays empty; other columns are kept.
+    """
     return decontamination.without_leaks(docs, table(spark, folder, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
+    """Token counts and digests of ids and decoded texts, one row per document.
+
+    A null text is the empty text, without ids. Repeated rows give equal rows, an empty table none; other columns are left out.
+    """
     return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
