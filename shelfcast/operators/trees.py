@@ -36,10 +36,8 @@ ROWS_IN_A_TASK = 1 << 20
 EDGE_ROWS = 200_000
 #: Bytes of rows that the trees of one job send to their groups.
 JOB_BYTES = 1 << 30
-#: Rounds whose trees are added to the stored predictions at a time.
+#: Rounds whose trees are added to the stored predictions at a time; of a small table also the rounds of a job.
 ROUNDS_STORED = 50
-#: Tables whose rows a worker process keeps between rounds, none larger than what one task grows.
-TABLES_KEPT = 4
 #: Rows of a stored part, so that small tables have few.
 ROWS_OF_A_PART = 1 << 14
 #: Sums of whole numbers stay below this and are exact.
@@ -149,13 +147,16 @@ class Task:
             return (uniform(ids, self.rules.seed, tree) < self.share).astype(np.float64)
         return np.ones(len(ids))
 
-    def rows(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, bins and whole-number targets of the rows that trees learn from, and the distances of those that only tell when to stop."""
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Ids, bins, targets, predictions by the trees so far, and which rows only tell when to stop."""
         bins = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        ids, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         stop = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-        rest = y - self.margins(bins, batch.column(4).to_numpy())
-        learn = ~stop
+        return batch.column(0).to_numpy(), bins, batch.column(1).to_numpy(), self.margins(bins, batch.column(4).to_numpy()), stop
+
+    def rows(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Ids, bins and distances of the rows that trees learn from, and the distances of the others."""
+        ids, bins, y, margin, stop = self.read(batch)
+        rest, learn = y - margin, ~stop
         return ids[learn], bins[learn], rest[learn], rest[stop]
 
 
@@ -220,51 +221,53 @@ def grown_below(rows: DataFrame, task: Task) -> tuple[dict[tuple[int, int], Tree
     return trees, farthest, loss
 
 
-_rows_kept: dict[str, tuple] = {}
+@dataclass(frozen=True)
+class Round:
+    """A boosted tree, the largest distance and the loss before it; no tree after the last round."""
 
+    tree: Tree | None
+    scale: float
+    farthest: float
+    loss: float
 
-def _rows_of_task(batches, task: Task, table: str) -> tuple[np.ndarray, ...]:
-    """All rows of a small table: ids, bins, targets' rest after the pending trees, stop.
 
-    A worker that met the table in an earlier round has its bins and what the trees before left; it adds the trees since.
-    """
-    batches = [b for b in batches if b.num_rows]
-    ids = np.concatenate([b.column(0).to_numpy() for b in batches]) if batches else np.zeros(0, np.int64)
-    done, known, bins, rest, stop = _rows_kept.pop(table, (0, None, None, None, None))
-    if known is None or not np.array_equal(known, ids) or done > len(task.pending):
-        done = 0
-        bins = np.frombuffer(b"".join(x for b in batches for x in b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-        y, margin = (np.concatenate([b.column(k).to_numpy() for b in batches]) if batches else np.zeros(0) for k in (1, 4))
-        stop = np.concatenate([b.column(3).to_numpy(zero_copy_only=False).astype(bool) for b in batches]) if batches else np.zeros(0, bool)
-        margin = margin.astype(np.float64)
-        rest = (y, margin)
-    y, margin = rest
-    margin = replace(task, pending=task.pending[done:]).margins(bins, margin)
-    while len(_rows_kept) >= TABLES_KEPT:
-        _rows_kept.pop(next(iter(_rows_kept)))
-    _rows_kept[table] = (len(task.pending), ids, bins, (y, margin), stop)
-    return ids, bins, y - margin, stop
-
-
-def grown_in_one(rows: DataFrame, task: Task, tree: int | None, table: str) -> tuple[Tree | None, float, float]:
-    """A tree from a table that one task may hold, without a shuffle; the largest distance and the loss before it."""
+def rounds_in_one(rows: DataFrame, task: Task, sizes: Sizes, first: int, count: int, bound: float, rate: float, last: bool) -> list[Round]:
+    """Rounds `first` to `first + count` on a table that one task may hold, in one job without a shuffle, as single rounds would give them."""
+    sent = rows.sparkSession.sparkContext.broadcast(task)
 
     def work(batches) -> Iterator[pa.RecordBatch]:
-        ids, bins, rest, stop = _rows_of_task(batches, task, table)
+        task, far = sent.value, bound
+        ids, bins, y, margin, stop = _joined_rows([task.read(batch) for batch in batches if batch.num_rows], len(task.cells.edges))
         learn = ~stop
-        farthest, loss = _facts(rest[learn], rest[stop], task)
-        out = [("facts", np.array([farthest, loss]).tobytes())]
-        if tree is not None:
-            w = task.weights(ids[learn], tree)
-            seen = w > 0
-            bins, g, w = (bins, rest, w) if seen.all() and learn.all() else (bins[learn][seen], rest[learn][seen], w[seen])
-            found = grow(bins, w, w * np.rint(g * task.scale), 1, tree, task.cells, task.rules).arrays()
-            out += [(c, found[c].astype(t).tobytes()) for c, t in _TREE.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], ["name", "value"])
+        for k in range(first, first + count + last):
+            now = replace(task, scale=whole_scale(sizes.rows, far), loss_scale=whole_scale(sizes.stop_rows, far**2))
+            rest = y - margin
+            farthest, loss = _facts(rest[learn], rest[stop], now)
+            out = {"facts": np.array([k, now.scale, farthest, loss / now.loss_scale])}
+            if k < first + count:
+                w = now.weights(ids, k) * learn
+                seen = slice(None) if (w == 1).all() else w > 0
+                found = best_first(grow(bins[seen], w[seen], w[seen] * np.rint(rest[seen] * now.scale), 1, k, now.cells, now.rules), now.rules.max_leaves).arrays()
+                margin = margin + _values(found, now.scale, now.rules.penalty, rate)[leaves_of(found, bins)]
+                out |= {c: found[c].astype(t) for c, t in _TREE.items()}
+            far = farthest * (1 + rate)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(out)), pa.array(list(out)), pa.array([x.tobytes() for x in out.values()], pa.binary())], ["k", "name", "value"])
+
+    found: dict[int, dict[str, bytes]] = {}
+    for r in rows.coalesce(1).mapInArrow(work, "k long, name string, value binary").collect():
+        found.setdefault(r.k, {})[r.name] = bytes(r.value)
+    sent.unpersist()
+    out = []
+    for k in sorted(found):
+        _, scale, farthest, loss = np.frombuffer(found[k]["facts"]).tolist()
+        tree = Tree.of_arrays({c: np.frombuffer(found[k][c], t) for c, t in _TREE.items()}) if "path" in found[k] else None
+        out.append(Round(tree, scale, farthest, loss))
+    return out
+
 
-    found = {r.name: bytes(r.value) for r in rows.coalesce(1).mapInArrow(work, "name string, value binary").collect()}
-    farthest, loss = np.frombuffer(found["facts"]).tolist()
-    return None if tree is None else Tree.of_arrays({c: np.frombuffer(found[c], t) for c, t in _TREE.items()}), farthest, loss
+def _joined_rows(parts: list[tuple], width: int) -> list[np.ndarray]:
+    empty = (np.zeros(0, np.int64), np.zeros((0, width), np.uint8), np.zeros(0), np.zeros(0), np.zeros(0, bool))
+    return [np.concatenate(x) for x in zip(empty, *parts)]
 
 
 _DEALT = ["tree", "node", "x", "n", "g"]
@@ -495,39 +498,46 @@ def _boost(estimator: TreeEnsembleRegressor, table: DataFrame, path: str, task:
     after the trees before it.
     """
     rate, patience, in_a_task = estimator.getRate(), estimator.getOrDefault(estimator.patience), estimator.getOrDefault(estimator.rowsInATask)
-    bound, grown, pending, losses = sizes.farthest, [], [], []
-    for k in range(estimator.getTrees() + 1):
-        if len(pending) == ROUNDS_STORED:
+    bound, grown, pending, losses, count = sizes.farthest, [], [], [], estimator.getTrees()
+    small, k, stopped = sizes.rows + sizes.stop_rows <= in_a_task, 0, False
+    while not stopped and (k < count or k == count and sizes.stop_rows):
+        if len(pending) >= ROUNDS_STORED:
             table, path = _with_margins(table, path, replace(task, pending=tuple(pending)))
             pending = []
-        scale, loss_scale = whole_scale(sizes.rows, bound), whole_scale(sizes.stop_rows, bound**2)
-        now = replace(task, scale=scale, loss_scale=loss_scale, pending=tuple(pending))
-        last = k == estimator.getTrees()
-        if last and not sizes.stop_rows:
-            break
-        # After the last round only the loss is asked for.
-        if sizes.rows + sizes.stop_rows <= in_a_task:
-            grown_tree, farthest, loss = grown_in_one(table, now, None if last else k, path)
-        elif last:
-            _, farthest, loss = grown_below(table, now)
+        now = replace(task, pending=tuple(pending))
+        if small:
+            some = min(ROUNDS_STORED, count - k)
+            rounds = rounds_in_one(table, now, sizes, k, some, bound, rate, last=k + some == count and sizes.stop_rows > 0)
         else:
-            trees, farthest, loss = grow_together(table, now, [k], sizes.rows, in_a_task)
-            grown_tree = trees[k]
-        if sizes.stop_rows:
-            losses.append(loss / loss_scale / sizes.stop_rows)
-            best = int(np.argmin(losses))
-            if last or patience and k - best >= patience:
-                grown = grown[:best] if patience else grown
+            rounds = [_round(table, now, sizes, k, bound, in_a_task, k == count)]
+        for found in rounds:
+            if sizes.stop_rows:
+                losses.append(found.loss / sizes.stop_rows)
+                best = int(np.argmin(losses))
+                stopped = bool(patience) and len(losses) - 1 - best >= patience
+            if stopped or found.tree is None:
                 break
-        tree = best_first(grown_tree, task.rules.max_leaves).arrays()
-        values = _values(tree, scale, task.rules.penalty, rate)
-        grown.append((tree, values))
-        pending.append((tree, values))
-        bound = farthest * (1 + rate)
+            tree = found.tree.arrays()
+            grown.append((tree, _values(tree, found.scale, task.rules.penalty, rate)))
+            pending.append(grown[-1])
+            bound = found.farthest * (1 + rate)
+        k += len(rounds)
+    if patience and losses:
+        grown = grown[: int(np.argmin(losses))]
     delete_path(table.sparkSession, path)
     return Ensemble.of(sizes.mean, grown, task.cells), losses
 
 
+def _round(table: DataFrame, task: Task, sizes: Sizes, k: int, bound: float, in_a_task: int, last: bool) -> Round:
+    """One round over all tasks. After the last one only the loss is asked for."""
+    now = replace(task, scale=whole_scale(sizes.rows, bound), loss_scale=whole_scale(sizes.stop_rows, bound**2))
+    if last:
+        _, farthest, loss = grown_below(table, now)
+        return Round(None, now.scale, farthest, loss / now.loss_scale)
+    trees, farthest, loss = grow_together(table, now, [k], sizes.rows, in_a_task)
+    return Round(trees[k], now.scale, farthest, loss / now.loss_scale)
+
+
 def _with_margins(table: DataFrame, path: str, task: Task) -> tuple[DataFrame, str]:
     """The stored rows with the pending trees in their margins."""
     sent = table.sparkSession.sparkContext.broadcast(task)
