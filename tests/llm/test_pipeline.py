@@ -164,7 +164,7 @@ def test_changed_texts_have_their_own_length(spark, awkward):
 
 def test_registered():
     names = set(all_queries())
-    assert {int(n.split("_")[0][2:]) for n in names} == set(range(1, 11)) and set(all_sql()) <= names
+    assert {int(n.split("_")[0][2:]) for n in names} == set(range(1, 14)) and set(all_sql()) <= names
 
 
 def test_native_operators_run_no_python(spark):
