@@ -30,7 +30,7 @@ from shelfcast.llm.text import binary_array, dictionary, lowered, mixed, packed,
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
 SCALE = 2_000_000
 #: Bytes of text whose phrases are counted together before they are shuffled; a longer text is a chunk of its own.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Rows of counts handed on at a time.
 ROWS = 1 << 16
 #: Phrases of two words above a language's threshold in the first round, and by how much more in each later one.
@@ -60,11 +60,12 @@ def words_in_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[first] = inside[first]
     starts = np.flatnonzero(begins)
-    place = np.zeros(len(data) + 1, np.int64)
+    # A batch has less than 2 GB, so 32 bits count its bytes.
+    place = np.zeros(len(data) + 1, np.int32)
     np.cumsum(inside, out=place[1:])
     items = binary_array(data[inside], np.append(place[starts], place[-1]))
     # Pieces passed so far: separators, and texts begun.
-    passed = np.cumsum(kind == 2)
+    passed = np.cumsum(kind == 2, dtype=np.int32)
     piece = passed[starts] + np.searchsorted(offsets, starts, side="right")
     joined = np.zeros(len(starts), bool)
     joined[1:] = piece[1:] == piece[:-1]
