@@ -73,7 +73,8 @@ def within_radius(windows: DataFrame, items: DataFrame, radius: int, blocks: int
     probes = entered.select("item", "item_print", "size", "p.block", F.col("p.bits").bitwiseXOR(F.col("flip")).alias("bits"))
     looked = windows.select("window", "window_print", "size", F.explode(_block("window_print", size)).alias("p")).select("window", "window_print", "size", "p.block", "p.bits")
     distance = F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print")))
-    met = looked.join(probes, ["size", "block", "bits"]).withColumn("distance", distance)
+    # Entries are far more than the items they come from, by whose size Spark would judge them: no broadcast.
+    met = looked.join(probes.hint("merge"), ["size", "block", "bits"]).withColumn("distance", distance)
     return met.where(F.col("distance") <= radius).select("window", "item", "distance").distinct()
 
 
