@@ -31,6 +31,8 @@ NGRAMS = (3, 4, 5)
 EPOCHS, RATE, SEED = 6, 0.6, 17
 #: Distinct words a worker process remembers before it starts anew.
 REMEMBERED = 400_000
+#: Words whose n-grams are hashed at a time: some hundred bytes for each n-gram.
+WORDS = 1 << 13
 #: The bucket of a word that stands next to itself, whichever word it is.
 REPEATED = 0
 
@@ -226,7 +228,9 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             if len(known) > REMEMBERED:
                 known.clear()
             new = [word for word in distinct if word not in known]
-            known.update(zip(new, zip(*(x.tolist() for x in word_scores(new, scores)))))
+            for i in range(0, len(new), WORDS):
+                some = new[i : i + WORDS]
+                known.update(zip(some, zip(*(x.tolist() for x in word_scores(some, scores)))))
             own = np.array([known[w] for w in distinct], np.float64).reshape(-1, 2)[places]
             pairs, inside = _pairs(_hashes(distinct), places, before)
             both = np.column_stack([np.where(inside, scores[pairs], 0.0), inside])
