@@ -14,11 +14,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-# Rows, and cells of all searched nodes, that are counted at a time.
-ROWS_AT_A_TIME = 1 << 16
+# Rows, so that their bins stay in the processor's cache, and cells of all searched nodes, that are counted at a time.
+ROWS_AT_A_TIME = 1 << 14
 CELLS_AT_A_TIME = 1 << 22
 # Cells of all searched nodes up to which their sums are kept, to take siblings' sums from.
 CELLS_KEPT = 1 << 19
+# Nodes up to which each is counted by itself.
+NODES_APART = 16
 # A gain below this share of the sums it is the difference of is rounding.
 LEAST_GAIN = 1e-12
 
@@ -157,16 +159,43 @@ def uniform(keys: np.ndarray, *streams: int) -> np.ndarray:
     return (state >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def dense_sums(slots: np.ndarray, places: np.ndarray, n: np.ndarray | None, g: np.ndarray, cells: Cells, slot_count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Count and sum of every cell of every slot. ``places``: the cell of each row and input. ``n``: None if every row counts once."""
-    count, total = np.zeros(slot_count * cells.total), np.zeros(slot_count * cells.total)
-    for i in range(0, len(slots), ROWS_AT_A_TIME):
-        part = slice(i, i + ROWS_AT_A_TIME)
-        keys = (slots[part, None] * cells.total + places[part]).ravel()
-        times = None if n is None else np.repeat(n[part], places.shape[1])
-        count += np.bincount(keys, weights=times, minlength=len(count))
-        total += np.bincount(keys, weights=np.repeat(g[part], places.shape[1]), minlength=len(count))
-    return count, total
+def dense_sums(slots: np.ndarray | None, bins: np.ndarray, rows: np.ndarray, n: np.ndarray | None, g: np.ndarray, cells: Cells, slot_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Count and sum of every cell of every slot over some rows. ``slots``: of each of them; None if there is one. ``n``: None if every row counts once."""
+    count, total = np.zeros((slot_count, cells.total)), np.zeros((slot_count, cells.total))
+    step, ends = max(ROWS_AT_A_TIME, slot_count << 8), np.append(cells.starts[1:], cells.total).tolist()
+    for i in range(0, len(rows), step):
+        part = rows[i : i + step]
+        block, times, sums = bins[part], None if n is None else n[part], g[part]
+        own = None if slots is None else slots[i : i + step] << 8
+        for k, (start, end) in enumerate(zip(cells.starts.tolist(), ends)):
+            keys = block[:, k].astype(np.intp)
+            keys = keys if own is None else keys + own
+            count[:, start:end] += np.bincount(keys, weights=times, minlength=slot_count << 8).reshape(slot_count, 256)[:, : end - start]
+            total[:, start:end] += np.bincount(keys, weights=sums, minlength=slot_count << 8).reshape(slot_count, 256)[:, : end - start]
+    return count.ravel(), total.ravel()
+
+
+def cell_counts(bins: np.ndarray, cells: Cells) -> np.ndarray:
+    """Rows in every cell."""
+    return np.concatenate([np.bincount(bins[:, k], minlength=len(e) + 1) for k, e in enumerate(cells.edges)]).astype(np.float64)
+
+
+def most_rows_sums(bins: np.ndarray, unseen: np.ndarray, g: np.ndarray, cells: Cells, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count and sum of every cell over all rows but the unseen ones, whose ``g`` is 0. ``counts``: :func:`cell_counts` of all rows."""
+    total = np.zeros(cells.total)
+    for i in range(0, len(bins), ROWS_AT_A_TIME):
+        block, sums = bins[i : i + ROWS_AT_A_TIME], g[i : i + ROWS_AT_A_TIME]
+        for k, (start, e) in enumerate(zip(cells.starts.tolist(), cells.edges)):
+            total[start : start + len(e) + 1] += np.bincount(block[:, k], weights=sums, minlength=len(e) + 1)
+    return (counts - cell_counts(bins[unseen], cells) if len(unseen) else counts), total
+
+
+def sums_of_nodes(lists: list[np.ndarray], bins: np.ndarray, n: np.ndarray | None, g: np.ndarray, cells: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`dense_sums` of nodes, of which each has a list of its rows."""
+    if len(lists) <= NODES_APART:
+        return tuple(np.concatenate(x) for x in zip(*(dense_sums(None, bins, rows, n, g, cells, 1) for rows in lists)))
+    slots = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return dense_sums(slots, bins, np.concatenate(lists), n, g, cells, len(lists))
 
 
 def occupied(count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +206,7 @@ def occupied(count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def cell_sums(slots: np.ndarray, bins: np.ndarray, n: np.ndarray, g: np.ndarray, cells: Cells, slot_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Count and sum of every occupied cell of every slot, which are dense node numbers."""
-    return occupied(*dense_sums(slots, cells.starts + bins, n, g, cells, slot_count))
+    return occupied(*dense_sums(slots, bins, np.arange(len(bins)), n, g, cells, slot_count))
 
 
 def best_splits(keys: np.ndarray, n: np.ndarray, g: np.ndarray, paths: np.ndarray, tree: int, cells: Cells, rules: Rules) -> dict[str, np.ndarray]:
@@ -234,56 +263,55 @@ def _drawn(slot, cell, column, first, last, paths, tree, cells: Cells, rules: Ru
 
 def grow(bins: np.ndarray, n: np.ndarray, g: np.ndarray, path: int, tree: int, cells: Cells, rules: Rules) -> Tree:
     """The tree below one node from all its rows."""
-    out = Tree(path, float(n.sum()), float(g.sum()))
-    at, active = np.zeros(len(bins), np.int32), np.arange(len(bins))
-    places, n = (cells.starts + bins).astype(np.int32), None if (n == 1).all() else n
+    return grow_on(bins, np.ascontiguousarray(bins.T), np.arange(len(bins)), None if (n == 1).all() else n, g, path, tree, cells, rules)
+
+
+def grow_on(
+    bins: np.ndarray, columns: np.ndarray, seen: np.ndarray, n: np.ndarray | None, g: np.ndarray, path: int, tree: int, cells: Cells, rules: Rules,
+    sums: tuple[np.ndarray, np.ndarray] | None = None,
+) -> Tree:
+    """The tree below one node from its rows ``seen``, which may be some of those given.
+
+    ``columns``: the bins, a row for each input. ``n``: None if every row counts once. ``sums``: of the node's cells, if known.
+    """
+    out = Tree(path, float(len(seen) if n is None else n[seen].sum()), float(g[seen].sum()))
+    lists = {0: seen}
     kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     while nodes := nodes_to_search(out, rules):
-        slot_of = np.full(len(out.path), -1)
-        slot_of[nodes] = np.arange(len(nodes))
-        waits = np.array([not s and p.bit_length() - 1 < rules.depth for s, p in zip(out.searched, out.path)])
-        active = active[waits[at[active]]]
-        slots = slot_of[at[active]]
-        rows, slots = active[slots >= 0], slots[slots >= 0]
+        paths, parts = np.array([out.path[x] for x in nodes]), []
         if len(nodes) * cells.total <= CELLS_KEPT:
-            sums = _sums_with_siblings(out, nodes, rows, slots, places, n, g, cells, kept)
+            found = {0: sums} if sums and 0 in nodes else _sums_with_siblings(out, nodes, lists, bins, n, g, cells, kept)
             # Best-first growth comes back to nodes found long before.
-            kept = kept | sums if rules.max_leaves else sums
-            found = [sums[node] for node in nodes]
-            _split(out, nodes, occupied(*(np.concatenate(x) for x in zip(*found))), tree, cells, rules)
+            kept = kept | found if rules.max_leaves else found
+            parts.append(best_splits(*occupied(*(np.concatenate(x) for x in zip(*(found[node] for node in nodes)))), paths, tree, cells, rules))
         else:
             block = max(1, CELLS_AT_A_TIME // cells.total)
-            if len(nodes) > block:
-                order = np.argsort(slots, kind="stable")
-                rows, slots = rows[order], slots[order]
             for i in range(0, len(nodes), block):
-                low, high = (np.searchsorted(slots, (i, i + block)) if len(nodes) > block else (0, len(slots)))
-                own, some = rows[low:high], nodes[i : i + block]
-                sums = dense_sums(slots[low:high] - i, places[own], None if n is None else n[own], g[own], cells, len(some))
-                _split(out, some, occupied(*sums), tree, cells, rules)
-        inputs, limits, lefts = np.array(out.input), np.array(out.bin), np.array(out.left)
-        moved = rows[inputs[at[rows]] >= 0]
-        here = at[moved]
-        at[moved] = lefts[here] + (bins[moved, inputs[here]] > limits[here])
+                some = sums_of_nodes([lists[x] for x in nodes[i : i + block]], bins, n, g, cells)
+                part = best_splits(*occupied(*some), paths[i : i + block], tree, cells, rules)
+                parts.append(part | {"slot": part["slot"] + i})
+        apply(out, nodes, {c: np.concatenate([x[c] for x in parts]) for c in parts[0]})
+        for node in nodes:
+            _deal(out, node, lists, columns)
     return out
 
 
-def _split(tree: Tree, nodes: list[int], sums: tuple[np.ndarray, ...], number: int, cells: Cells, rules: Rules) -> None:
-    apply(tree, nodes, best_splits(*sums, np.array([tree.path[x] for x in nodes]), number, cells, rules))
+def _deal(tree: Tree, node: int, lists: dict[int, np.ndarray], columns: np.ndarray) -> None:
+    """The list of a node's rows, dealt to the nodes below it if there are any."""
+    rows = lists.pop(node)
+    if tree.input[node] >= 0:
+        right = columns[tree.input[node]][rows] > tree.bin[node]
+        lists[tree.left[node]], lists[tree.left[node] + 1] = rows[~right], rows[right]
 
 
-def _sums_with_siblings(tree, nodes, rows, slots, places, n, g, cells, kept) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _sums_with_siblings(tree, nodes, lists, bins, n, g, cells, kept) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Sums of all nodes by node. Of two siblings the smaller one is counted; the larger one is what is left of the node above."""
     above = {tree.left[i] + k: i for i in kept if tree.left[i] >= 0 for k in (0, 1)}
     sibling = lambda node: node + 1 if tree.left[above[node]] == node else node - 1
     wanted = set(nodes)
-    derived = [x for x in nodes if x in above and sibling(x) in wanted and (tree.n[x], x) > (tree.n[sibling(x)], sibling(x))]
-    counted = [x for x in nodes if x not in set(derived)]
-    slot_of = np.full(len(nodes), -1)
-    slot_of[[nodes.index(x) for x in counted]] = np.arange(len(counted))
-    mine = slot_of[slots]
-    rows, mine = rows[mine >= 0], mine[mine >= 0]
-    count, total = dense_sums(mine, places[rows], None if n is None else n[rows], g[rows], cells, len(counted))
+    derived = {x for x in nodes if x in above and sibling(x) in wanted and (tree.n[x], x) > (tree.n[sibling(x)], sibling(x))}
+    counted = [x for x in nodes if x not in derived]
+    count, total = sums_of_nodes([lists[x] for x in counted], bins, n, g, cells)
     parts = {x: (count[k * cells.total : (k + 1) * cells.total], total[k * cells.total : (k + 1) * cells.total]) for k, x in enumerate(counted)}
     for x in derived:
         whole, part = kept[above[x]], parts[sibling(x)]
@@ -315,6 +343,17 @@ def leaves_of(tree: dict[str, np.ndarray], bins: np.ndarray, limits: np.ndarray
     return at
 
 
+def leaves_by_column(tree: Tree, columns: np.ndarray) -> np.ndarray:
+    """:func:`leaves_of` of many rows and a tree of few nodes. ``columns``: the bins, a row for each input."""
+    lists, at = {0: np.arange(columns.shape[1])}, np.zeros(columns.shape[1], np.int64)
+    for node in range(len(tree.path)):
+        if tree.input[node] < 0:
+            at[lists.pop(node)] = node
+        else:
+            _deal(tree, node, lists, columns)
+    return at
+
+
 def edges_of(values: Iterable[float], bins: int) -> np.ndarray:
     """Upper edges of at most ``bins`` bins: between all distinct values if they are few, else between evenly spaced ones."""
     ordered = np.sort(np.asarray(values, np.float64))

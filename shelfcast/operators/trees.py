@@ -27,7 +27,24 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.operators.tree_growth import Cells, Rules, Tree, apply, best_first, best_splits, cell_sums, edges_of, grow, leaves_of, nodes_to_search, uniform
+from shelfcast.operators.tree_growth import (
+    Cells,
+    Rules,
+    Tree,
+    apply,
+    best_first,
+    best_splits,
+    cell_counts,
+    cell_sums,
+    edges_of,
+    grow,
+    grow_on,
+    leaves_by_column,
+    leaves_of,
+    most_rows_sums,
+    nodes_to_search,
+    uniform,
+)
 from shelfcast.session import delete_path, materialize, scratch_path
 
 #: Rows of a node that one task grows to the end.
@@ -36,7 +53,7 @@ ROWS_IN_A_TASK = 1 << 20
 EDGE_ROWS = 200_000
 #: Bytes of rows that the trees of one job send to their groups.
 JOB_BYTES = 1 << 30
-#: Rounds whose trees are added to the stored predictions at a time; of a small table also the rounds of a job.
+#: Rounds whose trees are added to the stored predictions at a time; of a small table that may stop early also the rounds of a job.
 ROUNDS_STORED = 50
 #: Rows of a stored part, so that small tables have few.
 ROWS_OF_A_PART = 1 << 14
@@ -232,23 +249,29 @@ class Round:
 
 
 def rounds_in_one(rows: DataFrame, task: Task, sizes: Sizes, first: int, count: int, bound: float, rate: float, last: bool) -> list[Round]:
-    """Rounds `first` to `first + count` on a table that one task may hold, in one job without a shuffle, as single rounds would give them."""
+    """Rounds `first` to `first + count` on a table that one task may hold, in one job without a shuffle, as single rounds would give them.
+
+    Rounds follow each other, so the task keeps its place for all of them. What no round changes is made once: bins by column, and rows by cell.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(task)
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         task, far = sent.value, bound
         ids, bins, y, margin, stop = _joined_rows([task.read(batch) for batch in batches if batch.num_rows], len(task.cells.edges))
-        learn = ~stop
+        learn, columns = ~stop, np.ascontiguousarray(bins.T)
+        counts = cell_counts(bins, task.cells)
         for k in range(first, first + count + last):
             now = replace(task, scale=whole_scale(sizes.rows, far), loss_scale=whole_scale(sizes.stop_rows, far**2))
             rest = y - margin
             farthest, loss = _facts(rest[learn], rest[stop], now)
             out = {"facts": np.array([k, now.scale, farthest, loss / now.loss_scale])}
             if k < first + count:
-                w = now.weights(ids, k) * learn
-                seen = slice(None) if (w == 1).all() else w > 0
-                found = best_first(grow(bins[seen], w[seen], w[seen] * np.rint(rest[seen] * now.scale), 1, k, now.cells, now.rules), now.rules.max_leaves).arrays()
-                margin = margin + _values(found, now.scale, now.rules.penalty, rate)[leaves_of(found, bins)]
+                chosen = (now.weights(ids, k) > 0) & learn
+                g = np.where(chosen, np.rint(rest * now.scale), 0.0)
+                sums = most_rows_sums(bins, np.flatnonzero(~chosen), g, now.cells, counts)
+                tree = best_first(grow_on(bins, columns, np.flatnonzero(chosen), None, g, 1, k, now.cells, now.rules, sums), now.rules.max_leaves)
+                found = tree.arrays()
+                margin = margin + _values(found, now.scale, now.rules.penalty, rate)[leaves_by_column(tree, columns)]
                 out |= {c: found[c].astype(t) for c, t in _TREE.items()}
             far = farthest * (1 + rate)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(out)), pa.array(list(out)), pa.array([x.tobytes() for x in out.values()], pa.binary())], ["k", "name", "value"])
@@ -506,7 +529,7 @@ def _boost(estimator: TreeEnsembleRegressor, table: DataFrame, path: str, task:
             pending = []
         now = replace(task, pending=tuple(pending))
         if small:
-            some = min(ROUNDS_STORED, count - k)
+            some = min(ROUNDS_STORED, count - k) if patience else count - k
             rounds = rounds_in_one(table, now, sizes, k, some, bound, rate, last=k + some == count and sizes.stop_rows > 0)
         else:
             rounds = [_round(table, now, sizes, k, bound, in_a_task, k == count)]

@@ -5,6 +5,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from shelfcast.operators import tree_growth as growth
+from shelfcast.operators import trees
 from shelfcast.operators.tree_growth import Cells, Rules, Tree
 from shelfcast.operators.trees import BOOSTING, FOREST, RANDOM, TreeEnsembleRegressor, whole_scale
 
@@ -207,3 +208,34 @@ def test_grafted_trees_keep_their_nodes():
     part.split(0, 1, 2, 2.0, (1.0, 0.5))
     whole.graft(1, part)
     assert whole.path == [1, 2, 3, 4, 5] and whole.input == [0, 1, -1, -1, -1] and whole.n == [10.0, 4.0, 6.0, 1.0, 3.0]
+
+
+def test_all_rounds_of_a_small_table_are_one_job(data, monkeypatch):
+    """Nothing is stored and read again between rounds, unless boosting may stop early; trees are the same as round by round."""
+    asked, once = [], trees.rounds_in_one
+
+    def counted(rows, task, sizes, first, count, *rest, **named):
+        asked.append(count)
+        return once(rows, task, sizes, first, count, *rest, **named)
+
+    monkeypatch.setattr(trees, "ROUNDS_STORED", 3)
+    monkeypatch.setattr(trees, "rounds_in_one", counted)
+    settings = dict(kind=BOOSTING, trees=8, maxDepth=3, rate=0.3, share=0.8)
+    found = predicted(fit(data, **settings), data)
+    assert asked == [8]
+    assert predicted(fit(data, rowsInATask=700, **settings), data) == found and asked == [8]
+
+
+@pytest.mark.parametrize("share", [1.0, 0.9, 0.3])
+def test_a_tree_from_most_rows_is_that_of_these_rows_alone(share):
+    bins, y, cells, _ = grown(depth=2)
+    chosen = np.random.default_rng(6).random(len(y)) < share
+    g = np.where(chosen, y, 0.0)
+    sums = growth.most_rows_sums(bins, np.flatnonzero(~chosen), g, cells, growth.cell_counts(bins, cells))
+    columns = np.ascontiguousarray(bins.T)
+    for rules in (Rules(4), Rules(8, 5, 1.0, 9)):
+        found = growth.grow_on(bins, columns, np.flatnonzero(chosen), None, g, 1, 0, cells, rules, sums)
+        alone = growth.grow(bins[chosen], np.ones(chosen.sum()), y[chosen], 1, 0, cells, rules)
+        assert all(np.array_equal(found.arrays()[c], x) for c, x in alone.arrays().items())
+        best = growth.best_first(found, rules.max_leaves)
+        assert np.array_equal(growth.leaves_by_column(best, columns), growth.leaves_of(best.arrays(), bins))
