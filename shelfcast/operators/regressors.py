@@ -110,7 +110,8 @@ def stored_name(name: str, estimator: Estimator, features: Sequence[str] = FEATU
 def fit_together(spark: SparkSession, fits: Mapping[str, Callable[[], PipelineModel]]) -> dict[str, PipelineModel]:
     """Run independent fits at the same time, each in a scheduler pool of its own.
 
-    The pools share the cluster evenly where the session's scheduler mode is FAIR; else jobs run as they come.
+    The pools share the cluster evenly where the session's scheduler mode is FAIR; else jobs run as they come, and
+    more fits than run at a time start in the order given.
     """
 
     def run(name: str) -> PipelineModel:
@@ -148,10 +149,14 @@ def fit_all(
                 save_model(model, root, stored_name(name, estimator, features))
         return model
 
+    # Rounds of boosting wait for each other whatever the cores: they start first, and forests and lines run beside them.
+    sequential = lambda e: isinstance(e, TreeEnsembleRegressor) and e.getOrDefault(e.kind) == BOOSTING
+    order = sorted(estimators, key=lambda name: not sequential(estimators[name]))
     try:
-        fitted = fit_together(spark, {name: lambda n=name, e=estimator: fit(n, e) for name, estimator in estimators.items()})
+        found = fit_together(spark, {name: lambda n=name: fit(n, estimators[n]) for name in order})
     finally:
         train.unpersist()
+    fitted = {name: found[name] for name in estimators}
     held_out = labelled.where(F.col("split") == "val").select(*dict.fromkeys((*SERIES_DAY, *features, "y")))
     return combine(*(predict(model, held_out, name) for name, model in fitted.items())), fitted
 

@@ -252,3 +252,21 @@ def test_chosen_pair_is_the_one_of_all_features(panel):
     expected = splits.rows_of(whole, splits.choose_pair(whole)).drop("split").collect()
     found = training_run.chosen_pair_frame(panel, 60)
     assert sorted(r.asDict().items() for r in found.select(expected[0].__fields__).collect()) == sorted(r.asDict().items() for r in expected)
+
+
+def test_boosting_starts_before_forests_and_lines(spark, monkeypatch):
+    """Its rounds wait for each other, so it would otherwise be what all cores wait for at the end."""
+    rows = spark.createDataFrame([("2022-01-01", 1, 1, 5, 1.0, "train")], "date string, store int, item int, sales long, lag_1 double, split string")
+    order = []
+
+    class Started(Exception):
+        pass
+
+    def started(_, fits):
+        order.extend(fits)
+        raise Started
+
+    monkeypatch.setattr(regressors, "fit_together", started)
+    with pytest.raises(Started):
+        regressors.fit_all(rows, {name: make() for name, make in SMALL.items()}, ["lag_1"])
+    assert order[:2] == ["GradientBoosting", "HistGradientBoosting"] and set(order) == set(SMALL)
